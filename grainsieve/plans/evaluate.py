@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schema
 from ..operators import load_all
 from ..registry import Judge, Rule, RuleConfig, Verdict, find, group
-from .features import Features
+from .features import Features, settle
 
 STATUS, DETAILS = "eval_status", "eval_details"
 
@@ -73,16 +73,6 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(cores, key) if key else df.repartition(cores)
 
 
-def settle(c: Column) -> Column:
-    """The same value, but fixed where it is computed.
-
-    Spark moves filters below projections by copying the expressions they refer to.  A verdict
-    rests on layers of shared features, so such a copy would undo the sharing many times over;
-    a condition on ``rand`` (always true) keeps the filter above.
-    """
-    return F.when(F.rand(0) >= 0, c)
-
-
 def _fields(check: Check, required: tuple[str, ...], columns: list[str]) -> dict[str, Column]:
     if not check.fields:
         return {c: F.col(f"`{c}`") for c in columns}
@@ -114,7 +104,7 @@ def verdict_columns(df: DataFrame, checks: list[Check]) -> tuple[DataFrame, list
     flags = {}
     for _, _, _, name, v in planned:
         bad = F.coalesce(v.bad, F.lit(False))
-        flags[name] = bad if v.applies is None else F.coalesce(v.applies, F.lit(False)) & bad
+        flags[name] = settle(bad if v.applies is None else F.coalesce(v.applies, F.lit(False)) & bad)
     return (df.withColumns(flags) if flags else df), planned
 
 
@@ -200,7 +190,7 @@ def find_safe(name: str):
 def flags(df: DataFrame, checks: list[Check], id_cols: list[str]) -> DataFrame:
     """Wide form: one boolean column per rule, no labels or reasons."""
     flagged, planned = verdict_columns(df, checks)
-    return flagged.select(*id_cols, *[settle(F.col(f)).alias(ev.name) for _, ev, _, f, _ in planned])
+    return flagged.select(*id_cols, *[F.col(f).alias(ev.name) for _, ev, _, f, _ in planned])
 
 
 def verdicts_of(df: DataFrame, check: Check, id_cols: list[str]) -> DataFrame:
@@ -210,7 +200,7 @@ def verdicts_of(df: DataFrame, check: Check, id_cols: list[str]) -> DataFrame:
     d = detail_of(r, flag, v)
     measure = F.lit(None) if v.measure is None else v.measure
     return flagged.select(
-        *id_cols, settle(F.col(flag)).alias("status"),
+        *id_cols, F.col(flag).alias("status"),
         F.array_join(d["label"], "|").alias("label"),
         measure.cast("double").alias("measure"), d["reason"].alias("reason"))
 

@@ -12,6 +12,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as T
 
 
+def settle(c: Column) -> Column:
+    """The same value, but fixed where it is computed.
+
+    Spark copies the expressions of a projection into filters pushed below it and into inferred
+    constraints.  Features build on each other, so such copies would undo the sharing many times
+    over and take planning with them; the partition number, never negative, is a condition Spark may not copy.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def _covered_chars(f: "Features") -> Column:
     words, spots = f.mixed_words, f.repeat_spots
 
@@ -105,6 +115,6 @@ class Features:
             for k, (_, build) in open_.items():
                 done[k] = build(self)
         for level in sorted({lv for lv, _ in self._wanted.values()}):
-            new = {self._prefix + k: done[k] for k, (lv, _) in self._wanted.items() if lv == level}
+            new = {self._prefix + k: settle(done[k]) for k, (lv, _) in self._wanted.items() if lv == level}
             df = df.withColumns(new)
         return df
