@@ -283,9 +283,10 @@ def word_number(f, cfg):
 def mean_word_length(f, cfg):
     low, high = span(cfg)
     chars = F.length(F.replace(f.norm, F.lit(" "), F.lit("")))
-    mean = F.round(share(chars, F.size(f.words)), 2)
+    exact = share(chars, F.size(f.words))
+    mean = F.round(exact, 2)
     return Verdict(~((mean >= low) & (mean < high)), say("The mean length of word is: ", mean),
-                   applies=F.size(f.words) > 0, measure=mean)
+                   applies=F.size(f.words) > 0, measure=exact)
 
 
 @rule("RuleUniqueWords", UNDERSTANDABILITY, ("pretrain",), threshold=0.1)
