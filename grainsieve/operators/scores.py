@@ -1,0 +1,290 @@
+"""Verdicts that rest on joined or grouped score, claim and box tables."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..functions import fixed as X
+from ..functions import text as T
+from .judging import value
+
+
+# --- score gates ---------------------------------------------------------------------------
+
+def score_gate(df: DataFrame, score: Column, threshold: float, good: str, bad: str) -> DataFrame:
+    """Bad where a model's score lies below the threshold; no score, no label."""
+    status = F.coalesce(score < threshold, F.lit(False))
+    return df.withColumns({"status": status, "label": F.when(status, bad).when(score.isNotNull(), good)})
+
+
+def attribute_gate(scores: DataFrame, key: str, threshold: float = 0.6) -> DataFrame:
+    """scores(key, attribute, score): bad if any attribute lies above the threshold."""
+    over = F.sort_array(F.collect_set(F.when(F.col("score") > threshold, F.col("attribute"))))
+    g = scores.groupBy(key).agg(over.alias("reason"))
+    bad = F.size("reason") > 0
+    return g.select(key, bad.alias("status"), F.when(bad, "QUALITY_BAD.PERSPECTIVE")
+                    .otherwise("QUALITY_GOOD.PERSPECTIVE").alias("label"), "reason")
+
+
+def mean_score_gate(scores: DataFrame, key: str, threshold: float, good: str, bad: str) -> DataFrame:
+    """Bad where the mean of a record's scores lies below the threshold (text against image)."""
+    return score_gate(scores.groupBy(key).agg(F.avg("score").alias("score")), F.col("score"), threshold, good, bad)
+
+
+# --- retrieval -----------------------------------------------------------------------------
+
+def context_precision(verdicts: DataFrame, key: str, order: str, relevant: Column, threshold: float = 5.0) -> DataFrame:
+    """Average precision of the ranked contexts of a record, on a scale of ten."""
+    v = relevant.cast("int")
+    ranked = W.partitionBy(key).orderBy(order)
+    step = verdicts.select(key, v.alias("v"), (F.sum(v).over(ranked) / F.row_number().over(ranked) * v).alias("p"))
+    s = step.groupBy(key).agg(F.sum("p").alias("p"), F.sum("v").alias("v"))
+    score = F.round(F.col("p") / (F.col("v") + 1e-10) * 10, 2)
+    return _scaled(s, key, score, threshold, "CONTEXT_PRECISION")
+
+
+def cosine(a: Column, b: Column) -> Column:
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, t: s + t)
+
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def answer_relevancy(pairs: DataFrame, key: str, question: str, generated: str, noncommittal: Column,
+                     threshold: float = 5.0) -> DataFrame:
+    """Mean likeness of a question and those made from its answer, nil if all are noncommittal."""
+    s = pairs.groupBy(key).agg(F.avg(cosine(F.col(question), F.col(generated))).alias("mean"),
+                               F.bool_and(noncommittal).alias("none"))
+    return _scaled(s, key, F.when(F.col("none"), 0.0).otherwise(F.col("mean")) * 10, threshold, "ANSWER_RELEVANCY")
+
+
+def _scaled(df: DataFrame, key: str, score: Column, threshold: float, what: str) -> DataFrame:
+    out = df.select(key, score.alias("score"))
+    ok = F.col("score") >= threshold
+    return out.select(key, "score", (~ok).alias("status"), F.when(ok, f"QUALITY_GOOD.{what}_PASS")
+                      .otherwise(f"QUALITY_BAD.{what}_FAIL").alias("label"))
+
+
+def consistency_verdict(scores: DataFrame, key: str, score: str, threshold: float = 0.5) -> DataFrame:
+    """scores(key, score), one per context: bad if the mean of 1 - score exceeds the threshold."""
+    g = scores.groupBy(key).agg(F.avg(1 - F.col(score)).alias("hallucination"))
+    bad = F.col("hallucination") > threshold
+    return g.select(key, "hallucination", bad.alias("status"), F.when(
+        bad, "QUALITY_BAD_HALLUCINATION.HALLUCINATION_DETECTED").otherwise("QUALITY_GOOD.NO_HALLUCINATION").alias("label"))
+
+
+def search_contexts(results: DataFrame, key: str, order: str, top: int = 2) -> DataFrame:
+    """The answer and the first contents with their source, of searches that succeeded.
+
+    results(key, order, success, answer, items array<struct<url, content>>)
+    """
+    kept = F.filter(F.slice("items", 1, top), lambda r: ~T.is_blank(T.as_text(r["content"])))
+    texts = F.transform(kept, lambda r: F.concat(T.strip(r["content"]), F.lit(" [Source: "),
+                                                 F.coalesce(r["url"], F.lit("Unknown")), F.lit("]")))
+    answer = F.when(F.coalesce(F.col("answer"), F.lit("")) != "", F.array("answer")).otherwise(F.array().cast("array<string>"))
+    return (results.where("success").select(key, order, F.posexplode(F.concat(answer, texts)).alias("pos", "context")))
+
+
+# --- claims --------------------------------------------------------------------------------
+
+def normal_verdict(c: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for kv in X.VERDICT_SYNONYMS.items() for x in kv])
+    return F.coalesce(names[F.upper(T.strip(c))], F.lit("UNVERIFIABLE"))
+
+
+def claim_verdict(result: Column, reasoning: Column) -> Column:
+    """TRUE, FALSE or UNVERIFIABLE; a TRUE argued with hedging words is not verifiable."""
+    v = normal_verdict(result)
+    hedged = F.rlike(F.coalesce(reasoning, F.lit("")), F.lit("(?iud)" + X.HEDGING))
+    return F.when((v == "TRUE") & hedged, "UNVERIFIABLE").otherwise(v)
+
+
+def read_claim_answer(answer: Column) -> dict[str, Column]:
+    """Verdict and reasoning of a model's answer: a flat JSON object, else field by field."""
+    flat = F.regexp_substr(answer, F.lit(r'(?s)\{[^{}]*"verification_result"[^{}]*\}'))
+    string = r'(?s)"%s"\s*:\s*"((?:[^"\\]|\\.)*+)"?'
+    ok = F.try_parse_json(flat).isNotNull()
+
+    def loose(field: str) -> Column:
+        found = F.nullif(F.regexp_extract(answer, string % field, 1), F.lit(""))
+        return F.replace(F.replace(found, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
+
+    verdict = F.nullif(F.regexp_extract(
+        answer, r'(?i)"verification_result"\s*:\s*"(TRUE|FALSE|UNVERIFIABLE)"', 1), F.lit(""))
+    return {
+        "verification_result": F.when(ok, value(flat, "verification_result")).otherwise(F.upper(verdict)),
+        "reasoning": F.when(ok, value(flat, "reasoning")).otherwise(loose("reasoning")),
+        "evidence": F.when(ok, value(flat, "evidence")).otherwise(loose("evidence")),
+    }
+
+
+def article_verdict(claims: DataFrame, key: str, verdict: Column) -> DataFrame:
+    """Claims of an article summed up: bad if one is false or cannot be verified."""
+    n = lambda v: F.count_if(verdict == v)
+    g = claims.groupBy(key).agg(F.count(F.lit(1)).alias("total_claims"), n("TRUE").alias("verified_claims"),
+                                n("FALSE").alias("false_claims"), n("UNVERIFIABLE").alias("unverifiable_claims"))
+    false, unknown = F.col("false_claims"), F.col("unverifiable_claims")
+    return g.withColumns({
+        "score": F.round(F.col("verified_claims") / F.col("total_claims"), 4),
+        "status": (false + unknown) > 0,
+        "label": F.when(false > 0, "QUALITY_BAD_ARTICLE_FACTUAL_ERROR")
+        .when(unknown > 0, "QUALITY_BAD_ARTICLE_UNVERIFIED_CLAIMS").otherwise("QUALITY_GOOD")})
+
+
+def factuality(claims: DataFrame, key: str, answer: str, threshold: float = 0.8) -> DataFrame:
+    """Share of claims answered true; records without claims do not appear in the table."""
+    g = claims.groupBy(key).agg((F.count_if(F.col(answer) == "true") / F.count(F.lit(1))).alias("ratio"))
+    bad = F.col("ratio") < threshold
+    return g.select(key, "ratio", bad.alias("status"), F.when(bad, "QUALITY_BAD_FACTUALITY.FACTUALITY_CHECK_FAILED")
+                    .otherwise("QUALITY_GOOD.FACTUALITY_CHECK_PASSED").alias("label"))
+
+
+def claim_types(claims: DataFrame) -> DataFrame:
+    """Number of claims and of verifiable ones by type."""
+    return claims.groupBy(F.coalesce("claim_type", F.lit("unknown")).alias("claim_type")).agg(
+        F.count(F.lit(1)).alias("claims"),
+        F.count_if(F.coalesce(F.col("verifiable"), F.lit(True))).alias("verifiable"))
+
+
+def distinct_claims(claims: DataFrame, key: str, order: str, claim: str) -> DataFrame:
+    """First of the claims of an article that say nearly the same.
+
+    Equal claims are folded by a grouped minimum first, so that what meets in one task are the
+    different sentences of one article, however often each was extracted.
+    """
+    low = F.lower(T.strip(T.as_text(F.col(claim))))
+    once = (claims.select(key, F.col(order).alias("pos"), F.col(claim).alias("claim"), low.alias("low"))
+            .where("low <> ''").groupBy(key, "low").agg(F.min_by(F.struct("pos", "claim"), "pos").alias("first"))
+            .select(key, "low", "first.pos", "first.claim"))
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        seen: list[str] = []
+        keep = []
+        for text in pdf["low"]:
+            near = any((text in s or s in text) and abs(len(text) - len(s)) < 0.2 * max(len(text), len(s)) for s in seen)
+            keep.append(not near)
+            if not near:
+                seen.append(text)
+        return pdf.loc[keep, [key, "pos", "claim"]]
+
+    kind = dict(claims.dtypes)
+    return once.groupBy(key).applyInPandas(pick, f"{key} {kind[key]}, pos {kind[order]}, claim string")
+
+
+@F.udtf(returnType="chunk_no int, chunk string, start_pos int, end_pos int")
+class ChunkText:
+    """Pieces of a text of at most ``size`` characters, broken behind a sentence or paragraph if
+    one ends in the last fifth."""
+
+    def eval(self, text: str, size: int):
+        start, n = 0, 0
+        while start < len(text) or n == 0:
+            end = start + size
+            if end < len(text):
+                tail = text[start + int(size * 0.8):end]
+                cut = max(tail.rfind(mark) for mark in ("。", ".", "\n\n"))
+                if cut >= 0:
+                    end = start + int(size * 0.8) + cut + 1
+            else:
+                end = len(text) if n == 0 else end
+            yield n, text[start:end], start, end
+            start, n = end, n + 1
+
+
+def paper_references(text: Column) -> dict[str, Column]:
+    """Distinct arXiv ids and DOIs named in a text, sorted."""
+    ids = F.concat(
+        T.find_all(text, T.java(r"\b\d{4}\.\d{4,5}(?:v\d+)?\b")),
+        T.find_all(text, T.java(r"\b[a-z\-]+/\d{7}(?:v\d+)?\b")),
+        T.find_all(text, "(?iu)" + T.java(r"arXiv:\s*(\d{4}\.\d{4,5}(?:v\d+)?|[a-z\-]+/\d{7}(?:v\d+)?)"), 1))
+    dois = T.find_all(text, "(?iu)" + T.java(r"\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b"))
+    return {"arxiv_ids": F.array_sort(F.array_distinct(ids)), "dois": F.array_sort(F.array_distinct(dois))}
+
+
+def language_of(probs: Column, text: Column | None = None) -> Column:
+    """A language out of class probabilities (map); ``mix`` where none stands out."""
+    p = lambda k: F.coalesce(probs[k], F.lit(0.0))
+    both = p("zh") + p("en")
+    # among equals the first class wins
+    best = F.array_max(F.transform(F.map_entries(probs), lambda e, i: F.struct(
+        e["value"].alias("p"), (-i).alias("i"), e["key"].alias("k"))))
+    lang = (F.when(both > 0.5, F.when(p("zh") > 0.4 * both, "zh").otherwise("en"))
+            .when(best["p"] > 0.6, F.when(best["k"] == "hr", "sr").otherwise(best["k"]))
+            .when((best["p"] > 0) & best["k"].isin("sr", "hr"), "sr").otherwise("mix"))
+    return lang if text is None else F.when(text == "", "empty").otherwise(lang)
+
+
+def match_report(report: Column) -> dict[str, Column]:
+    """Missing, nice-to-have and unwanted keywords of a match report in any of its forms."""
+    none = F.array().cast("array<string>")
+    plain = F.from_json(report, "array<string>")
+    details = F.from_json(value(report, "match_details"),
+                          "missing array<struct<skill string, importance string>>, negative_warnings array<struct<skill string>>")
+    rows = F.from_json(value(report, "keyword_analysis"), "array<struct<keyword string, importance string, match_status string>>")
+    gap = F.filter(details["missing"], lambda m: F.coalesce(m["skill"], F.lit("")) != "")
+
+    def from_rows(kind: str, status: str) -> Column:
+        return F.transform(F.filter(rows, lambda k: (F.lower(k["importance"]) == kind)
+                                    & (F.lower(k["match_status"]) == status)), lambda k: k["keyword"])
+
+    def one_of(in_list: Column, in_details: Column, in_rows: Column) -> Column:
+        return F.when(F.rlike(report, F.lit(r"\A\s*\[")), in_list).otherwise(
+            F.coalesce(F.when(details.isNotNull(), F.coalesce(in_details, none)), in_rows, none))
+
+    required = one_of(plain, F.transform(F.filter(gap, lambda m: m["importance"] == "Required"), lambda m: m["skill"]),
+                      from_rows("required", "missing"))
+    nice = one_of(none, F.transform(F.filter(gap, lambda m: F.coalesce(m["importance"], F.lit("")) != "Required"),
+                                    lambda m: m["skill"]), from_rows("nice-to-have", "missing"))
+    unwanted = one_of(none, F.transform(details["negative_warnings"], lambda m: m["skill"]),
+                      from_rows("excluded", "matched"))
+    return {"missing_required": required, "missing_nice": nice, "negative": unwanted,
+            "targeted": (F.size(required) + F.size(nice) + F.size(unwanted)) > 0}
+
+
+# --- boxes ---------------------------------------------------------------------------------
+
+def box_overlaps(boxes: DataFrame, image: str, box: str, cell: float = 256.0) -> DataFrame:
+    """Pairs of valid boxes of an image with IoU >= 0.1, tagged full (>= 0.9) or partial.
+
+    Boxes meet in the grid cells they touch, so a crowded image is split over many tasks; a pair
+    is taken in the cell that holds the corner where its intersection begins.
+    """
+    ok = F.coalesce(F.col("valid"), F.lit(True)) if "valid" in boxes.columns else F.lit(True)
+    b = boxes.where(ok & F.col("x").isNotNull() & F.col("y").isNotNull()
+                    & F.col("width").isNotNull() & F.col("height").isNotNull())
+
+    def cells(low: Column, size: Column) -> Column:
+        return F.sequence(F.floor(low / cell), F.floor((low + size) / cell))
+
+    b = b.select(image, box, "x", "y", "width", "height")
+    b = b.withColumn("cx", F.explode(cells(F.col("x"), F.col("width"))))
+    b = b.withColumn("cy", F.explode(cells(F.col("y"), F.col("height"))))
+    l, r = b.alias("l"), b.alias("r")
+    j = l.join(r, (F.col(f"l.{image}") == F.col(f"r.{image}")) & (F.col("l.cx") == F.col("r.cx"))
+               & (F.col("l.cy") == F.col("r.cy")) & (F.col(f"l.{box}") < F.col(f"r.{box}")))
+    c = lambda s, n: F.col(f"{s}.{n}")
+    left, top = F.greatest(c("l", "x"), c("r", "x")), F.greatest(c("l", "y"), c("r", "y"))
+    right = F.least(c("l", "x") + c("l", "width"), c("r", "x") + c("r", "width"))
+    low = F.least(c("l", "y") + c("l", "height"), c("r", "y") + c("r", "height"))
+    shared = F.greatest(F.lit(0.0), right - left) * F.greatest(F.lit(0.0), low - top)
+    union = c("l", "width") * c("l", "height") + c("r", "width") * c("r", "height") - shared
+    here = (F.floor(left / cell) == c("l", "cx")) & (F.floor(top / cell) == c("l", "cy"))
+    pairs = j.where(here).select(c("l", image).alias(image), c("l", box).alias("box_a"), c("r", box).alias("box_b"),
+                                 F.when(union != 0, shared / union).otherwise(F.lit(0.0)).alias("iou"))
+    return pairs.where("iou >= 0.1").withColumn("overlap", F.when(F.col("iou") >= 0.9, "full").otherwise("partial"))
+
+
+def box_verdicts(pairs: DataFrame, image: str) -> DataFrame:
+    """Overlap counts of each image that has any; such an image is bad."""
+    return pairs.groupBy(image).agg(F.count_if(F.col("overlap") == "full").alias("full"),
+                                    F.count_if(F.col("overlap") == "partial").alias("partial")).select(
+        image, "full", "partial", F.lit(True).alias("status"), F.lit("LabelOverlap_Fail.RuleImageLabelOverlap").alias("label"))
+
+
+def box_attributes(pairs: DataFrame, image: str) -> DataFrame:
+    """Tag of each overlapping box; full overlap wins."""
+    each = pairs.select(image, F.explode(F.array("box_a", "box_b")).alias("box"), "overlap")
+    return each.groupBy(image, "box").agg(F.when(F.max(F.col("overlap") == "full"), "full_overlap")
+                                          .otherwise("partial_overlap").alias("attribute"))
