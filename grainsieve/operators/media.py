@@ -1,0 +1,180 @@
+"""Images and sound.
+
+Images come from Spark's ``image`` source, sound as the bytes of PCM WAV files.
+"""
+
+from __future__ import annotations
+
+import io
+import wave
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from ..registry import ML8, Verdict, rule
+from ..schema import strings
+from .scores import cosine
+
+IMG = "QUALITY_BAD_IMG_"
+
+
+@rule("RuleImageValid", IMG + "EFFECTIVENESS", ("img",), required=("image",))
+def image_valid(f, cfg):
+    img = f.field("image")
+    pixels = F.hex(img["data"])
+    # alpha, the fourth channel, does not count
+    pixels = F.when(img["nChannels"] == 4, F.regexp_replace(pixels, "(.{6}).{2}", "$1")).otherwise(pixels)
+    flat = f.column("pixels", 1, lambda f_: pixels)
+    return Verdict(F.rlike(flat, F.lit(r"\A(?:F+|0+)\z")), strings("Image is not valid: all white or black"))
+
+
+@rule("RuleImageSizeValid", IMG + "EFFECTIVENESS", ("img",), required=("image",))
+def image_size_valid(f, cfg):
+    img = f.field("image")
+    ratio = img["width"] / img["height"]
+    return Verdict((ratio > 4) | (ratio < 0.25), strings(F.concat(
+        F.lit("Image size is not valid, the ratio of width to height: "), ratio.cast("string"))), measure=ratio)
+
+
+def score_rule(name: str, metric_type: str, groups, threshold: float, bad_label: str | None = None) -> None:
+    """A rule on the score of an outside model, bad below the threshold."""
+
+    @rule(name, metric_type, groups, required=("score",), threshold=threshold)
+    def build(f, cfg):
+        s = f.field("score").cast("double")
+        return Verdict(s < cfg.threshold, strings(F.concat(F.lit("score: "), s.cast("string"))), applies=s.isNotNull(),
+                       measure=s, bad_label=F.lit(bad_label) if bad_label else None)
+
+
+score_rule("RuleImageQuality", IMG + "EFFECTIVENESS", ("img",), 5.5)
+score_rule("RuleImageTextSimilarity", IMG + "RELEVANCE", (), 0.17)
+score_rule("RuleImageArtimuse", IMG + "ARTIMUSE", (), 6.0, "Artimuse_Succeeded.BadImage")
+
+
+@rule("RuleHallucinationHHEM", "QUALITY_BAD_HALLUCINATION", ("hallucination", "rag"), required=("scores",), threshold=0.5)
+def hallucination_scores(f, cfg):
+    s = f.field("scores")
+    mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + 1 - x) / F.size(s)
+    missing = s.isNull() | (F.size(s) == 0)
+    return Verdict(missing | (mean > cfg.threshold), F.when(missing, strings("Context is required")), measure=mean,
+                   bad_label=F.when(missing, "QUALITY_BAD.MISSING_CONTEXT")
+                   .otherwise("QUALITY_BAD_HALLUCINATION.HALLUCINATION_DETECTED"),
+                   good_label=F.lit("QUALITY_GOOD.NO_HALLUCINATION"))
+
+
+# --- sound ---------------------------------------------------------------------------------
+
+def _samples(content: bytes) -> tuple[np.ndarray, int, int]:
+    with wave.open(io.BytesIO(content)) as w:
+        rate, frames, width, channels = w.getframerate(), w.getnframes(), w.getsampwidth(), w.getnchannels()
+        raw = w.readframes(frames)
+    if width == 1:
+        x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+    elif width == 3:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / float(1 << 23)
+    else:
+        x = np.frombuffer(raw, f"<i{width}").astype(np.float64) / float(1 << (8 * width - 1))
+    return x.reshape(-1, channels).mean(axis=1) if channels > 1 else x, rate, frames
+
+
+def power_spectrum(x: np.ndarray, rate: int, size: int = 256) -> np.ndarray:
+    """Welch's estimate: Hann windows with half overlap, each freed of its mean."""
+    size = min(size, len(x))
+    if size == 0:
+        return np.zeros(1)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    step = max(size - size // 2, 1)
+    parts = np.lib.stride_tricks.sliding_window_view(x, size)[::step]
+    parts = (parts - parts.mean(axis=1, keepdims=True)) * window
+    p = np.abs(np.fft.rfft(parts, axis=1)) ** 2 / (rate * (window ** 2).sum())
+    p[:, 1:(-1 if size % 2 == 0 else None)] *= 2
+    return p.mean(axis=0)
+
+
+@F.pandas_udf("duration double, snr double")
+def wav_facts(contents: pd.Series) -> pd.DataFrame:
+    """Length in seconds and signal-to-noise ratio in dB (null without noise power)."""
+    rows = []
+    for c in contents:
+        if c is None:
+            rows.append((None, None))
+            continue
+        x, rate, frames = _samples(bytes(c))
+        p = power_spectrum(x, rate)
+        noise = p[p <= np.percentile(p, 50)].sum()
+        rows.append((frames / rate, round(float(10 * np.log10(p.sum() / noise)), 2) if noise > 0 else None))
+    return pd.DataFrame(rows, columns=["duration", "snr"])
+
+
+# the two names are swapped in the rule set this one follows: the first looks at noise
+@rule("RuleAudioDuration", "QUALITY_BAD_EFFECTIVENESS", ML8, required=("audio",), threshold=8.0)
+def audio_noise(f, cfg):
+    snr = f.column("wav", 1, lambda f_: wav_facts(f_.field("audio")))["snr"]
+    return Verdict(snr.isNull() | (snr < cfg.threshold), strings(F.when(
+        snr.isNull(), "The audio power is zero. Cannot calculate SNR.")
+        .otherwise("The audio signal-to-noise ratio is too low.")), measure=snr)
+
+
+@rule("RuleAudioSnrQuality", "QUALITY_BAD_EFFECTIVENESS", ML8, required=("audio",), threshold=10.0)
+def audio_length(f, cfg):
+    seconds = f.column("wav", 1, lambda f_: wav_facts(f_.field("audio")))["duration"]
+    return Verdict(seconds > cfg.threshold, strings("The audio duration is too long."),
+                   applies=f.field("audio").isNotNull(), measure=seconds)
+
+
+# --- near duplicates -----------------------------------------------------------------------
+
+BANDS, WIDTH, RADIUS = 4, 16, 2
+
+
+def _flips() -> list[int]:
+    """Every 16-bit mask of at most two set bits."""
+    one = [1 << i for i in range(WIDTH)]
+    return [0, *one, *[a | b for i, a in enumerate(one) for b in one[i + 1:]]]
+
+
+def near_duplicates(df: DataFrame, key: str, code: str, vec: str, distance: int = 10,
+                    likeness: float = 0.97) -> DataFrame:
+    """Records with a partner whose 64-bit hash differs in at most ten bits and whose vector is
+    nearly parallel; gives the key and the lowest key of the record's identical copies.
+
+    Identical records are folded first, so a crowd of copies is one row.  Of two hashes at most
+    ten bits apart one of the four 16-bit bands differs in at most two bits: one side is looked
+    up under all such neighbours, and no pair is missed.
+    """
+    if distance >= BANDS * (RADIUS + 1):
+        raise ValueError(f"distance must stay below {BANDS * (RADIUS + 1)}")
+    once = df.groupBy(code, vec).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(
+        b.alias("band"), F.call_function("shiftright", F.col(code), b * WIDTH).bitwiseAND(F.lit(0xFFFF)).alias("bits")))
+    keyed = once.select("rep", code, vec, F.inline(bands))
+    probes = keyed.withColumn("flip", F.explode(F.array(*[F.lit(m) for m in _flips()]))).select(
+        F.col("rep").alias("a"), F.col(code).alias("code_a"), F.col(vec).alias("vec_a"), "band",
+        F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"))
+    near = probes.join(keyed, ["band", "bits"]).where(
+        (F.col("a") != F.col("rep")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col(code))) <= distance)
+        & (cosine(F.col("vec_a"), F.col(vec)) >= likeness))
+    paired = near.select("rep").distinct()
+    crowd = once.where("copies > 1").select("rep").union(paired).distinct()
+    hit = once.join(crowd, "rep").select(code, vec, "rep")
+    return df.join(hit, [code, vec]).select(key, "rep")
+
+
+@F.pandas_udf("unique_a string, unique_b string, common string")
+def text_difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """What only the first, only the second and both texts hold, each cut at 10 000 characters."""
+    from difflib import SequenceMatcher
+
+    def split(x: str, y: str) -> tuple[str, str, str]:
+        only_x, only_y, both = [], [], []
+        for op, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+            if op == "equal":
+                both.append(x[i:j])
+            else:
+                only_x.append(x[i:j])
+                only_y.append(y[k:m])
+        return tuple("".join(p)[:10000] for p in (only_x, only_y, both))
+
+    return pd.DataFrame([split(x or "", y or "") for x, y in zip(a, b)], columns=["unique_a", "unique_b", "common"])

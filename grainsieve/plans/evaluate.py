@@ -42,8 +42,10 @@ class Check:
 
     @staticmethod
     def group(fields: dict[str, str], name: str, **config) -> "Check":
+        """The members of a rule group whose fields the check maps (sound rules need ``audio``)."""
         load_all()
-        return Check.of(fields, group(name), **config)
+        members = [n for n in group(name) if not fields or set(find(n).required) <= set(fields)]
+        return Check.of(fields, members, **config)
 
     @property
     def key(self) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainsieve.functions import fixed as X
-from grainsieve.operators import scores as R, security
+from grainsieve.operators import media, scores as R, security
 from grainsieve.plans.evaluate import Check, spread, verdicts_of
 from grainsieve.registry import RULES
 
@@ -294,3 +294,29 @@ def pii_email_findings(spark, sf):
 def pii_findings_by_type(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return security.pii_table(d, "doc_id", "text").groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- near duplicates -----------------------------------------------------------------------
+
+_CODE = "(" + " + ".join(f"(CASE WHEN {{e}}[{{i{i}}}] > 0 THEN CAST({2 ** i} AS BIGINT) ELSE CAST(0 AS BIGINT) END)" for i in range(48)) + ")"
+
+
+def _code(e: str, base: int) -> str:
+    return _CODE.format(e=e, **{f"i{i}": i + base for i in range(48)})
+
+
+@query("near_duplicates", f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, {_code('embedding', 1)} AS code FROM embeddings)
+SELECT DISTINCT a.vec_id FROM e a JOIN e b ON a.vec_id <> b.vec_id AND bit_count(xor(a.code, b.code)) <= 10
+ AND list_cosine_similarity(a.v, b.v) >= 0.97""")
+def near_duplicates(spark, sf):
+    e = table(spark, sf, "embeddings").selectExpr("vec_id", "embedding", f"{_code('embedding', 0)} AS code")
+    return media.near_duplicates(e, "vec_id", "code", "embedding").select("vec_id")
+
+
+@query("text_difference")
+def text_difference(spark, sf):
+    c = table(spark, sf, "conversations")
+    a = c.where("role = 'user'").select("conv_id", F.col("turn").alias("t"), F.col("text").alias("a"))
+    b = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("t"), F.col("text").alias("b"))
+    return a.join(b, ["conv_id", "t"]).select("conv_id", "t", media.text_difference("a", "b").alias("d")).select("conv_id", "t", "d.*")
