@@ -10,7 +10,7 @@ import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as ty
 
 from ..registry import ML8, Verdict, rule
 from ..schema import strings
@@ -93,7 +93,7 @@ def power_spectrum(x: np.ndarray, rate: int, size: int = 256) -> np.ndarray:
     return p.mean(axis=0)
 
 
-@F.pandas_udf("duration double, snr double")
+@F.pandas_udf(ty.StructType([ty.StructField("duration", ty.DoubleType()), ty.StructField("snr", ty.DoubleType())]))
 def wav_facts(contents: pd.Series) -> pd.DataFrame:
     """Length in seconds and signal-to-noise ratio in dB (null without noise power)."""
     rows = []
@@ -162,7 +162,7 @@ def near_duplicates(df: DataFrame, key: str, code: str, vec: str, distance: int
     return df.join(hit, [code, vec]).select(key, "rep")
 
 
-@F.pandas_udf("unique_a string, unique_b string, common string")
+@F.pandas_udf(ty.StructType([ty.StructField(n, ty.StringType()) for n in ("unique_a", "unique_b", "common")]))
 def text_difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """What only the first, only the second and both texts hold, each cut at 10 000 characters."""
     from difflib import SequenceMatcher

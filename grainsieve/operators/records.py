@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as ty
 
 from ..functions import fixed as X
 from ..functions import text as T
@@ -36,7 +36,7 @@ def isbn(f, cfg):
     return Verdict(~F.coalesce(ten | thirteen, F.lit(False)), strings(n))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(ty.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio; rows without a pair are passed over."""
     return pd.Series([

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as ty
 
 from ..functions import fixed as X
 from ..functions import text as T
@@ -173,7 +173,9 @@ def distinct_claims(claims: DataFrame, key: str, order: str, claim: str) -> Data
     return once.groupBy(key).applyInPandas(pick, f"{key} {kind[key]}, pos {kind[order]}, claim string")
 
 
-@F.udtf(returnType="chunk_no int, chunk string, start_pos int, end_pos int")
+@F.udtf(returnType=ty.StructType([
+    ty.StructField("chunk_no", ty.IntegerType()), ty.StructField("chunk", ty.StringType()),
+    ty.StructField("start_pos", ty.IntegerType()), ty.StructField("end_pos", ty.IntegerType())]))
 class ChunkText:
     """Pieces of a text of at most ``size`` characters, broken behind a sentence or paragraph if
     one ends in the last fifth."""

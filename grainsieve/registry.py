@@ -109,8 +109,14 @@ def judge(name: str, prompt: str = "{content}", required: tuple[str, ...] = ("co
     return add
 
 
+def _load() -> None:
+    from .operators import load_all
+    load_all()
+
+
 def group(name: str) -> list[str]:
     """Rule names of a group, in registration order."""
+    _load()
     members = [r.name for r in RULES.values() if name in r.groups]
     if not members:
         raise KeyError(f"unknown rule group: {name}")
@@ -127,6 +133,7 @@ def find(name: str) -> Rule | Judge:
 
 def catalog(spark: SparkSession) -> DataFrame:
     """One row per registered evaluator."""
+    _load()
     rows = [(r.name, "rule", r.metric_type, sorted(r.groups), list(r.required)) for r in RULES.values()]
     rows += [(j.name, "judge", None, [], list(j.required)) for j in JUDGES.values()]
     return spark.createDataFrame(
