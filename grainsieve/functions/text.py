@@ -135,27 +135,33 @@ def lines_of(c: Column) -> Column:
 # Treebank word splitting, rewritten with groups only so that it also runs on RE2.  A full stop
 # is cut off at the end of the text and before white space with no lower-case letter behind it.
 TREEBANK = [
-    (r'^"', r"`` "),
     (r'([ (\[{<])"', r"\1 `` "),
-    (r"\.\.\.", r" ... "),
+    (r"(\.\.\.|--|[;@#$%&?!\[\](){}<>])", r" \1 "),
     (r"([:,])([^0-9])", r" \1 \2"),
-    (r"([:,])$", r" \1 "),
-    (r"([;@#$%&?!])", r" \1 "),
-    (r"\.(\s+[^a-z\s])", r" . \1"),
-    (r"\.(\s*)$", r" . \1"),
-    (r"([\[\](){}<>])", r" \1 "),
-    (r"--", r" -- "),
+    (r"([^.])\.(\s+[^a-z\s])", r"\1 . \2"),
+    (r"([^.])\.(\s*)$", r"\1 . \2"),
     (r'"', r" '' "),
+]
+TREEBANK_CONTRACTIONS = [
     (r"([^' ])('(?:[sSmMdD]|ll|LL|re|RE|ve|VE)?) ", r"\1 \2 "),
     (r"([^' ])(n't|N'T) ", r"\1 \2 "),
 ]
 
 
-def treebank_of(c: Column) -> Column:
-    out = F.concat(F.lit(" "), c, F.lit(" "))
-    for pattern, target in TREEBANK:
-        out = F.regexp_replace(out, java(pattern), re.sub(r"\\(\d)", r"$\1", target))
-    return F.filter(F.split(out, f"[{X.SPACE}]+", -1), lambda t: t != "")
+def _rewrite(c: Column, steps) -> Column:
+    for pattern, target in steps:
+        c = F.regexp_replace(c, java(pattern), re.sub(r"\\(\d)", r"$\1", target))
+    return c
+
+
+def treebank_split(c: Column) -> Column:
+    """Text with its tokens set apart, before contractions are looked at."""
+    return _rewrite(F.concat(F.lit(" "), c, F.lit(" ")), TREEBANK)
+
+
+def treebank_of(split: Column) -> Column:
+    out = F.when(F.contains(split, F.lit("'")), _rewrite(split, TREEBANK_CONTRACTIONS)).otherwise(split)
+    return F.filter(F.split(out, SPACES, -1), lambda t: t != "")
 
 
 def luhn_ok(digits: Column) -> Column:

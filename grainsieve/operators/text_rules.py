@@ -238,7 +238,7 @@ for _lang in MULTI_LANGUAGES:
 @rule("RuleAlphaWords", EFFECTIVENESS, ("pretrain",), threshold=0.6)
 def alpha_words(f, cfg):
     n = F.size(F.filter(f.treebank, lambda t: F.rlike(t, F.lit(r"\p{L}"))))
-    r = f.column("alpha_share", 2, lambda f_: share(n, F.size(f_.treebank)))
+    r = f.column("alpha_share", 3, lambda f_: share(n, F.size(f_.treebank)))
     return Verdict(~(r > cfg.threshold),
                    say("The ratio of words that contain at least one alphabetic character is: ", r),
                    applies=F.size(f.treebank) > 0, measure=r)
@@ -373,7 +373,7 @@ def line_javascript_count(f, cfg):
       ("default", "sft", "pretrain", "benchmark", "text_base_all", "llm_base", *ML8, "pdf"), threshold=80)
 def doc_repeat(f, cfg):
     total = F.length(F.array_join(f.mixed_words, ""))
-    score = f.column("repeat_score", 7, lambda f_: F.when(
+    score = f.column("repeat_score", 8, lambda f_: F.when(
         (F.size(f_.mixed_words) >= 6) & (total > 0),
         f_.covered_chars.cast("double") / total * 100).otherwise(F.lit(0.0)))
     return Verdict(score >= cfg.threshold, say("Repeatability of text is too high, with ratio： ", score),

@@ -32,12 +32,16 @@ def _covered_chars(f: "Features") -> Column:
     return F.aggregate(F.transform(spots, stretch), F.lit(0), lambda a, x: a + x)
 
 
-def _ngrams(f: "Features") -> Column:
+def _grams(f: "Features") -> Column:
     words = f.mixed_words
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(words) - 5),
-        lambda i: F.struct(F.array_join(F.slice(words, i, 6), " ").alias("g"), i.alias("i")))
-    return F.when(F.size(words) >= 6, F.array_sort(grams))
+    return F.when(F.size(words) >= 6, F.transform(
+        F.sequence(F.lit(1), F.size(words) - 5), lambda i: F.array_join(F.slice(words, i, 6), " ")))
+
+
+def _ngrams(f: "Features") -> Column:
+    """The n-grams with their places, in order; null where none comes twice, as in most texts."""
+    placed = F.transform(f.grams, lambda g, i: F.struct(g.alias("g"), (i + 1).alias("i")))
+    return F.when(F.size(F.array_distinct(f.grams)) < F.size(f.grams), F.array_sort(placed))
 
 
 def _repeat_spots(f: "Features") -> Column:
@@ -56,7 +60,8 @@ FEATURES = {
     "folded": (1, lambda f: T.fold(f.content)),
     "tokens": (1, lambda f: T.tokens_of(f.content)),
     "lines": (1, lambda f: T.lines_of(f.content)),
-    "treebank": (1, lambda f: T.treebank_of(f.content)),
+    "treebank_split": (1, lambda f: T.treebank_split(f.content)),
+    "treebank": (2, lambda f: T.treebank_of(f.treebank_split)),
     "tail": (1, lambda f: F.right(f.content, F.lit(100))),
     # lower case with the two letters that match s and i in case-blind patterns
     "lowered": (1, lambda f: F.translate(F.lower(f.content), "ſı", "si")),
@@ -64,9 +69,10 @@ FEATURES = {
     "folded_lines": (2, lambda f: T.lines_of(f.folded)),
     "words": (3, lambda f: T.words_of(f.norm)),
     "mixed_words": (3, lambda f: T.mixed_words_of(f.norm)),
-    "ngrams": (4, _ngrams),
-    "repeat_spots": (5, _repeat_spots),
-    "covered_chars": (6, _covered_chars),
+    "grams": (4, _grams),
+    "ngrams": (5, _ngrams),
+    "repeat_spots": (6, _repeat_spots),
+    "covered_chars": (7, _covered_chars),
 }
 
 
