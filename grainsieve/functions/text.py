@@ -61,8 +61,8 @@ def as_text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Cut white space of any kind from both ends (``trim`` knows the blank only)."""
-    return F.regexp_replace(c, f"^[{X.SPACE}]+|[{X.SPACE}]+\\z", "")
+    """Cut white space of any kind from both ends (plain ``trim`` knows the blank only)."""
+    return F.btrim(c, F.lit(X.SPACE_CHARS))
 
 
 def is_blank(c: Column) -> Column:

@@ -58,7 +58,7 @@ def content_short_multi_lan(f, cfg):
 
 @rule("RuleCharNumber", EFFECTIVENESS, ("pretrain",), threshold=100)
 def char_number(f, cfg):
-    n = f.column("visible_chars", 2, lambda f_: F.length(F.regexp_replace(T.strip(f_.content), "[ \n\t]+", "")))
+    n = f.column("visible_chars", 2, lambda f_: F.length(F.translate(T.strip(f_.content), " \n\t", "")))
     return Verdict(n < cfg.threshold, say("The number of char is: ", n), measure=n)
 
 
