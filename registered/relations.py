@@ -298,11 +298,10 @@ def pii_findings_by_type(spark, sf):
 
 # --- near duplicates -----------------------------------------------------------------------
 
-_CODE = "(" + " + ".join(f"(CASE WHEN {{e}}[{{i{i}}}] > 0 THEN CAST({2 ** i} AS BIGINT) ELSE CAST(0 AS BIGINT) END)" for i in range(48)) + ")"
-
-
-def _code(e: str, base: int) -> str:
-    return _CODE.format(e=e, **{f"i{i}": i + base for i in range(48)})
+def _code(e: str, base: int, bits: int = 48) -> str:
+    """A sign-bit hash of the first coordinates, in SQL."""
+    return "(" + " + ".join(f"(CASE WHEN {e}[{i + base}] > 0 THEN CAST({2 ** i} AS BIGINT) ELSE CAST(0 AS BIGINT) END)"
+                            for i in range(bits)) + ")"
 
 
 @query("near_duplicates", f"""
@@ -314,6 +313,15 @@ def near_duplicates(spark, sf):
     return media.near_duplicates(e, "vec_id", "code", "embedding").select("vec_id")
 
 
+@query("near_duplicates_wide", f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, {_code('embedding', 1, 32)} AS code FROM embeddings)
+SELECT DISTINCT a.vec_id FROM e a JOIN e b ON a.vec_id <> b.vec_id AND bit_count(xor(a.code, b.code)) <= 10
+ AND list_cosine_similarity(a.v, b.v) >= 0.3""")
+def near_duplicates_wide(spark, sf):
+    e = table(spark, sf, "embeddings").selectExpr("vec_id", "embedding", f"{_code('embedding', 0, 32)} AS code")
+    return media.near_duplicates(e, "vec_id", "code", "embedding", likeness=0.3).select("vec_id")
+
+
 @query("text_difference")
 def text_difference(spark, sf):
     c = table(spark, sf, "conversations")
