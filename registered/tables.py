@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from grainsieve.operators import text_rules  # noqa: F401
@@ -234,6 +236,9 @@ def running_label_counts(spark, sf):
     stream = spark.readStream.schema("doc_id long, text string").parquet(f"{sf}/documents.parquet*")
     counts = running.running_label_counts(stream, [Check.of({"content": "text"}, SMALL[:2])])
     name = "running_label_counts"
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
+    writer = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        writer = writer.option("checkpointLocation", f"{shared}/{name}-{uuid.uuid4().hex}")
+    writer.start().awaitTermination()
     return spark.table(name)
