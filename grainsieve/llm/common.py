@@ -223,3 +223,19 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", r
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(
         F.min("component").alias("component"))
+
+
+# ---- spans ------------------------------------------------------------------------------------------------------
+
+def span_digests(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    """doc_id, the count of each base kind, base_sha256 and spans, of rows with an array `spans` of (kind, start, end)."""
+    def written(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    kept = F.filter("spans", lambda s: s["kind"].isin(*base))
+    return found.select("doc_id", *map(count, base), F.sha2(written(kept).cast("binary"), 256).alias("base_sha256"),
+                        written(F.col("spans")).alias("spans"))

@@ -218,10 +218,6 @@ def find(text: str) -> list[Span]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def joined(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-
-
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
                                  T.StructField("end", T.LongType())]))
 
@@ -254,18 +250,6 @@ def redact(text: str, spans: list[Span], mark: str = "[{}]") -> str:
     return "".join([*out, text[at:]])
 
 
-def written(spans, among: tuple[str, ...] | None = None):
-    """The array of spans as kind:start:end joined by commas."""
-    kept = F.filter(spans, lambda s: s["kind"].isin(*among)) if among else spans
-    return F.concat_ws(",", F.transform(kept, lambda s: F.concat_ws(
-        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-
-
-def digests(docs: DataFrame, base: tuple[str, ...] = BASE) -> DataFrame:
+def digests(docs: DataFrame) -> DataFrame:
     """doc_id, the counts of each base kind, base_sha256 and spans, by way of scan."""
-    found = scan(docs)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(written(F.col("spans"), base).cast("binary"), 256).alias("base_sha256"),
-                        written(F.col("spans")).alias("spans"))
-
-
+    return common.span_digests(scan(docs), BASE)
