@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, extract, packing, pii, secrets
+from . import bpe, extract, packing, pii, secrets, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,24 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_main_text")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
+
+
+TOP_K_SQL = """
+WITH valid AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v, row_number() OVER () AS r
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, q.r AS qr, c.vec_id, c.r, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM valid q JOIN valid c ON q.r <> c.r WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM scored WINDOW w AS (PARTITION BY qr ORDER BY score DESC, vec_id, r)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query("op3_exact_top_k", TOP_K_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
