@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, extract, packing, pii, secrets, vectors
+from . import bpe, extract, packing, pii, secrets, vector_dedup, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,8 @@ QUALIFY row_number() OVER w <= 5
 @query("op3_exact_top_k", TOP_K_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
+
+
+@query("op10_vector_near_duplicates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
