@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, extract, packing, pii, secrets, vector_dedup, vectors
+from . import bpe, extract, ngram_join, packing, pii, secrets, vector_dedup, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_vector_near_duplicates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+@query("op1_ngram_jaccard_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), ngram_join.Rule(4, 85))
