@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, extract, ngram_join, packing, pii, secrets, vector_dedup, vectors
+from . import bpe, extract, ngram_join, packing, pii, secrets, suffix_dedup, vector_dedup, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +81,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), ngram_join.Rule(4, 85))
+
+
+REPEATS_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+), windows AS (
+  SELECT doc_id, s, md5(array_to_string(list_slice(w, s + 1, s + 50), ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS s FROM words WHERE len(w) >= 50)
+), seen AS (
+  SELECT doc_id, s, first_value(doc_id) OVER o AS source_id, row_number() OVER o AS nth
+  FROM windows WINDOW o AS (PARTITION BY h ORDER BY doc_id, s)
+), marked AS (
+  SELECT doc_id, s, source_id,
+    CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 1 ELSE 0 END AS begins
+  FROM seen WHERE nth > 1
+), islands AS (
+  SELECT doc_id, s, source_id, sum(begins) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM marked
+), spans AS (
+  SELECT doc_id, island, min(s) AS start_word, max(s) + 50 - min(s) AS n_words FROM islands GROUP BY doc_id, island
+)
+SELECT DISTINCT doc_id, CAST(start_word AS BIGINT) AS start_word, CAST(n_words AS BIGINT) AS n_words, source_id
+FROM spans JOIN islands USING (doc_id, island)
+"""
+
+
+@query("op6_repeated_passages", REPEATS_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeats(table(spark, sf_dir, "documents"), suffix_dedup.Passage(50))
+    return found.select("doc_id", "start_word", "n_words", F.explode("source_ids").alias("source_id"))
