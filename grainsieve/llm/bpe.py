@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from . import common, pretokens
 
-#: Distinct pieces whose ids a task remembers, and the longest of them in characters; the rest are merged anew.
-CACHE_PIECES, CACHE_CHARS = 500_000, 48
+#: Distinct pieces whose ids a task remembers, and the longest of them in bytes; the rest are merged anew.
+CACHE_PIECES, CACHE_CHARS = 1_000_000, 48
 
 
 @lru_cache(2)
@@ -126,72 +126,97 @@ class Merger:
 
 
 class PieceCache:
-    """Ids of pieces; a piece gets a row number, and the ids of all rows lie in one array."""
+    """Ids of pieces. Pieces are found by a hash of their bytes and then compared with the bytes kept, so equal hashes
+    of different pieces do no harm; a piece gets a row number, and the ids and bytes of all rows lie in two arrays."""
 
     def __init__(self, ids_of: Callable[[list[str]], list[list[int]]], most: int = CACHE_PIECES):
         self.ids_of, self.most = ids_of, most
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.first, self.ids, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
-
-    def add(self, pieces: list[str]) -> None:
-        found = self.ids_of(pieces)
-        ids = np.array([i for x in found for i in x], np.int32)
-        ends = self.first[self.n] + np.cumsum([len(x) for x in found])
-        while self.n + len(found) >= len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        while ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.first[self.n]:ends[-1]] = ids
-        self.first[self.n + 1:self.n + 1 + len(found)] = ends
-        self.rows.update(zip(pieces, range(self.n, self.n + len(found))))
-        self.n += len(found)
-
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, one after the other, and how many each has."""
+        self.rows: dict[int, int] = {}
+        self.n = 0
+        self.ids, self.raw = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.uint8)
+        self.id_at, self.raw_at = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _add(self, pieces: list[str]) -> int:
+        """Rows for these pieces; the number of the first."""
+        found, raw = self.ids_of(pieces), [p.encode("utf-8") for p in pieces]
+        self.ids = _appended(self.ids, self.id_at[self.n], np.array([i for x in found for i in x], np.int32))
+        self.raw = _appended(self.raw, self.raw_at[self.n], np.frombuffer(b"".join(raw), np.uint8))
+        first = self.n
+        self.id_at = _appended(self.id_at, first + 1, self.id_at[first] + np.cumsum([len(x) for x in found]))
+        self.raw_at = _appended(self.raw_at, first + 1, self.raw_at[first] + np.cumsum([len(x) for x in raw]))
+        self.n += len(pieces)
+        return first
+
+    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: Callable[[int], str]
+               ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces that lie at these bytes, one after the other, and how many each has."""
         if self.n > self.most:
             self.clear()
-        rows = list(map(self.rows.get, pieces))
+        size = ends - starts
+        hashes, first, which = np.unique(common.run_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        rows = list(map(self.rows.get, keys))
         if None in rows:
-            missing = list(dict.fromkeys(p for p, r in zip(pieces, rows) if r is None))
-            self.add(missing)
-            rows = list(map(self.rows.__getitem__, pieces))
-            for p in missing:
-                if len(p) > CACHE_CHARS:
-                    del self.rows[p]  # not kept for later calls; its ids go with the next clear()
-        rows = np.array(rows, np.int64)
-        start, count = self.first[rows], self.first[rows + 1] - self.first[rows]
+            open_ = [i for i, r in enumerate(rows) if r is None]
+            at = self._add([piece(int(first[i])) for i in open_])
+            for k, i in enumerate(open_):
+                rows[i] = at + k
+                if size[first[i]] <= CACHE_CHARS:  # longer ones are not kept for later calls
+                    self.rows[keys[i]] = at + k
+        rows = np.array(rows, np.int64)[which]
+        odd = self.raw_at[rows + 1] - self.raw_at[rows] != size
+        same = np.where(odd, 0, size)
+        ends_ = np.cumsum(same)
+        reach = np.arange(ends_[-1] if len(ends_) else 0)
+        here, there = reach + np.repeat(starts - ends_ + same, same), reach + np.repeat(self.raw_at[rows] - ends_ + same, same)
+        if not odd.any() and (data[here] == self.raw[there]).all():
+            odd = None
+        else:
+            odd[np.searchsorted(ends_, np.flatnonzero(data[here] != self.raw[there]), side="right")] = True
+            at = np.flatnonzero(odd)
+            rows[at] = self._add([piece(int(i)) for i in at]) + np.arange(len(at))
+        start, count = self.id_at[rows], self.id_at[rows + 1] - self.id_at[rows]
         total = np.cumsum(count)
         at = np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + count, count)
         return self.ids[at], count
 
 
+def _appended(array: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
+    """The array with `more` written from `at` on, doubled until it fits."""
+    while at + len(more) > len(array):
+        array = np.concatenate([array, np.zeros_like(array)])
+    array[at:at + len(more)] = more
+    return array
+
+
 @lru_cache(1)
 def rank_cache(path: str) -> PieceCache:
     """The cache of a Python worker, kept from task to task."""
     return PieceCache(Merger(ranks(path)))
 
 
-def encoded(batches: Iterator[pa.RecordBatch], text: str, cache: PieceCache, text_bytes: int = common.SLICE_BYTES // 2
-            ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterator[pa.RecordBatch], text: str, cache: PieceCache, text_bytes: int = common.SLICE_BYTES
+            ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Callable[[], np.ndarray]]]:
     """For runs of rows: the rows, all ids, the first id of each text (one more than texts), then the code point at
-    which each id's piece begins, within its text, and the joined texts' lengths."""
+    which each id's piece begins, within its text (a function, as few need it)."""
     for batch in common.slices(batches, text, text_bytes):
         data, offs = common.buffers(batch.column(batch.schema.get_field_index(text)))
         joined = data.tobytes().decode("utf-8")
-        # code points before each text: bytes that don't continue a character
-        heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        firsts = heads[offs]
+        heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # the byte at which each code point begins
+        firsts = np.searchsorted(heads, offs)
         cut = pretokens.boundaries(joined, firsts[:-1])
         stops = np.append(cut[1:], len(joined))
-        pieces = list(map(joined.__getitem__, map(slice, cut.tolist(), stops.tolist())))
-        ids, count = cache.encode(pieces)
+        ids, count = cache.encode(data, heads[cut], heads[stops], lambda i: joined[cut[i]:stops[i]])
         before = np.concatenate([[0], np.cumsum(count)])
         of_text = before[np.searchsorted(cut, firsts)]
-        text_of = np.searchsorted(firsts, cut, side="right") - 1
-        yield batch, ids, of_text, np.repeat(cut - firsts[text_of], count), np.diff(firsts)
+
+        def places() -> np.ndarray:
+            return np.repeat(cut - firsts[np.searchsorted(firsts, cut, side="right") - 1], count)
+
+        yield batch, ids, of_text, places
 
 
 ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
@@ -211,11 +236,11 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = rank_cache(ranks_path)
-        for batch, ids, firsts, places, _ in encoded(batches, "__text", cache):
+        for batch, ids, firsts, places in encoded(batches, "__text", cache):
             out = [batch.column(i) for i in range(len(keep))]
             out.append(pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pa.array(ids, pa.int32())))
             if offsets:
-                out.append(pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pa.array(places, pa.int32())))
+                out.append(pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pa.array(places(), pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names=kinds.names)
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, kinds)

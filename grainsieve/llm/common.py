@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -51,6 +51,19 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def folded(partial: DataFrame, fold: Callable[[bytes, bytes], bytes]) -> list:
+    """Rows (chunk, counts) of a table of fixed size, cut into chunks: each task's part folded by chunk on the executors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, bytes] = {}
+        for batch in batches:
+            for chunk, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[chunk] = fold(held[chunk], value) if chunk in held else value
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.binary())],
+                                         names=["chunk", "counts"])
+
+    return partial.repartition("chunk").mapInArrow(run, "chunk int, counts binary").collect()
+
+
 # ---- text buffers -----------------------------------------------------------------------------------------------
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +185,28 @@ class Words:
         return mix(h ^ (e - s + 1).astype(np.uint64)), s + lo, e + 1 + lo
 
 
+@lru_cache(1)
+def _plain_values() -> np.ndarray:
+    return np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each run; runs rise and don't overlap."""
+    out = np.empty(len(starts), np.uint64)
+    values = _plain_values()
+    i = 0
+    while i < len(starts):
+        # as many runs as fit one pass, one at least
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PASS_BYTES, side="right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        up, down = _power_tables(hi - lo)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data[lo:hi]] * up)])
+        s, e = starts[i:j] - lo, ends[i:j] - lo
+        out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+        i = j
+    return mix(out)
+
+
 def shingles(words: Words, i: int, size: int) -> np.ndarray:
     """Distinct sorted shingle hashes of text i; the whole sequence as one shingle where it is shorter; none without words."""
     w = words.hashes[words.first[i]:words.first[i + 1]]

@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, text: str = "text", end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         added = _vocabulary(tokenizer)[1]
-        for batch, ids, firsts, _, _ in bpe.encoded(batches, "__text", _cache(tokenizer)):
+        for batch, ids, firsts, _ in bpe.encoded(batches, "__text", _cache(tokenizer)):
             ids = ids.astype("<u4")
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             rows, kept = [], []
