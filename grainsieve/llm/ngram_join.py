@@ -88,25 +88,11 @@ def counted(docs: DataFrame, size: int) -> np.ndarray:
 
     partial = docs.select(F.col("text").alias("__text")).mapInArrow(run, "chunk int, counts binary")
     out = np.zeros((CELL_CHUNKS, CELLS // CELL_CHUNKS), np.int64)
-    for chunk, counts in _folded(partial, lambda a, b: (np.frombuffer(a, np.int64) + np.frombuffer(b, np.int64)).tobytes()):
+    for chunk, counts in common.folded(partial, lambda a, b: (np.frombuffer(a, np.int64) + np.frombuffer(b, np.int64)).tobytes()):
         out[chunk] = np.frombuffer(counts, np.int64)
     return out.ravel()
 
 
-def _folded(partial: DataFrame, fold) -> list:
-    """One row per chunk, folded in two steps so that no task holds what all tasks made."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, bytes] = {}
-        for batch in batches:
-            for chunk, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[chunk] = fold(held[chunk], value) if chunk in held else value
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.binary())],
-                                         names=["chunk", "counts"])
-
-    schema = "chunk int, counts binary"
-    return partial.repartition("chunk").mapInArrow(run, schema).collect()
-
-
 def sieve(rows: DataFrame, column: str, n: int) -> np.ndarray:
     """A bit array in which the bit of every value of the column is set; at most FILTER_BITS bits.
 
@@ -127,7 +113,7 @@ def sieve(rows: DataFrame, column: str, n: int) -> np.ndarray:
                                          names=["chunk", "counts"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for chunk, value in _folded(rows.select(column).mapInArrow(run, "chunk int, counts binary"),
+    for chunk, value in common.folded(rows.select(column).mapInArrow(run, "chunk int, counts binary"),
                                 lambda a, b: (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes()):
         out[chunk * piece // 8:(chunk + 1) * piece // 8] = np.frombuffer(value, np.uint8)
     return out

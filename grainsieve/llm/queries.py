@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, ngram_join, packing, pii, secrets, suffix_dedup, vector_dedup, vectors
+from . import bpe, extract, ngram_join, packing, pii, secrets, suffix_dedup, toxicity, vector_dedup, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,8 @@ FROM spans JOIN islands USING (doc_id, island)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeats(table(spark, sf_dir, "documents"), suffix_dedup.Passage(50))
     return found.select("doc_id", "start_word", "n_words", F.explode("source_ids").alias("source_id"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
