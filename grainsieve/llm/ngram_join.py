@@ -208,8 +208,39 @@ def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id") -> DataFrame
     The text is read three times and never shuffled: for the table of counts that orders n-grams, for the rarest
     n-grams of each document, and, for documents with enough n-grams in common with others, for their sets.
     """
-    spark = docs.sparkSession
-    scratch = common.Scratch(spark, "ngramjoin")
+    rows, groups = _grouped(docs, rule, key)
+    return (rows.select("id", "n", "member").join(groups, "member", "left")
+            .select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                    F.coalesce("component_id", "id").alias("component_id")))
+
+
+def representatives(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id") -> DataFrame:
+    """The rows, with their columns, that stay when one of each group of linked rows does: the one with the smallest key.
+
+    Rows without words and rows with a null key are in no group and stay. Of rows that repeat with key and text one
+    stays, of rows that share the smallest key the one whose text has the smallest hash.
+    """
+    rows, groups = _grouped(docs, rule, key)
+    scratch = common.Scratch(docs.sparkSession, "representatives")
+    named = rows.select("id", "version", "member").join(groups.select("member", "group"), "member").groupBy(
+        "group", "id", "version").agg(F.count("*").alias("rows"))
+    named = scratch.save(named)
+    first = named.groupBy("group").agg(F.min(F.struct("id", "version")).alias("first"))
+    judged = scratch.save(named.join(first, "group").select(
+        F.col("id").alias("__id"), F.col("version").alias("__version"), "rows",
+        (F.struct("id", "version") == F.col("first")).alias("stays")))
+    marked = docs.withColumns({"__id": F.col(key).cast("long"), "__version": F.xxhash64("text")})
+    on = ["__id", "__version"]
+    out = marked.join(judged.where("not stays or rows > 1").select(on), on, "left_anti")
+    again = judged.where("stays and rows > 1").select(on)
+    if again.head(1):
+        out = out.unionByName(marked.join(again, on, "left_semi").dropDuplicates(on))
+    return out.select(*docs.columns)
+
+
+def _grouped(docs: DataFrame, rule: Rule, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, n, member, version) and, by member, n_links, group and component_id."""
+    scratch = common.Scratch(docs.sparkSession, "ngramjoin")
     docs = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col("text"))
     counts = counted(docs, rule.size)
     usual = counts.sum() / CELLS
@@ -231,11 +262,12 @@ def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id") -> DataFrame
                 heads.append(common.signed(tokens))
             at = np.cumsum([0, *map(len, heads)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(members, pa.int64()),
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(members, pa.int64()), batch.column(2),
                  pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(heads), pa.int64()))],
-                names=["id", "n", "member", "head"])
+                names=["id", "n", "member", "version", "head"])
 
-    described = scratch.save(docs.mapInArrow(rarest, "id long, n long, member long, head array<long>"))
+    described = scratch.save(docs.withColumn("version", F.xxhash64("text")).mapInArrow(
+        rarest, "id long, n long, member long, version long, head array<long>"))
     folded = scratch.save(described.where("member is not null").groupBy("member").agg(
         F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n")))
 
@@ -285,6 +317,4 @@ def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id") -> DataFrame
         "member", "id", (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "member").alias("group")))
     names = grouped.groupBy("group").agg(F.min("id").alias("component_id"))
-    return (described.select("id", "n", "member").join(grouped.drop("id").join(names, "group"), "member", "left")
-            .select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                    F.coalesce("component_id", "id").alias("component_id")))
+    return described, grouped.drop("id").join(names, "group")
