@@ -1,0 +1,168 @@
+"""Personal data, secrets and page text: against patterns, small cases and odd inputs."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from grainsieve.llm import extract, pii, queries, secrets
+
+SF = "/root/testdata/sf0.001"
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def personal(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 10 <= len(digits(m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.BASE.index(s[0])))
+
+
+def base_secrets(text):
+    out = [("assign", *m.span()) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out, key=lambda s: (s[1], secrets.BASE.index(s[0])))
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def test_anchors_find_what_the_patterns_find():
+    rng = random.Random(5)
+    parts = ["4111111111111111", "4111 1111-1111 1111", "+1 (212) 555-0000", "1.2.3.4", "a.b@c.d", "300.1.1.1", " ", "-", ".", "@", "+",
+             "7", "é", "\n", "0001.2.3.4", "x@y", "::", "٣"]
+    for i in range(6000):
+        text = "".join(rng.choices(parts if i % 2 else list("0123456789..--  @@++()abZ%é"), k=rng.randint(0, 30)))
+        assert [s for s in pii.find(text) if s[0] in pii.BASE] == personal(text), text
+
+
+def test_cues_add_spans_and_redaction_covers_them():
+    text = "See https://a.example/x?y=1, mail me: a@b.org. IBAN: DE44 5001 0517 5407 3249 31, 12 Long Oak Street."
+    found = pii.find(text)
+    assert [text[a:b] for k, a, b in found if k in pii.ADDED] == [
+        "https://a.example/x?y=1", "DE44 5001 0517 5407 3249 31", "12 Long Oak Street"]
+    assert pii.redact("mail a@b.org now", pii.find("mail a@b.org now")) == "mail [email] now"
+    assert pii.find("a clean sentence on a street, in 12 words") == []
+
+
+def test_pii_query_on_a_table(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.QUERIES["op5_pii_anchors"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = personal(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in want) for k in pii.BASE)
+        assert set(filter(None, joined(want).split(","))) <= set(r.spans.split(","))
+
+
+def test_secret_query_on_a_table(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.QUERIES["op2_secret_scan"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = base_secrets(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in want) for k in secrets.BASE)
+        assert set(filter(None, joined(want).split(","))) <= set(r.spans.split(","))
+
+
+def test_failed_secret_matches_are_not_retried():
+    assert [s for s in secrets.base_spans("token: password: aaaaaaaaaaaaaaaz") if s[0] == "assign"] == []
+    assert secrets.base_spans("API_KEY = 'abcd efghxxxxxxxx'") == []  # the value ends at the space
+    assert [s[0] for s in secrets.base_spans("secret=" + "Zz9" * 5)] == ["assign"]
+
+
+def test_network_recalls_held_back_findings_and_leaves_words_alone():
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choices("etaoinshrdlu", k=n))
+    rows, labels = [], []
+    for i in range(600):
+        if i % 2:
+            value = "".join(rng.choices("0123456789abcdef", k=rng.randint(18, 40)))
+            text = f"{word(6)} {rng.choice(['token = ', 'password=', ''])}{value} {word(5)}"
+        else:
+            value = word(rng.randint(16, 30))
+            text = f"{word(6)} {value} {word(5)}"
+        at = text.index(value)
+        rows.append(secrets.windows(text, at, at + len(value))[0])
+        labels.append(i % 2)
+    net = secrets.train(secrets.coded(rows), np.array(labels))
+    p = net.probability(secrets.coded(rows)) >= net.threshold
+    assert p[1::2].mean() >= 0.97 and p[0::2].mean() <= 0.03
+    assert secrets.train(secrets.coded(rows[1::2]), np.ones(300, int)).threshold > 1  # one label alone: nothing passes
+
+
+def test_long_candidates_are_seen_whole():
+    text = "x" * 10 + " " + "k" * 400 + " end"
+    found = secrets.windows(text, 11, 411)
+    assert len(found) > 10 and all(len(w) == secrets.WIDTH for w in found) and found[-1].rstrip("\0").endswith(" end")
+
+
+def test_masking_keeps_rows_and_columns(spark):
+    df = spark.createDataFrame([(1, "use password=abcdef0123456789abcdef now", 1), (1, None, 2), (2, "", 3), (3, "clean", 4)],
+                               "doc_id long, text string, spans int")
+    out = secrets.masked(df, secrets.Network(*[np.zeros((128, 8), np.float32)] * 4))
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[2]) == [
+        (1, "use [SECRET] now", 1), (1, None, 2), (2, "", 3), (3, "clean", 4)]
+
+
+@pytest.mark.parametrize("scan", [pii.digests, secrets.digests])
+def test_scans_of_odd_rows(spark, scan):
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "1.2.3.4 a", "c"), (2, "x" * 300_000, "d")],
+                               "doc_id long, text string, spans string")
+    rows = scan(df).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert len(rows) == 4 and sum(r.base_sha256 == empty for r in rows) >= 3
+    assert scan(df.limit(0)).collect() == []
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var x = "</p>";</script></head><body>
+<div class="cookie-notice">We use cookies, many, many cookies.</div><nav><a href="/">Home</a></nav><div class=menu><a href=x>home</a></div>
+<article><h1>Head &amp; tail</h1><p>One, two,   three&nbsp;four. <i>a</i>b<p>Second <b>bold</b>, para<br>line.
+<form>form <input></form><div class="comments"><p>Nice, post, indeed, lots, of, commas, here.</p></div></article>
+<aside>More</aside><footer>&copy; 2024</footer></body></html>"""
+
+
+def test_article_of_a_page():
+    assert extract.main_text(PAGE) == "Head & tail One, two, three four. ab Second bold, para line."
+
+
+def test_best_container_without_an_article():
+    body = "".join(f"<p>Sentence {i}, with commas, and more words than a link list has.</p>" for i in range(6))
+    page = f"<body><ul class='nav'>{'<li><a href=x>link</a></li>' * 9}</ul><div id=c>{body}</div><div id=r><a href=y>read more</a></div></body>"
+    assert extract.main_text(page) == " ".join(f"Sentence {i}, with commas, and more words than a link list has." for i in range(6))
+
+
+@pytest.mark.parametrize("source, text", [
+    (None, ""), ("", ""), ("<p>", ""), ("plain text", "plain text"), ("<!-- x", ""), ("<script>var a='</p>'", ""),
+    ("<b>x" * 3000, "x" * 3000), ("<div>" * 20000 + "x", "x"), ("a < b &lt; c", "a < b < c")])
+def test_odd_pages(source, text):
+    assert extract.main_text(source) == text
+
+
+def test_page_query_on_a_table(spark):
+    rows = {r.page_id: r for r in queries.QUERIES["op8_html_main_text"](spark, SF).collect()}
+    import html
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = re.search("<article>(.*?)</article>", r.html, re.S)[1]
+        plain = re.sub("</?b>", "", re.sub(r"<(/?(p|h1)|br)\b[^>]*>", " ", inner))
+        assert rows[r.page_id].text == " ".join(html.unescape(plain).split())
+        assert rows[r.page_id].n_chars == len(rows[r.page_id].text) and rows[r.page_id].url == r.url
+    df = spark.createDataFrame([(1, "u", None, "x"), (None, None, PAGE, "y")], "page_id long, url string, html string, text string")
+    assert sorted(r.n_chars for r in extract.extract(df).collect())[0] == 0
+    assert extract.extract(df.limit(0)).collect() == []
