@@ -371,7 +371,12 @@ def phrase(words: list[str]) -> Column:
 def agent_fact_check(name, answer, row, cfg):
     told = F.upper(F.regexp_extract(answer, f"(?iu)HALLUCINATION_DETECTED:[{X.SPACE}]*(YES|NO)", 1))
     low = F.lower(answer)
+    # without a plain word behind it, the marker's own line may still name one, in brackets or bold
+    first = F.element_at(F.split(F.upper(T.strip(answer)), "\n"), 1)
+    marked = F.startswith(first, F.lit("HALLUCINATION_DETECTED:"))
     bad = (F.when(told != "", told == "YES")
+           .when(marked & F.contains(first, F.lit("YES")), True)
+           .when(marked & F.contains(first, F.lit("NO")), False)
            .when(F.rlike(low, phrase(X.NO_HALLUCINATION_PHRASES)), False)
            .otherwise(F.rlike(low, phrase(X.HALLUCINATION_PHRASES))))
     empty = T.is_blank(T.as_text(answer))

@@ -21,18 +21,21 @@ IMG = "QUALITY_BAD_IMG_"
 
 @rule("RuleImageValid", IMG + "EFFECTIVENESS", ("img",), required=("image",))
 def image_valid(f, cfg):
-    img = f.field("image")
-    pixels = F.hex(img["data"])
+    data, channels = image_part(f, "data"), image_part(f, "nChannels")
+    pixels = F.hex(data)
     # alpha, the fourth channel, does not count
-    pixels = F.when(img["nChannels"] == 4, F.regexp_replace(pixels, "(.{6}).{2}", "$1")).otherwise(pixels)
+    pixels = F.when(channels == 4, F.regexp_replace(pixels, "(.{6}).{2}", "$1")).otherwise(pixels)
     flat = f.column("pixels", 1, lambda f_: pixels)
     return Verdict(F.rlike(flat, F.lit(r"\A(?:F+|0+)\z")), strings("Image is not valid: all white or black"))
 
 
+def image_part(f, name: str):
+    return f.column(f"image_{name}", 0, lambda f_: f_.field("image")[name])
+
+
 @rule("RuleImageSizeValid", IMG + "EFFECTIVENESS", ("img",), required=("image",))
 def image_size_valid(f, cfg):
-    img = f.field("image")
-    ratio = img["width"] / img["height"]
+    ratio = image_part(f, "width") / image_part(f, "height")
     return Verdict((ratio > 4) | (ratio < 0.25), strings(F.concat(
         F.lit("Image size is not valid, the ratio of width to height: "), ratio.cast("string"))), measure=ratio)
 
@@ -149,14 +152,16 @@ def near_duplicates(df: DataFrame, key: str, code: str, vec: str, distance: int
     once = df.groupBy(code, vec).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(
         b.alias("band"), F.call_function("shiftright", F.col(code), b * WIDTH).bitwiseAND(F.lit(0xFFFF)).alias("bits")))
-    keyed = once.select("rep", code, vec, F.inline(bands))
+    # codes alone are looked up; the vectors follow for the few pairs whose codes are close
+    keyed = once.select("rep", code, F.inline(bands))
     probes = keyed.withColumn("flip", F.explode(F.array(*[F.lit(m) for m in _flips()]))).select(
-        F.col("rep").alias("a"), F.col(code).alias("code_a"), F.col(vec).alias("vec_a"), "band",
-        F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"))
-    near = probes.join(keyed, ["band", "bits"]).where(
-        (F.col("a") != F.col("rep")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col(code))) <= distance)
-        & (cosine(F.col("vec_a"), F.col(vec)) >= likeness))
-    paired = near.select("rep").distinct()
+        F.col("rep").alias("a"), F.col(code).alias("code_a"), "band", F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"))
+    close = probes.join(keyed, ["band", "bits"]).where(
+        (F.col("a") < F.col("rep")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col(code))) <= distance)
+    ).select("a", "rep").distinct()
+    left, right = once.select(F.col("rep").alias("a"), F.col(vec).alias("vec_a")), once.select("rep", F.col(vec).alias("vec_b"))
+    near = close.join(left, "a").join(right, "rep").where(cosine(F.col("vec_a"), F.col("vec_b")) >= likeness)
+    paired = near.select(F.explode(F.array("a", "rep")).alias("rep"))
     crowd = once.where("copies > 1").select("rep").union(paired).distinct()
     hit = once.join(crowd, "rep").select(code, vec, "rep")
     return df.join(hit, [code, vec]).select(key, "rep")
@@ -164,17 +169,27 @@ def near_duplicates(df: DataFrame, key: str, code: str, vec: str, distance: int
 
 @F.pandas_udf(ty.StructType([ty.StructField(n, ty.StringType()) for n in ("unique_a", "unique_b", "common")]))
 def text_difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """What only the first, only the second and both texts hold, each cut at 10 000 characters."""
+    """What only the first, only the second and both texts hold.
+
+    Texts are compared by words and the white space between them first, and what differs by characters.
+    """
+    import re
     from difflib import SequenceMatcher
 
+    def parts(x, y):
+        return SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+
     def split(x: str, y: str) -> tuple[str, str, str]:
         only_x, only_y, both = [], [], []
-        for op, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if op == "equal":
-                both.append(x[i:j])
-            else:
-                only_x.append(x[i:j])
-                only_y.append(y[k:m])
-        return tuple("".join(p)[:10000] for p in (only_x, only_y, both))
+        a, b = re.findall(r"\s+|\S+", x), re.findall(r"\s+|\S+", y)
+        for op, i, j, k, m in parts(a, b):
+            left, right = "".join(a[i:j]), "".join(b[k:m])
+            for inner, p, q, r, t in [(op, 0, len(left), 0, len(right))] if op != "replace" else parts(left, right):
+                if inner == "equal":
+                    both.append(left[p:q])
+                else:
+                    only_x.append(left[p:q])
+                    only_y.append(right[r:t])
+        return "".join(only_x), "".join(only_y), "".join(both)
 
     return pd.DataFrame([split(x or "", y or "") for x, y in zip(a, b)], columns=["unique_a", "unique_b", "common"])

@@ -51,7 +51,8 @@ def metadata_similarity(f, cfg):
         raise ValueError(f"threshold must lie in [0, 1], not {cfg.threshold}")
     if len(cfg.key_list) < 2:
         raise ValueError("key_list needs two keys")
-    left, right = (F.coalesce(f.field("metadata")[k].cast("string"), F.lit("")) for k in cfg.key_list[:2])
+    left, right = (f.column(f"metadata_{k}", 0, lambda f_, k=k: F.coalesce(f_.field("metadata")[k].cast("string"), F.lit("")))
+                   for k in cfg.key_list[:2])
     a, b = F.lower(left), F.lower(right)
     # cheap answers first; only what is left goes through Python
     known = F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).when(a == b, 1.0)

@@ -101,7 +101,7 @@ def date_format(f, cfg):
     dates = f.column("dates", 2, lambda f_: T.find_all(f_.content, T.java(cfg.pattern)))
     kinds = F.size(F.array_distinct(F.transform(dates, lambda d: F.regexp_substr(d, F.lit("[-./年]")))))
     return Verdict(kinds > 1, strings(F.concat(
-        F.lit("Inconsistent date formats found: "), F.array_join(F.slice(dates, 1, 3), ", "))), measure=kinds)
+        F.lit("Inconsistent date formats found: "), F.array_join(F.array_distinct(dates), ", "))), measure=kinds)
 
 
 @rule("RuleResumeEducationMissing", P + "COMPLETENESS", GROUP, pattern=X.RESUME["education"])

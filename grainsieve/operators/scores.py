@@ -222,7 +222,9 @@ def match_report(report: Column) -> dict[str, Column]:
     """Missing, nice-to-have and unwanted keywords of a match report in any of its forms."""
     none = F.array().cast("array<string>")
     plain = F.from_json(report, "array<string>")
-    details = F.from_json(value(report, "match_details"),
+    found = value(report, "match_details")
+    # an empty object counts as none
+    details = F.from_json(F.when(F.size(F.json_object_keys(found)) > 0, found),
                           "missing array<struct<skill string, importance string>>, negative_warnings array<struct<skill string>>")
     rows = F.from_json(value(report, "keyword_analysis"), "array<struct<keyword string, importance string, match_status string>>")
     gap = F.filter(details["missing"], lambda m: F.coalesce(m["skill"], F.lit("")) != "")
@@ -239,7 +241,8 @@ def match_report(report: Column) -> dict[str, Column]:
                       from_rows("required", "missing"))
     nice = one_of(none, F.transform(F.filter(gap, lambda m: F.coalesce(m["importance"], F.lit("")) != "Required"),
                                     lambda m: m["skill"]), from_rows("nice-to-have", "missing"))
-    unwanted = one_of(none, F.transform(details["negative_warnings"], lambda m: m["skill"]),
+    warned = F.filter(details["negative_warnings"], lambda m: F.coalesce(m["skill"], F.lit("")) != "")
+    unwanted = one_of(none, F.transform(warned, lambda m: m["skill"]),
                       from_rows("excluded", "matched"))
     return {"missing_required": required, "missing_nice": nice, "negative": unwanted,
             "targeted": (F.size(required) + F.size(nice) + F.size(unwanted)) > 0}
@@ -250,30 +253,39 @@ def match_report(report: Column) -> dict[str, Column]:
 def box_overlaps(boxes: DataFrame, image: str, box: str, cell: float = 256.0) -> DataFrame:
     """Pairs of valid boxes of an image with IoU >= 0.1, tagged full (>= 0.9) or partial.
 
-    Boxes meet in the grid cells they touch, so a crowded image is split over many tasks; a pair
-    is taken in the cell that holds the corner where its intersection begins.
+    Boxes meet in grid cells, so a crowded image is split over many tasks. The cells of a box have the least power of
+    two times ``cell`` that is no shorter than its longer side, so a box of any size touches four of them at most. An IoU
+    of a tenth needs longer sides within a factor of ten of each other: each box is looked up in its own grid and the next four
+    coarser ones. A pair is taken in the cell that holds the corner where its intersection begins.
     """
     ok = F.coalesce(F.col("valid"), F.lit(True)) if "valid" in boxes.columns else F.lit(True)
     b = boxes.where(ok & F.col("x").isNotNull() & F.col("y").isNotNull()
                     & F.col("width").isNotNull() & F.col("height").isNotNull())
-
-    def cells(low: Column, size: Column) -> Column:
-        return F.sequence(F.floor(low / cell), F.floor((low + size) / cell))
-
-    b = b.select(image, box, "x", "y", "width", "height")
-    b = b.withColumn("cx", F.explode(cells(F.col("x"), F.col("width"))))
-    b = b.withColumn("cy", F.explode(cells(F.col("y"), F.col("height"))))
-    l, r = b.alias("l"), b.alias("r")
-    j = l.join(r, (F.col(f"l.{image}") == F.col(f"r.{image}")) & (F.col("l.cx") == F.col("r.cx"))
-               & (F.col("l.cy") == F.col("r.cy")) & (F.col(f"l.{box}") < F.col(f"r.{box}")))
+    grid = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("width", "height", F.lit(1e-9)) / cell))).cast("int")
+    b = b.select(image, box, "x", "y", "width", "height", grid.alias("own"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        step = F.lit(cell) * F.pow(F.lit(2.0), F.col("grid"))
+        rows = rows.withColumn("step", step)
+        for name, low, size in (("cx", "x", "width"), ("cy", "y", "height")):
+            rows = rows.withColumn(name, F.explode(F.sequence(
+                F.floor(F.col(low) / F.col("step")), F.floor((F.col(low) + F.col(size)) / F.col("step")))))
+        return rows
+
+    l = placed(b.withColumn("grid", F.col("own"))).alias("l")  # noqa: E741
+    r = placed(b.withColumn("grid", F.explode(F.sequence(F.col("own"), F.col("own") + 4)))).alias("r")
     c = lambda s, n: F.col(f"{s}.{n}")
+    j = l.join(r, (c("l", image) == c("r", image)) & (c("l", "grid") == c("r", "grid")) & (c("l", "cx") == c("r", "cx"))
+               & (c("l", "cy") == c("r", "cy")) & ((c("r", "own") < c("l", "own")) | (c("l", box) < c("r", box))))
     left, top = F.greatest(c("l", "x"), c("r", "x")), F.greatest(c("l", "y"), c("r", "y"))
     right = F.least(c("l", "x") + c("l", "width"), c("r", "x") + c("r", "width"))
     low = F.least(c("l", "y") + c("l", "height"), c("r", "y") + c("r", "height"))
     shared = F.greatest(F.lit(0.0), right - left) * F.greatest(F.lit(0.0), low - top)
     union = c("l", "width") * c("l", "height") + c("r", "width") * c("r", "height") - shared
-    here = (F.floor(left / cell) == c("l", "cx")) & (F.floor(top / cell) == c("l", "cy"))
-    pairs = j.where(here).select(c("l", image).alias(image), c("l", box).alias("box_a"), c("r", box).alias("box_b"),
+    step = c("l", "step")
+    here = (F.floor(left / step) == c("l", "cx")) & (F.floor(top / step) == c("l", "cy")) & (c("l", box) != c("r", box))
+    pairs = j.where(here).select(c("l", image).alias(image), F.least(c("l", box), c("r", box)).alias("box_a"),
+                                 F.greatest(c("l", box), c("r", box)).alias("box_b"),
                                  F.when(union != 0, shared / union).otherwise(F.lit(0.0)).alias("iou"))
     return pairs.where("iou >= 0.1").withColumn("overlap", F.when(F.col("iou") >= 0.9, "full").otherwise("partial"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,8 +13,6 @@ from ..registry import Verdict, rule
 from ..schema import strings
 
 SECURITY = "QUALITY_BAD_SECURITY"
-# longer word lists are searched by an automaton instead of one regular expression
-REGEX_WORDS = 500
 
 
 @rule("RuleIDCard", SECURITY, ("default", "pretrain", "benchmark"), pattern=X.ID_KEYWORDS)
@@ -81,9 +78,9 @@ def kind_findings(content: Column, kind: str, severity: str, caption: str, body:
         mask(kind, v).alias("masked")))
 
 
-def pii_findings(content: Column) -> Column:
-    """array<struct<type, severity, caption, masked>> in the order of the kinds."""
-    found = F.concat(*[kind_findings(content, *k) for k in X.PII_KINDS])
+def pii_findings(content: Column, kinds: tuple[str, ...] | None = None) -> Column:
+    """array<struct<type, severity, caption, masked>> in the order of the kinds; only the kinds asked for are searched."""
+    found = F.concat(*[kind_findings(content, *k) for k in X.PII_KINDS if not kinds or k[0] in kinds])
     # every kind has a digit or an at sign
     return F.when(F.rlike(content, F.lit(r"[@\p{Nd}]")), found)
 
@@ -101,9 +98,22 @@ def pii_detection(f, cfg):
     return Verdict(n > 0, F.array_compact(F.array(*[line(*s) for s in X.SEVERITY_CAPTIONS])), measure=n)
 
 
-def pii_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def redact(content: Column, kinds: tuple[str, ...] | None = None) -> Column:
+    """The text with each finding replaced by its shown form, kind by kind in their order."""
+    def without(text: Column, kind: str, body: str) -> Column:
+        hits = F.array_distinct(T.find_all(text, T.BORDER_L + T.java(body) + T.BORDER_R))
+        hits = F.filter(hits, lambda v: holds(kind, v))
+        return F.aggregate(hits, text, lambda t, v: F.replace(t, v, mask(kind, v)))
+
+    for kind, _, _, body in X.PII_KINDS:
+        if not kinds or kind in kinds:
+            content = without(content, kind, body)
+    return content
+
+
+def pii_table(df: DataFrame, id_col: str, text_col: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """One row per finding: (id, type, severity, masked)."""
-    found = df.select(F.col(id_col), F.explode(pii_findings(T.as_text(F.col(text_col)))).alias("x"))
+    found = df.select(F.col(id_col), F.explode(pii_findings(T.as_text(F.col(text_col)), kinds)).alias("x"))
     return found.select(id_col, "x.type", "x.severity", "x.masked")
 
 
@@ -151,13 +161,8 @@ def unsafe_words(f, cfg):
     words = tuple(sorted({w for w in words if w}))
     if not words:
         return Verdict(F.lit(False))
-    if len(words) > REGEX_WORDS:
-        found = f.column("unsafe", 2, lambda f_: automaton_matches(words)(f_.content))
-        return Verdict(F.size(found) > 0, found)
-    edge = r"[\p{L}\p{N}]"
-    p = f"(?<!{edge})(?:{T.any_of(list(words))})(?!{edge})"
-    each = [F.when(F.rlike(f.content, F.lit(f"(?<!{edge}){re.escape(w)}(?!{edge})")), F.lit(w)) for w in words]
-    return Verdict(F.rlike(f.content, F.lit(p)), F.array_compact(F.array(*each)))
+    found = f.column("unsafe", 2, lambda f_: automaton_matches(words)(f_.content))
+    return Verdict(F.size(found) > 0, found)
 
 
 # --- stuck words ---------------------------------------------------------------------------
@@ -211,10 +216,9 @@ def segmenter(words: tuple[str, ...]):
 @rule("RuleWordStuck", "QUALITY_BAD_FLUENCY", ("text_base_all", "llm_base", "multi_lan_ar", "multi_lan_ko",
       "multi_lan_ru", "multi_lan_th", "multi_lan_vi", "multi_lan_cs", "multi_lan_hu", "multi_lan_sr"))
 def word_stuck(f, cfg):
-    # the word list, most frequent first, is the parameter "words"; without it nothing is flagged
     words = tuple(cfg.option("words", ()))
     if not words:
-        return Verdict(F.lit(False))
+        raise ValueError("RuleWordStuck needs a list of words, most frequent first, as its setting words")
     pieces = f.column("stuck_pieces", 2, lambda f_: stuck_candidates(f_.content))
     hit = f.column("stuck_hit", 3, lambda f_: segmenter(words)(pieces))
     return Verdict(hit.isNotNull(), strings(hit))

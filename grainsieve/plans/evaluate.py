@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schema
 from ..operators import load_all
 from ..registry import Judge, Rule, RuleConfig, Verdict, find, group
-from .features import Features, settle
+from .features import Features, bind
 
 STATUS, DETAILS = "eval_status", "eval_details"
 
@@ -41,10 +41,13 @@ class Check:
         return Check(dict(fields), tuple(out))
 
     @staticmethod
-    def group(fields: dict[str, str], name: str, **config) -> "Check":
-        """The members of a rule group whose fields the check maps (sound rules need ``audio``)."""
+    def group(fields: dict[str, str], name: str, without: tuple[str, ...] = (), **config) -> "Check":
+        """All members of a rule group but those named in ``without``; a member whose fields are not mapped is an error."""
         load_all()
-        members = [n for n in group(name) if not fields or set(find(n).required) <= set(fields)]
+        members = [n for n in group(name) if n not in without]
+        lost = {n: missing for n in members if fields and (missing := sorted(set(find(n).required) - set(fields)))}
+        if lost:
+            raise ValueError(f"group {name} needs fields that are not mapped, or its members named in without: {lost}")
         return Check.of(fields, members, **config)
 
     @property
@@ -63,18 +66,6 @@ class Retention:
     merge: bool = False
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Use all cores on an input that is read in fewer pieces than there are cores.
-
-    A file with one row group is one task however many cores there are.  Inputs with more
-    pieces than cores, which is every large one, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() > cores:
-        return df
-    return df.repartition(cores, key) if key else df.repartition(cores)
-
-
 def _fields(check: Check, required: tuple[str, ...], columns: list[str]) -> dict[str, Column]:
     if not check.fields:
         return {c: F.col(f"`{c}`") for c in columns}
@@ -106,8 +97,8 @@ def verdict_columns(df: DataFrame, checks: list[Check]) -> tuple[DataFrame, list
     flags = {}
     for _, _, _, name, v in planned:
         bad = F.coalesce(v.bad, F.lit(False))
-        flags[name] = settle(bad if v.applies is None else F.coalesce(v.applies, F.lit(False)) & bad)
-    return (df.withColumns(flags) if flags else df), planned
+        flags[name] = bad if v.applies is None else F.coalesce(v.applies, F.lit(False)) & bad
+    return bind(df, flags), planned
 
 
 def detail_of(r: Rule, flag: str, v: Verdict) -> Column:
@@ -158,7 +149,7 @@ def evaluate(df: DataFrame, checks: list[Check], kept: Retention = Retention(),
         for kind, parts in (("r", rules.get(id(check))), ("j", judges.get(id(check)))):
             if parts:
                 arrays[f"__{kind}{i}"] = F.array(*parts)
-    staged = flagged.select(*[F.col(f"`{c}`") for c in source], *[settle(a).alias(n) for n, a in arrays.items()])
+    staged = bind(flagged, arrays)
     bad = {n: F.exists(F.col(n), lambda d: d["status"]) for n in arrays}
 
     by_key: dict[str, list[Column]] = {}
@@ -223,12 +214,15 @@ def good_rows(verdicts: DataFrame) -> DataFrame:
 
 def merge_partials(parts: list[DataFrame], id_col: str) -> DataFrame:
     """Join verdicts of one record that come from separate plans: OR of status, joined details."""
-    whole = parts[0].select(id_col, STATUS, DETAILS)
-    for p in parts[1:]:
-        whole = whole.unionByName(p.select(id_col, STATUS, DETAILS))
-    long = whole.select(id_col, STATUS, F.explode_outer(F.map_entries(DETAILS)).alias("e"))
+    whole = None
+    for i, p in enumerate(parts):
+        one = p.select(id_col, STATUS, DETAILS, F.lit(i).alias("part"))
+        whole = one if whole is None else whole.unionByName(one)
+    long = whole.select(id_col, STATUS, "part", F.explode_outer(F.map_entries(DETAILS)).alias("e"))
+    ordered = F.array_sort(F.collect_list(F.struct("part", F.col("e.value").alias("value"))),
+                           lambda a, b: a["part"] - b["part"])  # at most one entry a part
     per_key = long.groupBy(id_col, F.col("e.key").alias("key")).agg(
-        F.bool_or(STATUS).alias(STATUS), F.flatten(F.collect_list("e.value")).alias("value"))
+        F.bool_or(STATUS).alias(STATUS), F.flatten(F.filter(F.transform(ordered, lambda x: x["value"]), lambda v: v.isNotNull())).alias("value"))
     return per_key.groupBy(id_col).agg(
         F.bool_or(STATUS).alias(STATUS),
         F.map_from_entries(F.filter(F.collect_list(F.struct("key", "value")),

@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as T
 
 
-def settle(c: Column) -> Column:
-    """The same value, but fixed where it is computed.
+def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once, where they stand.
 
-    Spark copies the expressions of a projection into filters pushed below it and into inferred
-    constraints.  Features build on each other, so such copies would undo the sharing many times
-    over and take planning with them; the partition number, never negative, is a condition Spark may not copy.
+    Spark copies the expressions of a projection into filters pushed below it and into inferred constraints. Features
+    build on each other, so such copies would undo the sharing many times over and take planning with them. As the one
+    row of a generator the values stay where they are, while filters on the other columns still move below, to the scan.
     """
-    return F.when(F.spark_partition_id() >= 0, c)
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))) if columns else df
 
 
 def _covered_chars(f: "Features") -> Column:
@@ -121,6 +121,7 @@ class Features:
             for k, (_, build) in open_.items():
                 done[k] = build(self)
         for level in sorted({lv for lv, _ in self._wanted.values()}):
-            new = {self._prefix + k: settle(done[k]) for k, (lv, _) in self._wanted.items() if lv == level}
-            df = df.withColumns(new)
+            new = {self._prefix + k: done[k] for k, (lv, _) in self._wanted.items() if lv == level}
+            # level 0: mapped columns and parts of structs, which may be copied freely
+            df = bind(df, new) if level else df.withColumns(new)
         return df

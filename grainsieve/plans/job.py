@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..registry import Judge, find
 from ..operators import load_all
-from .evaluate import Check, Retention, evaluate, spread
+from .evaluate import Check, Retention, evaluate
 
 
 @dataclass(frozen=True)
@@ -26,6 +26,7 @@ class JobSpec:
     end_index: int = -1
     order_by: str | None = None
     multi_turn_mode: str | None = None
+    partitions: int = 0  # deal the input anew over so many; 0 leaves it as it is read
     kept: Retention = Retention()
 
     @staticmethod
@@ -40,6 +41,7 @@ class JobSpec:
             task_name=d.get("task_name", ""), input_path=d.get("input_path", ""), output_path=d.get("output_path", ""),
             format=fmt, read_options=options, start_index=run.get("start_index", 0), end_index=run.get("end_index", -1),
             order_by=run.get("order_by"), multi_turn_mode=run.get("multi_turn_mode"),
+            partitions=run.get("partitions", 0),
             kept=Retention(**run.get("result_save", {})))
 
 
@@ -72,7 +74,9 @@ def run_job(spark: SparkSession, spec: JobSpec | dict | str, df: DataFrame | Non
     elif spec.multi_turn_mode:
         raise ValueError(f"unsupported multi_turn_mode: {spec.multi_turn_mode}")
     validate(spec, df)
-    verdicts = evaluate(spread(df), list(spec.evaluator), spec.kept, **judging)
+    if spec.partitions:
+        df = df.repartition(spec.partitions)
+    verdicts = evaluate(df, list(spec.evaluator), spec.kept, **judging)
     if spec.output_path:
         writers.write_results(verdicts, spec.output_path, spec.kept)
     return verdicts

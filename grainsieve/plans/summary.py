@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .evaluate import DETAILS, STATUS
 
@@ -30,12 +30,33 @@ def label_counts(verdicts: DataFrame, *by: str) -> DataFrame:
             .groupBy(*by, "field_key", "label").agg(F.count(F.lit(1)).alias("n")))
 
 
+def tally(verdicts: DataFrame) -> DataFrame:
+    """All counts and score moments of a summary in one grouped pass over the verdicts.
+
+    Rows (kind, field_key, name): kind ``record`` (name good or bad), ``label`` and ``score`` (name: the metric), with
+    the number of records n and, of scores, their moments. As many rows as there are labels and metrics.
+    """
+    none = F.lit(None).cast("double")
+    entry = lambda kind, key, name, score: F.struct(
+        F.lit(kind).alias("kind"), key.alias("field_key"), name.alias("name"), score.alias("score"))
+    record = F.array(entry("record", F.lit(""), F.when(F.col(STATUS), "bad").otherwise("good"), none))
+    per_field = F.transform(F.map_entries(DETAILS), lambda e: F.concat(
+        F.transform(F.array_distinct(F.flatten(F.transform(F.filter(e["value"], lambda d: d["label"].isNotNull()), lambda d: d["label"]))),
+                    lambda name: entry("label", e["key"], name, none)),
+        F.transform(F.filter(e["value"], lambda d: d["score"].isNotNull() & (d["metric"] != "")),
+                    lambda d: entry("score", e["key"], d["metric"], d["score"].cast("double")))))
+    rows = verdicts.select(F.inline(F.concat(record, F.coalesce(F.flatten(per_field), F.array().cast(
+        "array<struct<kind: string, field_key: string, name: string, score: double>>")))))
+    return rows.groupBy("kind", "field_key", "name").agg(F.count(F.lit(1)).alias("n"), *score_aggregates(F.col("score")))
+
+
 def label_ratios(verdicts: DataFrame) -> DataFrame:
     """Label counts over the number of records, rounded to six places."""
-    # one row of totals: the broadcast side cannot grow
-    n = verdicts.agg(F.count(F.lit(1)).alias("total"))
-    return (label_counts(verdicts).join(F.broadcast(n))
-            .select("field_key", "label", "n", F.round(F.col("n") / F.col("total"), 6).alias("ratio")))
+    # the tally has a row for each label and metric, so the window over all of it stays small
+    whole = W.partitionBy(F.lit(1))
+    counts = tally(verdicts).withColumn("total", F.sum(F.when(F.col("kind") == "record", F.col("n"))).over(whole))
+    return counts.where("kind = 'label'").select(
+        "field_key", F.col("name").alias("label"), "n", F.round(F.col("n") / F.col("total"), 6).alias("ratio"))
 
 
 def score_aggregates(score: Column) -> list[Column]:
@@ -79,19 +100,28 @@ def confusion(verdicts: DataFrame, labels: DataFrame, on: str, good_label: Colum
 
 
 def summary_row(verdicts: DataFrame, task_name: str = "", input_path: str = "", output_path: str = "") -> DataFrame:
-    """The whole summary as one row: totals plus nested label ratios and score statistics."""
-    ratios = label_ratios(verdicts).groupBy("field_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("label", "ratio"))).alias("labels"))
-    ratios = ratios.agg(F.map_from_entries(F.collect_list(F.struct("field_key", "labels"))).alias("type_ratio"))
-    stats = score_stats(verdicts)
-    per_field = stats.groupBy("field_key").agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            "metric", F.struct("score_average", "score_count", "score_min", "score_max", "score_std_dev")))).alias("stats"),
-        F.round(F.avg("score_average"), 2).alias("overall_average"))
-    scores = per_field.agg(F.map_from_entries(F.collect_list(F.struct(
-        "field_key", F.struct("stats", "overall_average")))).alias("metrics_score"))
-    # all three sides are single rows: field keys and metrics are fixed by the checks
-    return (totals(verdicts).join(F.broadcast(ratios)).join(F.broadcast(scores))
-            .select(F.lit(task_name).alias("task_name"), F.lit(input_path).alias("input_path"),
-                    F.lit(output_path).alias("output_path"), "score", "num_good", "num_bad", "total",
-                    "type_ratio", "metrics_score"))
+    """The whole summary as one row: totals plus nested label ratios and score statistics, out of one pass."""
+    is_kind = lambda k: F.col("kind") == k
+    stats = F.struct(F.round("mean", 2).alias("score_average"), "score_count", F.round("low", 2).alias("score_min"),
+                     F.round("high", 2).alias("score_max"),
+                     F.when(F.col("score_count") > 1, F.round("dev", 2)).alias("score_std_dev"))
+    fields = tally(verdicts).groupBy("field_key").agg(
+        F.sum(F.when(is_kind("record"), F.col("n"))).alias("total"),
+        F.sum(F.when(is_kind("record") & (F.col("name") == "bad"), F.col("n"))).alias("num_bad"),
+        F.collect_list(F.when(is_kind("label"), F.struct("name", "n"))).alias("labels"),
+        F.collect_list(F.when(is_kind("score"), F.struct(F.col("name"), stats.alias("stats")))).alias("stats"),
+        F.round(F.avg(F.when(is_kind("score"), F.round("mean", 2))), 2).alias("overall_average"))
+    # a row for each field key
+    one = fields.agg(
+        F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("num_bad"), F.lit(0)).alias("num_bad"),
+        F.collect_list(F.when(F.size("labels") > 0, F.struct("field_key", "labels"))).alias("ratios"),
+        F.collect_list(F.when(F.size("stats") > 0, F.struct("field_key", F.struct(
+            F.map_from_entries("stats").alias("stats"), "overall_average").alias("value")))).alias("scores"))
+    total = F.col("total")
+    ratios = F.map_from_entries(F.transform("ratios", lambda f: F.struct(f["field_key"], F.map_from_entries(F.transform(
+        f["labels"], lambda x: F.struct(x["name"], F.round(x["n"] / total, 6)))))))
+    good = total - F.col("num_bad")
+    return one.select(
+        F.lit(task_name).alias("task_name"), F.lit(input_path).alias("input_path"), F.lit(output_path).alias("output_path"),
+        F.when(total > 0, F.round(good / total * 100, 2)).otherwise(0.0).alias("score"), good.alias("num_good"), "num_bad", "total",
+        ratios.alias("type_ratio"), F.map_from_entries("scores").alias("metrics_score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
 
@@ -47,11 +47,14 @@ def read_plaintext(spark, path, recursive=False) -> DataFrame:
 
 
 def read_csv(spark, path, has_header=True, encoding="utf-8", delimiter=None, quotechar='"',
-             dialect="excel", columns: list[str] | None = None, recursive=False) -> DataFrame:
-    """All cells are stripped strings, missing ones empty; rows without any content are dropped."""
+             dialect="excel", columns: list[str] | None = None, recursive=False, multiline=True) -> DataFrame:
+    """All cells are stripped strings, missing ones empty; rows without any content are dropped.
+
+    Quoted line breaks make each file one task; files without any can be split with ``multiline=False``.
+    """
     sep = delimiter or ("\t" if dialect == "excel-tab" else ",")
     r = (_reader(spark, recursive).option("header", str(has_header).lower()).option("encoding", encoding)
-         .option("sep", sep).option("quote", quotechar).option("escape", quotechar).option("multiLine", "true")
+         .option("sep", sep).option("quote", quotechar).option("escape", quotechar).option("multiLine", str(multiline).lower())
          .option("mode", "PERMISSIVE"))
     df = r.csv(path)
     if not has_header:
@@ -83,14 +86,28 @@ def read_binary(spark, path, recursive=True) -> DataFrame:
     return _reader(spark, recursive).format("binaryFile").load(path)
 
 
-def row_range(df: DataFrame, order_by: str, start: int = 0, end: int = -1) -> DataFrame:
-    """Rows start to end (exclusive, -1 for all) in the order of a key.
+def row_range(df: DataFrame, order_by: str, start: int = 0, end: int = -1, partitions: int | None = None) -> DataFrame:
+    """Rows start to end (exclusive, -1 for all) in the order of a key, ties in any fixed order.
 
-    The key is sorted over ranges of partitions; only the wanted slice is kept of it.
+    The rows are sorted over ranges of the key; the ranges' row counts, one number each, give every row its place. So
+    no task sees more than a range. With spark.checkpoint.dir set the sorted rows are written there, so that a range that is
+    computed again keeps its order.
     """
-    if end >= 0:
-        return df.orderBy(order_by).offset(start).limit(max(end - start, 0))
-    return df.orderBy(order_by).offset(start) if start else df
+    if start <= 0 and end < 0:
+        return df
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]  # parts equal keys, so that these spread too
+    ranged = df.repartitionByRange(n, F.col(order_by), *rest).sortWithinPartitions(F.col(order_by), *rest).select(
+        "*", F.spark_partition_id().alias("__range"), F.monotonically_increasing_id().alias("__row"))
+    if spark.sparkContext.getCheckpointDir():
+        ranged = ranged.checkpoint()
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
+    before = F.sum("__n").over(W.partitionBy(F.lit(1)).orderBy("__range")) - F.col("__n")
+    offsets = counts.select("__range", (before - F.col("__first")).alias("__offset"))  # a row for each range
+    place = F.col("__row") + F.col("__offset")
+    wanted = (place >= start) & (place < end if end >= 0 else F.lit(True))
+    return ranged.join(F.broadcast(offsets), "__range").where(wanted).select(*[f"`{c}`" for c in df.columns])
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from grainsieve.functions import fixed as X
 from grainsieve.operators import media, scores as R, security
-from grainsieve.plans.evaluate import Check, spread, verdicts_of
+from grainsieve.plans.evaluate import Check, verdicts_of
 from grainsieve.registry import RULES
 
-from . import query, table
-from .rules import lit
+from . import query, spread, table
+from .rules import STUCK_WORDS, WHOLE_SQL, lit
 
 
 @query("gate_image_quality", "SELECT p_partkey, p_size / 10.0 < 2.5 AS status, CASE WHEN p_size / 10.0 < 2.5 THEN "
@@ -183,12 +183,15 @@ def language_decision(spark, sf):
     return table(spark, sf, "events").select("event_id", R.language_of(p).alias("lang"))
 
 
-@query("match_report", """SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN '' ELSE p_name END AS missing_required,
- CASE WHEN p_size % 3 = 1 THEN p_brand ELSE '' END AS missing_nice, CASE WHEN p_size % 3 = 2 THEN p_type ELSE '' END AS negative, true AS targeted FROM part""")
+@query("match_report", """SELECT p_partkey, CASE WHEN p_size % 5 IN (0, 1) THEN p_name ELSE '' END AS missing_required,
+ CASE WHEN p_size % 5 = 1 THEN p_brand ELSE '' END AS missing_nice, CASE WHEN p_size % 5 IN (2, 3, 4) THEN p_type ELSE '' END AS negative,
+ true AS targeted FROM part""")
 def match_report(spark, sf):
-    t = table(spark, sf, "part").selectExpr("p_partkey", """CASE p_size % 3
+    t = table(spark, sf, "part").selectExpr("p_partkey", """CASE p_size % 5
       WHEN 0 THEN '["' || p_name || '"]'
       WHEN 1 THEN '{"match_details": {"missing": [{"skill": "' || p_name || '", "importance": "Required"}, {"skill": "' || p_brand || '"}]}}'
+      WHEN 2 THEN '{"match_details": {}, "keyword_analysis": [{"keyword": "' || p_type || '", "importance": "Excluded", "match_status": "Matched"}]}'
+      WHEN 3 THEN '{"match_details": {"negative_warnings": [{"skill": ""}, {"skill": "' || p_type || '"}, {}]}}'
       ELSE '{"keyword_analysis": [{"keyword": "' || p_type || '", "importance": "Excluded", "match_status": "Matched"}]}' END AS r""")
     got = R.match_report(F.col("r"))
     return t.select("p_partkey", *[(F.array_join(v, ",") if k != "targeted" else v).alias(k) for k, v in got.items()])
@@ -262,13 +265,11 @@ def rule_metadata_similarity_plain(spark, sf):
     return verdicts_of(p, Check.of({"metadata": "meta"}, ["RuleMetadataSimilarity"]), ["p_partkey"]).drop("reason")
 
 
-@query("rule_word_stuck")
+@query("rule_word_stuck", WHOLE_SQL["RuleWordStuck"])
 def rule_word_stuck(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    words = ["the", "and", "que", "der", "tion", "er", "en", "es", "an", "le", "in", "on", "re", "ou", "e", "a", "n", "o", "s", "t", "i", "r"]
-    return verdicts_of(d, Check.of({"content": "text"}, ["RuleWordStuck"], RuleWordStuck={"words": words}), ["doc_id"]).drop("measure", "reason")
-
-
+    check = Check.of({"content": "text"}, ["RuleWordStuck"], RuleWordStuck={"words": STUCK_WORDS})
+    return verdicts_of(d, check, ["doc_id"]).drop("measure", "reason")
 
 
 @query("rule_pii_detection")
@@ -287,7 +288,7 @@ u AS (SELECT doc_id, v, left(v, position('@' IN v) - 1) AS u FROM h)
 SELECT doc_id, 'medium' AS severity, {_MASK} AS masked, count(*) AS n FROM u GROUP BY ALL""")
 def pii_email_findings(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return security.pii_table(d, "doc_id", "text").where("type = 'email'").groupBy("doc_id", "severity", "masked").agg(F.count(F.lit(1)).alias("n"))
+    return security.pii_table(d, "doc_id", "text", ("email",)).groupBy("doc_id", "severity", "masked").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("pii_findings_by_type")
@@ -298,10 +299,11 @@ def pii_findings_by_type(spark, sf):
 
 # --- near duplicates -----------------------------------------------------------------------
 
-def _code(e: str, base: int, bits: int = 48) -> str:
-    """A sign-bit hash of the first coordinates, in SQL."""
-    return "(" + " + ".join(f"(CASE WHEN {e}[{i + base}] > 0 THEN CAST({2 ** i} AS BIGINT) ELSE CAST(0 AS BIGINT) END)"
-                            for i in range(bits)) + ")"
+def _code(e: str, base: int, span: int = 1) -> str:
+    """The signs of all 64 coordinates, or of the sums of `span` coordinates in a row, as the bits of a long, in SQL."""
+    total = lambda i: " + ".join(f"{e}[{(i + k) % 64 + base}]" for k in range(span))
+    bit = lambda i: f"CAST({2 ** i} AS BIGINT)" if i < 63 else "CAST(-9223372036854775808 AS BIGINT)"
+    return "(" + " + ".join(f"(CASE WHEN {total(i)} > 0 THEN {bit(i)} ELSE CAST(0 AS BIGINT) END)" for i in range(64)) + ")"
 
 
 @query("near_duplicates", f"""
@@ -314,12 +316,12 @@ def near_duplicates(spark, sf):
 
 
 @query("near_duplicates_wide", f"""
-WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, {_code('embedding', 1, 32)} AS code FROM embeddings)
-SELECT DISTINCT a.vec_id FROM e a JOIN e b ON a.vec_id <> b.vec_id AND bit_count(xor(a.code, b.code)) <= 10
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, {_code('CAST(embedding AS DOUBLE[])', 1, 16)} AS code FROM embeddings)
+SELECT DISTINCT a.vec_id FROM e a JOIN e b ON a.vec_id <> b.vec_id AND bit_count(xor(a.code, b.code)) <= 11
  AND list_cosine_similarity(a.v, b.v) >= 0.3""")
 def near_duplicates_wide(spark, sf):
-    e = table(spark, sf, "embeddings").selectExpr("vec_id", "embedding", f"{_code('embedding', 0, 32)} AS code")
-    return media.near_duplicates(e, "vec_id", "code", "embedding", likeness=0.3).select("vec_id")
+    e = table(spark, sf, "embeddings").withColumn("e", F.col("embedding").cast("array<double>")).selectExpr("vec_id", "embedding", f"{_code('e', 0, 16)} AS code")
+    return media.near_duplicates(e, "vec_id", "code", "embedding", distance=11, likeness=0.3).select("vec_id")
 
 
 @query("text_difference")

@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 
 from grainsieve.operators import text_rules  # noqa: F401
 from grainsieve.plans import summary as SM
-from grainsieve.plans.evaluate import Check, Retention, bad_rows, evaluate, flags, good_rows, merge_partials, spread
-from grainsieve.registry import RULES, Verdict, rule
+from grainsieve.plans.evaluate import Check, Retention, bad_rows, evaluate, flags, good_rows, merge_partials
+from grainsieve.registry import Verdict, rule
 from grainsieve.schema import strings
 from grainsieve.sources import dialogs, readers
 from grainsieve.streaming import running
 
-from . import query, table
-from .rules import SOURCE, SPECS, rule_sql
+from . import query, spread, table
+from .rules import DOCUMENTS, rule_sql, text_group, text_members
 
 SMALL = ["RuleColonEnd", "RuleContentShort", "RuleNoPunc", "RuleSentenceNumber", "RuleCharNumber", "RuleStopWord"]
-PRETRAIN = [n for n, r in RULES.items() if "pretrain" in r.groups and n in SPECS and n not in SOURCE] + ["RuleDocRepeat"]
 
 
 def docs(spark, sf):
@@ -30,7 +29,7 @@ def checked(spark, sf, rules=tuple(SMALL), kept=Retention()):
 
 
 def union_sql(rules) -> str:
-    return " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule, status, label FROM ({rule_sql(n)})" for n in rules)
+    return " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule, status, label FROM ({rule_sql(n, DOCUMENTS)})" for n in rules)
 
 
 _ALL = f"WITH a AS ({union_sql(SMALL)}), r AS (SELECT doc_id, bool_or(status) AS bad FROM a GROUP BY doc_id) "
@@ -88,11 +87,10 @@ def summary_label_ratios(spark, sf):
     return SM.label_ratios(checked(spark, sf, kept=Retention(good=True)))
 
 
-@query("summary_pretrain_ratios", f"WITH a AS ({union_sql([n for n in PRETRAIN if n != 'RuleDocRepeat'])}) SELECT label, count(*) AS n "
+@query("summary_pretrain_ratios", f"WITH a AS ({union_sql(text_members('pretrain')[0])}) SELECT label, count(*) AS n "
        "FROM a WHERE status GROUP BY label")
 def summary_pretrain_ratios(spark, sf):
-    v = checked(spark, sf, [n for n in PRETRAIN if n != "RuleDocRepeat"])
-    return SM.label_counts(v).select("label", "n")
+    return SM.label_counts(evaluate(docs(spark, sf), [text_group("pretrain")])).select("label", "n")
 
 
 def _scored(spark, sf):
@@ -112,9 +110,16 @@ def summary_overall(spark, sf):
     return SM.overall(SM.score_stats(_scored(spark, sf)))
 
 
-@query("summary_row")
+@query("summary_row", _ALL + """, t AS (SELECT count(*) AS total, count(*) FILTER (WHERE NOT bad) AS num_good, count(*) FILTER (WHERE bad) AS num_bad FROM r),
+l AS (SELECT label, round(count(DISTINCT doc_id) / (SELECT total FROM t)::DOUBLE, 6) AS ratio FROM a WHERE status GROUP BY label)
+SELECT 'small' AS task_name, round(num_good / total::DOUBLE * 100, 2) AS score, num_good, num_bad, total,
+ (SELECT string_agg(label || '=' || printf('%.6f', ratio), ',' ORDER BY label) FROM l) AS type_ratio FROM t""")
 def summary_row(spark, sf):
-    return SM.summary_row(checked(spark, sf), "small")
+    row = SM.summary_row(checked(spark, sf), "small")
+    # maps as text, which SQL can write too
+    labels = F.array_sort(F.map_entries(F.col("type_ratio")["text"]))
+    return row.select("task_name", "score", "num_good", "num_bad", "total", F.array_join(F.transform(
+        labels, lambda e: F.format_string("%s=%.6f", e["key"], e["value"])), ",").alias("type_ratio"))
 
 
 @query("confusion_matrix", _ALL + """, j AS (SELECT bad, quality = 1 AS good FROM r JOIN labels USING (doc_id)),
