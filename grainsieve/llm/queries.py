@@ -54,10 +54,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOP_K_SQL = """
 WITH valid AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v, row_number() OVER () AS r
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v, row_number() OVER () AS r
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, q.r AS qr, c.vec_id, c.r, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM valid q JOIN valid c ON q.r <> c.r WHERE q.vec_id % 50 = 0
@@ -73,12 +73,48 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
 
 
-@query("op10_vector_near_duplicates")
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND list_sum([abs(x::DOUBLE) FOR x IN embedding]) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS x, vec_id AS low FROM embeddings UNION SELECT links.y, reach.low FROM reach JOIN links USING (x)
+), component AS (SELECT x AS vec_id, min(low) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM component LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x) USING (vec_id)
+"""
+
+
+@query("op10_vector_near_duplicates", NEAR_VECTORS_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
 
 
-@query("op1_ngram_jaccard_join")
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * common >= 85 * (a.n + b.n - common)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS low FROM documents UNION SELECT links.y, reach.low FROM reach JOIN links USING (x)
+), component AS (SELECT x AS doc_id, min(low) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(k, 0) AS n_links, component_id
+FROM component LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS k FROM links GROUP BY x) USING (doc_id)
+"""
+
+
+@query("op1_ngram_jaccard_join", JACCARD_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), ngram_join.Rule(4, 85))
 
