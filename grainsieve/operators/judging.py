@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from .. import schema
 from ..functions import fixed as X
 from ..functions import text as T
 from ..registry import Judge, RuleConfig
+from .prompts import PROMPTS
 
 
 def unfence(c: Column) -> Column:
@@ -85,20 +87,29 @@ def numbered_contexts(contexts: Column) -> Column:
         F.lit("Context "), (i + 1).cast("string"), F.lit(":\n"), c)), "\n\n")
 
 
-def ask(scorer, tries: int = 3):
-    """Arrow function around a user's scorer; a batch is tried again on failure, then left null."""
+def ask(scorer, tries: int = 3, pause: float = 1.0):
+    """Arrow function around a user's scorer: struct(answer, error).
 
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    A batch that fails is tried again after a pause, but not if its content was refused (ValueError and its kinds);
+    when tries run out its answers are null and carry the name of the error.
+    """
+
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            answers, error = None, None
             for attempt in range(tries):
                 try:
-                    yield pd.Series(scorer(batch), index=batch.index)
+                    answers, error = list(scorer(batch)), None
                     break
-                except Exception:  # noqa: BLE001 - the service may fail in any way
-                    if attempt == tries - 1:
-                        yield pd.Series([None] * len(batch), index=batch.index, dtype="object")
+                except Exception as e:  # noqa: BLE001 - the service may fail in any way
+                    answers, error = [None] * len(batch), type(e).__name__
+                    if isinstance(e, ValueError):
+                        break
+                    if attempt < tries - 1:
+                        time.sleep(pause)
+            yield pd.DataFrame({"answer": pd.Series(answers, dtype="object"), "error": pd.Series([error] * len(batch), dtype="object")})
 
-    return F.pandas_udf(call, "string")
+    return F.pandas_udf(call, "struct<answer: string, error: string>")
 
 
 def attach_responses(df: DataFrame, judged, *, id_col, responses, scorer) -> DataFrame:
@@ -107,15 +118,17 @@ def attach_responses(df: DataFrame, judged, *, id_col, responses, scorer) -> Dat
         if not id_col:
             raise ValueError("stored responses are joined by id_col")
         names = {j.name for _, _, j in judged}
+        lost = F.lit(None).cast("string")
         wide = (responses.where(F.col("metric").isin(*names)).groupBy(id_col).agg(*[
             F.max(F.when(F.col("metric") == n, F.col("response"))).alias(f"__of_{n}") for n in sorted(names)]))
         df = df.join(wide, id_col, "left")
-        answers = {f"__answer{n}": F.col(f"__of_{j.name}") for n, (_, _, j) in enumerate(judged)}
+        answers = {f"__answer{n}": F.struct(F.col(f"__of_{j.name}").alias("answer"), lost.alias("error"))
+                   for n, (_, _, j) in enumerate(judged)}
     elif scorer is not None:
         call = ask(scorer)
         answers = {}
         for n, (check, ev, j) in enumerate(judged):
-            template = ev.config.option("prompt", j.prompt)
+            template = ev.config.option("prompt", PROMPTS.get(j.name, j.prompt))
             fields = {k: F.col(v) for k, v in check.fields.items()}
             answers[f"__answer{n}"] = call(prompts(template, fields))
     else:
@@ -123,6 +136,11 @@ def attach_responses(df: DataFrame, judged, *, id_col, responses, scorer) -> Dat
     return df.withColumns(answers)
 
 
-def judge_detail(j: Judge, config: RuleConfig, check, answer: Column) -> Column:
+def judge_detail(j: Judge, config: RuleConfig, check, answer: Column, error: Column | None = None) -> Column:
+    """The judge's verdict on an answer; where there is an error instead, its name is the label."""
     row = {k: F.col(v) for k, v in check.fields.items()}
-    return j.score(j.name, answer, row, config.over(j.defaults))
+    detail = j.score(j.name, answer, row, config.over(j.defaults))
+    if error is None:
+        return detail
+    named = schema.detail(j.name, F.lit(True), schema.strings(F.concat(F.lit("QUALITY_BAD."), error)), schema.strings("no answer"))
+    return F.when(error.isNotNull(), named).otherwise(detail)

@@ -141,7 +141,8 @@ def evaluate(df: DataFrame, checks: list[Check], kept: Retention = Retention(),
     for check, ev, r, flag, v in planned:
         rules.setdefault(id(check), []).append(detail_of(r, flag, v))
     for n, (check, ev, j) in enumerate(judged):
-        judges.setdefault(id(check), []).append(judge_detail(j, ev.config, check, F.col(f"__answer{n}")))
+        judges.setdefault(id(check), []).append(judge_detail(
+            j, ev.config, check, F.col(f"__answer{n}")["answer"], F.col(f"__answer{n}")["error"]))
 
     # one array column per check and kind, then the retention rule on each of them
     arrays = {}

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..registry import Judge, find
+from ..registry import find
 from ..operators import load_all
 from .evaluate import Check, Retention, evaluate
 
@@ -52,7 +52,7 @@ def validate(spec: JobSpec, df: DataFrame) -> None:
         for ev in check.evals:
             e = find(ev.name)
             missing = [r for r in e.required if check.fields and r not in check.fields]
-            if missing and not isinstance(e, Judge):
+            if missing:
                 raise ValueError(f"{ev.name} needs field(s) {missing}")
         for column in check.fields.values():
             df.select(column)

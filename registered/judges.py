@@ -119,6 +119,28 @@ case("LLMRAGContextRelevancy", obj(rating=num(A)), f"{A} < 1", passed(f"({A} / 2
 _no = f"(CASE WHEN {C} = 0 THEN 0.0 ELSE {hits(C, YES)} / cast({C} AS DOUBLE) END)"
 case("LLMHallucination", obj(verdicts=listing(C, flag("verdict", '" No "', '"yes"'))), f"{_no} > 0.5",
      f"CASE WHEN {_no} > 0.5 THEN 'QUALITY_BAD_HALLUCINATION.HALLUCINATION_DETECTED' ELSE 'QUALITY_GOOD.NO_HALLUCINATION' END")
+# list answers: contexts in order, made questions, claims
+_prec = "round((" + " + ".join(
+    f"CASE WHEN {C} > {i} AND {YES.format(i=i)} THEN {hits(str(i + 1), YES)} / {i + 1}.0 ELSE 0.0 END" for i in range(5)
+) + f") / ({hits(C, YES)} + 1e-10) * 10, 2)"
+case("LLMRAGContextPrecision", obj(verdicts=listing(C, flag("verdict", "1", "0"))), f"NOT ({_prec} >= 5)", passed(_prec, "CONTEXT_PRECISION"), score=_prec)
+_made = "'{{\"similarity\": 0.' || cast((n_chars + {i}) % 10 AS VARCHAR(20)) || ', \"noncommittal\": ' || CASE WHEN " + YES + " THEN '1' ELSE '0' END || '}}'"
+_like = ("(CASE WHEN " + C + " - " + hits(C, YES) + " = 0 THEN 0.0 ELSE (" + " + ".join(
+    f"CASE WHEN {C} > {i} THEN ((n_chars + {i}) % 10) / 10.0 ELSE 0.0 END" for i in range(5)) + f") / greatest({C}, 1) * 10 END)")
+case("LLMRAGAnswerRelevancy", obj(questions=listing(C, _made)), f"round({_like}, 6) < 5", passed(f"round({_like}, 6)", "ANSWER_RELEVANCY"), score=_like)
+_held = f"({hits(C, YES)} / cast({C} AS DOUBLE))"
+case("LLMFactCheckPublic", obj(claims=listing(C, flag("answer", '"True"', '"false"'))), f"{C} > 0 AND {_held} < 0.8",
+     f"CASE WHEN {C} = 0 THEN NULL WHEN {_held} < 0.8 THEN 'QUALITY_BAD_FACTUALITY.FACTUALITY_CHECK_FAILED' "
+     "ELSE 'QUALITY_GOOD.FACTUALITY_CHECK_PASSED' END", score=f"CASE WHEN {C} > 0 THEN {_held} END")
+_claim = ("'{{\"verification_result\": \"' || CASE WHEN " + YES + " THEN 'confirmed' WHEN (n_chars + {i}) % 3 = 1 THEN 'true' ELSE 'refuted' END || "
+          "'\", \"reasoning\": \"' || CASE WHEN (n_chars + {i}) % 5 = 0 THEN 'There is insufficient evidence.' ELSE lang END || '\"}}'")
+_refuted = hits(C, "((n_chars + {i}) % 3 = 2)")
+_unsure = hits(C, "((n_chars + {i}) % 3 < 2 AND (n_chars + {i}) % 5 = 0)")
+case("ArticleFactChecker", obj(claims=listing(C, _claim)), f"{_refuted} + {_unsure} > 0",
+     f"CASE WHEN {_refuted} > 0 THEN 'QUALITY_BAD_ARTICLE_FACTUAL_ERROR' WHEN {_unsure} > 0 THEN 'QUALITY_BAD_ARTICLE_UNVERIFIED_CLAIMS' ELSE 'QUALITY_GOOD' END",
+     score=f"CASE WHEN {C} > 0 THEN round(({C} - {_refuted} - {_unsure}) / cast({C} AS DOUBLE), 4) END")
+case("LLMPerspective", obj(TOXICITY=f"'0.' || {num(f'({B} + 3)')}", INSULT=f"'0.' || {num(A)}"), f"{B} > 3 AND {B} < 7 AND {B} + 3 < 10",
+     f"CASE WHEN {B} > 3 AND {B} < 7 AND {B} + 3 < 10 THEN 'QUALITY_BAD.PERSPECTIVE' ELSE 'QUALITY_GOOD.PERSPECTIVE' END")
 _tool = f"CASE WHEN {A} = 1 THEN 'TOOL_ONE_BETTER' WHEN {A} = 2 THEN 'TOOL_TWO_BETTER' ELSE 'TOOL_EQUAL' END"
 case(["LLMHtmlExtractCompare", "LLMHtmlExtractCompareEn"], TYPED, f"{A} <> 1", f"{_tool} || '.' || source", strict=True)
 for _n, _w, _m in (("LLMCodeCompare", "code", "code"), ("LLMMathCompare", "math", "formula"), ("LLMTableCompare", "table", "table")):
@@ -149,7 +171,7 @@ PLAIN = {
         f"{A} = 2", f"CASE WHEN {A} = 0 THEN 'TOOL_ONE_BETTER.Judgement_A' WHEN {A} = 1 THEN 'TOOL_EQUAL.Judgement_B' "
         f"WHEN {B} < 3 THEN 'TOOL_TWO_BETTER.Judgement_C' ELSE 'QUALITY_BAD.ValueError' END"),
     "AgentFactCheck": (
-        f"CASE WHEN {A} = 0 THEN 'HALLUCINATION_DETECTED: yes' WHEN {A} = 1 THEN 'No hallucination detected here' "
+        f"CASE WHEN {A} = 0 AND {B} = 5 THEN 'HALLUCINATION_DETECTED: [YES]' WHEN {A} = 0 THEN 'HALLUCINATION_DETECTED: yes' WHEN {A} = 1 THEN 'No hallucination detected here' "
         f"WHEN {B} < 3 THEN 'a hallucination detected' WHEN {B} = 3 THEN ' ' ELSE lang END",
         f"{A} = 0 OR ({A} = 2 AND {B} <= 3)", f"CASE WHEN {A} = 0 OR ({A} = 2 AND {B} < 3) THEN 'QUALITY_BAD_HALLUCINATION' "
         f"WHEN {A} = 2 AND {B} = 3 THEN 'QUALITY_BAD_AGENT_ERROR' ELSE 'QUALITY_GOOD' END"),
