@@ -33,9 +33,10 @@ def _covered_chars(f: "Features") -> Column:
 
 
 def _grams(f: "Features") -> Column:
+    """Hashes of the runs of six words; equal hashes are confirmed by the words where it matters."""
     words = f.mixed_words
     return F.when(F.size(words) >= 6, F.transform(
-        F.sequence(F.lit(1), F.size(words) - 5), lambda i: F.array_join(F.slice(words, i, 6), " ")))
+        F.sequence(F.lit(1), F.size(words) - 5), lambda i: F.xxhash64(F.slice(words, i, 6))))
 
 
 def _ngrams(f: "Features") -> Column:
@@ -45,10 +46,13 @@ def _ngrams(f: "Features") -> Column:
 
 
 def _repeat_spots(f: "Features") -> Column:
-    grams = f.ngrams
-    same = F.filter(
-        grams,
-        lambda x, k: (x["g"] == F.get(grams, k - 1)["g"]) | (x["g"] == F.get(grams, k + 1)["g"]))
+    grams, words = f.ngrams, f.mixed_words
+
+    def alike(x, k):
+        other = F.get(grams, k)
+        return (x["g"] == other["g"]) & (F.slice(words, x["i"], 6) == F.slice(words, other["i"], 6))
+
+    same = F.filter(grams, lambda x, k: F.coalesce(alike(x, k - 1), F.lit(False)) | F.coalesce(alike(x, k + 1), F.lit(False)))
     spots = F.array_sort(F.transform(same, lambda x: x["i"]))
     return F.coalesce(spots, F.array().cast("array<int>"))
 
