@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as ty
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
@@ -173,26 +173,36 @@ def distinct_claims(claims: DataFrame, key: str, order: str, claim: str) -> Data
     return once.groupBy(key).applyInPandas(pick, f"{key} {kind[key]}, pos {kind[order]}, claim string")
 
 
-@F.udtf(returnType=ty.StructType([
-    ty.StructField("chunk_no", ty.IntegerType()), ty.StructField("chunk", ty.StringType()),
-    ty.StructField("start_pos", ty.IntegerType()), ty.StructField("end_pos", ty.IntegerType())]))
-class ChunkText:
-    """Pieces of a text of at most ``size`` characters, broken behind a sentence or paragraph if
-    one ends in the last fifth."""
-
-    def eval(self, text: str, size: int):
-        start, n = 0, 0
-        while start < len(text) or n == 0:
-            end = start + size
-            if end < len(text):
-                tail = text[start + int(size * 0.8):end]
-                cut = max(tail.rfind(mark) for mark in ("。", ".", "\n\n"))
-                if cut >= 0:
-                    end = start + int(size * 0.8) + cut + 1
-            else:
-                end = len(text) if n == 0 else end
-            yield n, text[start:end], start, end
-            start, n = end, n + 1
+def text_chunks(text: Column, size: int) -> Column:
+    """array<struct<chunk_no, chunk, start_pos, end_pos>>: pieces of at most ``size`` characters, broken behind a
+    sentence or paragraph if one ends in the last fifth. The end of a later last piece is counted on to its full size."""
+    text = F.coalesce(text, F.lit(""))
+    n, lead = F.length(text), int(size * 0.8)
+
+    def last_of(tail: Column, mark: str) -> Column:
+        """Place of the last mark from 0 on, -1 without one."""
+        back = F.instr(F.reverse(tail), mark[::-1])
+        return F.when(back > 0, F.length(tail) - back - len(mark) + 1).otherwise(-1)
+
+    def step(state, _):
+        start = state["next"]
+        tail = F.substring(text, start + lead + 1, F.lit(size - lead))
+        cut = F.greatest(*[last_of(tail, mark) for mark in (".", "\n\n", "。")])
+        end = (F.when(start + size >= n, F.when(start == 0, n).otherwise(start + size))
+               .when(cut >= 0, start + lead + 1 + cut).otherwise(start + size)).cast("int")
+        return F.when((start < n) | (start == 0) & (F.size(state["ends"]) == 0), F.struct(
+            end.alias("next"), F.concat(state["ends"], F.array(end)).alias("ends"))).otherwise(state)
+
+    # each piece but the last takes more than lead characters
+    turns = F.sequence(F.lit(0), F.floor(n / (lead + 1)).cast("int") + 1)
+    ends = F.aggregate(turns, F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("ends")), step, lambda state: state["ends"])
+
+    def piece(end, i):
+        start = F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+        return F.struct(i.alias("chunk_no"), F.substring(text, start + 1, end - start).alias("chunk"),
+                        start.alias("start_pos"), end.alias("end_pos"))
+
+    return F.transform(ends, piece)
 
 
 def paper_references(text: Column) -> dict[str, Column]:

@@ -140,11 +140,19 @@ def claim_distinct(spark, sf):
     return R.distinct_claims(s, "doc_id", "pos", "claim")
 
 
-@query("claim_text_chunks")
+@query("claim_text_chunks", r"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, text, -1 AS chunk_no, 0 AS start_pos, 0 AS end_pos FROM documents
+  UNION ALL
+  SELECT doc_id, text, chunk_no + 1, end_pos, CASE
+    WHEN end_pos + 1000 >= length(text) THEN CASE WHEN chunk_no < 0 THEN length(text) ELSE end_pos + 1000 END
+    WHEN regexp_matches(tail, '(?s)\.|。|\n\n') THEN end_pos + 800 + length(regexp_extract(tail, '(?s)^(.*)(\.|。|\n\n)', 1)) + 1
+    ELSE end_pos + 1000 END
+  FROM (SELECT *, substr(text, end_pos + 801, 200) AS tail FROM c) WHERE chunk_no < 0 OR end_pos < length(text))
+SELECT doc_id, chunk_no, substr(text, start_pos + 1, end_pos - start_pos) AS chunk, start_pos, end_pos FROM c WHERE chunk_no >= 0""")
 def claim_text_chunks(spark, sf):
-    spark.udtf.register("chunk_text", R.ChunkText)
-    spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").createOrReplaceTempView("__chunk_source")
-    return spark.sql("SELECT doc_id, c.* FROM __chunk_source, LATERAL chunk_text(text, 1000) c")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return d.select("doc_id", F.inline(R.text_chunks(F.col("text"), 1000)))
 
 
 @query("search_contexts", """

@@ -96,8 +96,8 @@ def test_claims(spark):
 
 
 def test_chunks(spark):
-    spark.udtf.register("chunk_text_t", R.ChunkText)
-    rows = spark.sql("SELECT * FROM chunk_text_t('aaaaaaaaa.bbbbbbbbbbbb', 11)").collect()
+    text = spark.createDataFrame([("aaaaaaaaa.bbbbbbbbbbbb",)], "t string")
+    rows = text.select(F.inline(R.text_chunks(F.col("t"), 11))).collect()
     assert [r.chunk for r in rows] == ["aaaaaaaaa.", "bbbbbbbbbbb", "b"]
 
 
