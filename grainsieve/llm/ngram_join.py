@@ -128,6 +128,11 @@ def passes(filter_: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
+def maybe(filter_: np.ndarray, column: str):
+    """Rows whose value may be among those that the filter was made of; only this column goes through Python."""
+    return F.pandas_udf(lambda values: pd.Series(passes(filter_, values.to_numpy())), "boolean")(F.col(column))
+
+
 # ---- the join ---------------------------------------------------------------------------------------------------
 
 def t_occurrence(sets: list[np.ndarray], rule: Rule, cut: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,10 +236,13 @@ def representatives(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id") -
         (F.struct("id", "version") == F.col("first")).alias("stays")))
     marked = docs.withColumns({"__id": F.col(key).cast("long"), "__version": F.xxhash64("text")})
     on = ["__id", "__version"]
-    out = marked.join(judged.where("not stays or rows > 1").select(on), on, "left_anti")
-    again = judged.where("stays and rows > 1").select(on)
+    gone = scratch.save(judged.where("not stays or rows > 1"))
+    asked = maybe(sieve(gone, "__version", gone.count()), "__version")
+    # most texts stay where they are; only those that may have to go are joined
+    out = marked.where(~asked).unionByName(marked.where(asked).join(gone.select(on), on, "left_anti"))
+    again = gone.where("stays").select(on)
     if again.head(1):
-        out = out.unionByName(marked.join(again, on, "left_semi").dropDuplicates(on))
+        out = out.unionByName(marked.where(asked).join(again, on, "left_semi").dropDuplicates(on))
     return out.select(*docs.columns)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .ngram_join import passes, sieve
+from .ngram_join import maybe, sieve
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,8 @@ def _windows(scratch: common.Scratch, docs: DataFrame, rule: Passage) -> DataFra
 
     kept = scratch.save(docs.mapInArrow(keep, "doc long, version long, head long, start int, windows int, around long"))
     paired = kept.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
-    live = scratch.save(kept.join(paired, "head").dropDuplicates(["head", "doc", "version", "start"]))
+    # repeated rows stay: they have the place of the first and drop out where places are compared
+    live = scratch.save(kept.join(paired, "head"))
     place = F.struct("doc", "version", "start")
     sorted_ = scratch.save(live.groupBy("head").agg(
         F.min(place).alias("origin"), F.max(place).alias("other"), (F.min("around") == F.max("around")).alias("alike")
@@ -82,14 +83,9 @@ def _windows(scratch: common.Scratch, docs: DataFrame, rule: Passage) -> DataFra
 
     # they part somewhere: window by window, from the texts
     parting = scratch.save(live.join(sorted_.where("not alike").select("head"), "head").groupBy("doc", "version").agg(
-        F.sort_array(F.collect_list(F.struct("start", "windows"))).alias("runs")))
+        F.sort_array(F.collect_set(F.struct("start", "windows"))).alias("runs")))
     spared = sieve(parting, "version", parting.count())
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(passes(spared, batch.column(1).to_numpy(zero_copy_only=False))))
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             words = common.Words(*common.buffers(batch.column(2)))
@@ -105,7 +101,7 @@ def _windows(scratch: common.Scratch, docs: DataFrame, rule: Passage) -> DataFra
                 [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(hashes), pa.int64()),
                  pa.array(np.concatenate(starts), pa.int32())], names=["doc", "version", "words", "start"])
 
-    some = docs.mapInArrow(read, "doc long, version long, text string").dropDuplicates(["doc", "version"])
+    some = docs.where(maybe(spared, "version"))
     each = scratch.save(some.join(parting, ["doc", "version"]).select("doc", "version", "text", "runs").mapInArrow(
         compare, "doc long, version long, words long, start int"))
     again = each.groupBy("words").agg(F.min(place).alias("origin"), F.max(place).alias("other")).where(
@@ -175,5 +171,8 @@ def without_repeats(docs: DataFrame, rule: Passage = Passage(), key: str = "doc_
                     [pa.array(out, pa.string()) if c == text else batch.column(i) for i, c in enumerate(names)], names=names)
 
     marked = docs.withColumns({"__doc": F.col(key).cast("long"), "__version": F.xxhash64(text)})
+    asked = maybe(sieve(cuts, "version", cuts.count()), "__version")
     cuts = cuts.withColumnsRenamed({"doc": "__doc", "version": "__version", "cuts": "__cuts"})
-    return marked.join(cuts, ["__doc", "__version"], "left").select(*names, "__cuts").mapInArrow(cut, docs.schema)
+    some = marked.where(asked).join(cuts, ["__doc", "__version"], "left").select(*names, "__cuts")
+    # texts that surely have no repeats stay where they are
+    return marked.where(~asked).select(*names).unionByName(some.mapInArrow(cut, docs.schema))
