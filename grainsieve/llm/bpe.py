@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from . import common, pretokens
 
 #: Distinct pieces whose ids a task remembers, and the longest of them in bytes; the rest are merged anew.
-CACHE_PIECES, CACHE_CHARS = 1_000_000, 48
+CACHE_PIECES, CACHE_CHARS = 300_000, 48
 
 
 @lru_cache(2)
