@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,18 +40,21 @@ class Rule:
         """How many of the rarest n-grams are looked up."""
         return n - -(-self.loose * n // 100) + 1
 
-    def shared(self, n: np.ndarray | int):
-        """How many n-grams linked documents have in common within their prefixes, at least.
-
-        Beyond the prefix of the document whose prefix ends first lie ceil(loose * n) - 1 n-grams, and the overlap is at
-        least ceil(percent * n) for the larger document too; the difference rises with n, so it holds for both sizes.
-        """
-        return -(-self.percent * n // 100) - -(-self.loose * n // 100) + 1
-
     def overlap(self, a: int, b):
         """Least intersection of linked sets of these sizes."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
+    @lru_cache(1 << 16)
+    def shared(self, n: int) -> int:
+        """How many n-grams a set of this size has in common with any linked set within the prefixes of both, at least.
+
+        Beyond the prefix that ends first lie ceil(loose * size) - 1 n-grams of its set, at most those of the larger set,
+        and the overlap is at least that of the two sizes. The difference neither rises nor falls with the size of the
+        partner, so the least over all sizes that can be linked is taken.
+        """
+        m = np.arange(-(-self.percent * n // 100), 100 * n // self.percent + 1)
+        return max(1, int((self.overlap(n, m) + -(self.loose * np.maximum(n, m)) // 100).min()) + 1)
+
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - 18)).astype(np.int64) % CELLS
@@ -257,10 +261,11 @@ def _grouped(docs: DataFrame, rule: Rule, key: str) -> tuple[DataFrame, DataFram
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            sizes, members, heads = [], [], []
+            sizes, needs, members, heads = [], [], [], []
             for tokens in _sets(batch, 1, rule.size):
                 n = len(tokens)
                 sizes.append(n)
+                needs.append(rule.shared(n) if n else None)
                 members.append(_member(tokens) if n else None)
                 if n:
                     p = rule.prefix(n)
@@ -270,23 +275,22 @@ def _grouped(docs: DataFrame, rule: Rule, key: str) -> tuple[DataFrame, DataFram
                 heads.append(common.signed(tokens))
             at = np.cumsum([0, *map(len, heads)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(members, pa.int64()), batch.column(2),
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(needs, pa.int32()), pa.array(members, pa.int64()), batch.column(2),
                  pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(heads), pa.int64()))],
-                names=["id", "n", "member", "version", "head"])
+                names=["id", "n", "need", "member", "version", "head"])
 
     described = scratch.save(docs.withColumn("version", F.xxhash64("text")).mapInArrow(
-        rarest, "id long, n long, member long, version long, head array<long>"))
+        rarest, "id long, n long, need int, member long, version long, head array<long>"))
     folded = scratch.save(described.where("member is not null").groupBy("member").agg(
-        F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n")))
+        F.min("id").alias("id"), F.count("*").alias("copies"), F.max("need").alias("need")))
 
     # n-grams that two different sets have among their rarest; a set needs rule.shared(n) of them
     postings = described.select("member", F.explode("head").alias("token"))
     frequent = postings.groupBy("token").agg(F.min("member").alias("least"), F.max("member").alias("most")).where(
         "least < most").select("token")
     per = (postings.join(frequent, "token").distinct().groupBy("member").agg(F.collect_list("token").alias("tokens"))
-           .join(folded.select("member", "n", "id"), "member"))
-    need = F.ceil(F.lit(rule.percent) * F.col("n") / 100) - F.ceil(F.lit(rule.loose) * F.col("n") / 100) + 1
-    able = scratch.save(per.withColumn("need", need.cast("int")).where(F.size("tokens") >= F.col("need")))
+           .join(folded.select("member", "need", "id"), "member"))
+    able = scratch.save(per.where(F.size("tokens") >= F.col("need")))
 
     # rare first: all but the last need - 1 in the order of the number of sets that have them
     some = able.select("member", "need", F.explode("tokens").alias("token"))

@@ -94,6 +94,30 @@ def test_crowded_filter_loses_nothing(spark, copies, monkeypatch):
     assert sorted(map(tuple, got)) == joined(copies, 4, 85)
 
 
+@pytest.mark.parametrize("rule", [ngram_join.Rule(4, 85), ngram_join.Rule(5, 80), ngram_join.Rule(3, 100), ngram_join.Rule(2, 33)])
+def test_linked_prefixes_share_what_is_asked(rule):
+    cut = lambda n: -(-rule.loose * n // 100) - 1
+    for a in range(1, 201):
+        for b in range(a, 100 * a // rule.percent + 1):
+            least = -(-rule.percent * (a + b) // (100 + rule.percent)) - max(cut(a), cut(b))
+            assert 1 <= max(rule.shared(a), rule.shared(b)) <= least
+
+
+@pytest.mark.parametrize("size, percent, nested", [(4, 85, [(7, 6), (14, 12), (29, 25), (54, 46)]), (5, 80, [(11, 9), (16, 13)])])
+def test_nested_sets_are_linked(spark, size, percent, nested):
+    rows = []
+    for larger, smaller in nested:
+        for copy in range(6):  # by the hashes, some of them share only one n-gram of their prefixes
+            own = [f"s{larger}x{copy}y{i}" for i in range(larger + size - 1)]
+            short = " ".join(own[:smaller + size - 1])
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, short)]
+            # what both share is frequent: it comes last in the larger set, whose other n-grams fill its prefix
+            rows += [(len(rows) + i, " ".join([short, *(f"r{len(rows)}z{i}w{j}" for j in range(200))])) for i in range(8)]
+    got = sorted(map(tuple, ngram_join.join(frame(spark, rows), ngram_join.Rule(size, percent)).collect()))
+    want = joined(rows, size, percent)
+    assert sum(r[2] for r in want) == 12 * len(nested) and got == want
+
+
 def test_t_occurrence_equals_counting():
     rng = np.random.default_rng(1)
     rule = ngram_join.Rule(4, 70)
