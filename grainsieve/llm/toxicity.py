@@ -1,6 +1,6 @@
 """Toxicity of texts: a noisy-channel decoder undoes leetspeak, spacing and repetition, then the restored text is scored.
 
-Words that look disguised become lattices: each sign may stand for the letters it is used for, or for nothing. The path
+Words that may be disguised become lattices: each sign may stand for the letters it is used for, or for nothing. The path
 that a character language model of the whole corpus likes best, together with the costs of the channel, is the restored
 word. A logistic model over words and word beginnings scores the restored text.
 """
@@ -35,6 +35,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 PARTERS = frozenset(" .-_*~'")
 # Costs of the channel, as negative log probabilities.
 READ_SIGN, READ_STAR, DROP_SIGN, KEEP_SIGN, DROP_PARTER, DROP_REPEAT, DROP_DOUBLE = 0.7, 2.2, 9.0, 9.0, 0.5, 1.0, 6.0
+#: Of a sign that ends a word and is no digit, @ or $: it is punctuation most often.
+KEEP_END = 0.7
 
 _FORMS = 200_000  # restored words that a task remembers
 
@@ -51,7 +53,8 @@ _LETTER = _table("abcdefghijklmnopqrstuvwxyz")
 _LETTER[128:] = True
 _ASCII = _table("abcdefghijklmnopqrstuvwxyz")
 _SIGN = _table("".join(LEET))
-_TAIL = _table("0123456789@$")
+_TAILS = "0123456789@$"
+_TAIL = _table(_TAILS)
 _BLANK = _table(" \t\n\r\x0b\x0c")
 _PARTER = _table("".join(PARTERS))
 _SYMBOL = np.zeros(256, np.int64)
@@ -117,13 +120,20 @@ class Restorer:
             got = self.known[word] = self.decode(word)
         return got
 
+    @staticmethod
+    def _ends(word: str, i: int) -> bool:
+        """Only signs that are no digit, @ or $, and no letters, follow in the word."""
+        while i < len(word) and word[i] in LEET and word[i] not in _TAILS:
+            i += 1
+        return i == len(word) or word[i].isspace()
+
     def _choices(self, word: str, i: int) -> list[tuple[int, str, float]]:
         """(symbol, what is written, cost) of the readings of a sign; symbol -1 drops it."""
         c = word[i]
         if c in LEET:
             out = [(ord(x) - 96, x, READ_STAR if c == "*" else READ_SIGN) for x in LEET[c]]
             out.append((-1, "", DROP_PARTER if c in PARTERS else DROP_SIGN))
-            return out + [(0, c, KEEP_SIGN)]
+            return out + [(0, c, KEEP_END if c not in _TAILS and self._ends(word, i) else KEEP_SIGN)]
         if c in PARTERS:
             return [(-1, "", DROP_PARTER), (0, c, KEEP_SIGN)]
         if "a" <= c <= "z" or c.isalpha():
@@ -204,12 +214,44 @@ def disguised(data: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def suspects(data: np.ndarray) -> list[tuple[int, int]]:
+    """Bytes of all that the lattices decode, as rising runs that don't overlap: what looks disguised, and what may be.
+
+    Every word, from blank to blank, of a letter and a sign; three or more letters and signs that each stand alone, parted
+    by single signs, with a letter among them.
+    """
+    n = len(data)
+    runs = disguised(data)
+    letter, sign = _LETTER[data], _SIGN[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[data], [True]]).astype(np.int8)))
+    start, stop = edge[::2], edge[1::2]
+    letters, signs = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, sign))
+    mixed = (letters[stop] > letters[start]) & (signs[stop] > signs[start])
+    runs += zip(start[mixed].tolist(), stop[mixed].tolist())
+    # alone: no letter, digit, @ or $ on either side; other signs may be brackets or punctuation
+    close = np.concatenate([[False], letter | _TAIL[data], [False]])
+    lone = np.flatnonzero((_ASCII[data] | (sign & ~_PARTER[data])) & ~close[:-2] & ~close[2:])
+    if len(lone) > 2:
+        linked = (np.diff(lone) == 2) & _PARTER[data[np.minimum(lone[:-1] + 1, n - 1)]]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], linked, [False]]).astype(np.int8)))
+        first, last = lone[edge[::2]], lone[edge[1::2]]
+        kept = (edge[1::2] - edge[::2] >= 2) & (letters[last + 1] > letters[first])
+        runs += zip(first[kept].tolist(), (last[kept] + 1).tolist())
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def restored(texts: list[str | None], restore: Restorer) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the restored texts in lower case, each followed by a line end, and where each begins."""
     _, data, offs = _lowered(texts)
     parts, at, more = [], 0, np.zeros(len(data) + 1, np.int64)
     raw = data.tobytes()
-    for a, b in disguised(data):
+    for a, b in suspects(data):
         new = restore(raw[a:b].decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass")
         parts += [raw[at:a], new]
         more[b] += len(new) - (b - a)

@@ -241,6 +241,19 @@ def test_disguises_are_undone(model):
     assert [text[a:b] for a, b in toxicity.disguised(data)] == ["m0ron,", "i d i o t", "1diot"]
 
 
+def test_all_that_may_be_disguised_is_decoded(model):
+    found = lambda text: [text.encode()[a:b].decode() for a, b in toxicity.suspects(np.frombuffer(text.encode(), np.uint8))]
+    assert found("the f***k, f***ing @$$hole a$$ is ok 12 3+4\n1 2 3 4\tx, (y) end.") == ["f***k,", "f***ing", "@$$hole", "a$$", "(y)"]
+    assert found("k 1 l l! a s s, i d i o t! 1 d 1 0 t") == ["k 1 l l!", "a s s", "i d i o t!", "1 d 1 0 t"]
+    assert found("k 1 l l, x") == ["k 1 l l"] and found("u.s.a") == ["u.s.a"] and found("1 2 3") == found("12") == found("") == []
+    restore = toxicity.Restorer(model.cost)
+    for text, plain in (("1 d 1 0 t", "idiot"), ("m 0 r 0 n", "moron"), ("1d1***0t", "idiot"), ("idiot!!", "idiot!!")):
+        data, offs = toxicity.restored([f"the {text} an", "x"], restore)
+        assert data.tobytes().decode() == f"the {plain} an\nx\n" and offs.tolist() == [0, len(plain) + 8, len(plain) + 10]
+    hidden, = model.scores(["the inan 1 d 1 0 t m 0 r 0 n"], restore)
+    assert hidden > 0.5
+
+
 def test_scores_on_held_out_rows(insults, model):
     docs, labels = insults
     rows = toxicity.judged(docs, labels).join(labels, "doc_id").collect()
