@@ -325,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         most: int = SAMPLE) -> Model:
     """Language model of all texts; classifier of at most `most` labelled texts of either label, held-out ones excepted.
 
-    Several labels of a key count as the largest. Without texts of both labels the score is one constant, the smoothed
+    Several labels of a key count as the largest, several texts as the one of the smallest hash. Without texts of both labels the score is one constant, the smoothed
     share of the label.
     """
     spark = docs.sparkSession
@@ -356,6 +356,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample = scratch.save(picked[0].unionByName(picked[1]))
     texts = docs.join(F.broadcast(sample), docs[key] == F.col("__key")).select(
         F.col("__key").cast("long"), "__label", F.col(text).alias("__text"))
+    # rows that repeat a key count once, by the text of the smallest hash, so that 2 * most bounds the rows too
+    texts = texts.groupBy("__key", "__label").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), "__text")).alias("least")).select(
+        "__key", "__label", "least.__text")
     rows = scratch.save(texts.mapInArrow(read, "doc long, label int, found array<long>").where("doc is not null"))
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):

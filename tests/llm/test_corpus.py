@@ -273,6 +273,18 @@ def test_held_out_accuracy_on_a_table(spark):
     assert np.mean([r.predicted == r.toxic for r in rows]) >= 0.9
 
 
+def test_a_repeated_key_is_learnt_from_once(spark, insults, monkeypatch):
+    docs, labels = insults
+    told = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda rows, columns, label, *rest: told.append(len(label)) or train(rows, columns, label, *rest))
+    key = labels.where("toxic = 1").where(~toxicity.held_out()).first().doc_id
+    copies = docs.where(F.col("doc_id") == key).crossJoin(spark.range(400)).select("doc_id", F.concat("text", F.lit(" "), "id").alias("text"))
+    toxicity.fit(docs, labels)
+    toxicity.fit(docs.unionByName(copies), labels)
+    assert told[0] == told[1] <= 600
+
+
 def test_toxicity_of_odd_rows(spark, insults, model):
     docs, labels = insults
     odd = spark.createDataFrame([(1, None, 0.1), (1, "", 0.2), (None, "idiot moron " * 20_000, 0.3), (2, "clean", 0.4)],
