@@ -117,6 +117,19 @@ def test_candidates_that_findings_cover_in_part_are_scored():
         ("key", key), ("hex", key[4:20]), ("key", run), ("access", run[3:-2]), ("hex", whole), ("hex", whole), ("key", whole + "g" * 16)]
 
 
+def test_threshold_keeps_the_recall_of_findings_that_look_like_words():
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(600):
+        odd = i % 2 and rng.random() > 0.1  # a tenth of the findings look like the others
+        rows.append(secrets.windows("".join(rng.choices("0123456789abcdef" if odd else "etaoinshrdlu", k=24)), 0, 24)[0])
+        labels.append(i % 2)
+    net = secrets.train(secrets.coded(rows), np.array(labels))
+    held = [i for i in range(0, 600, 5) if labels[i]]
+    p = net.probability(secrets.coded([rows[i] for i in held]))
+    assert p.min() < 0.5 and np.mean(p >= net.threshold) >= secrets.RECALL
+
+
 def test_long_candidates_are_seen_whole():
     text = "x" * 10 + " " + "k" * 400 + " end"
     found = secrets.windows(text, 11, 411)
