@@ -1,10 +1,10 @@
-"""Passages that repeat, within or across documents, by sparse suffix arrays over a whole corpus.
+"""Passages that repeat, within or across documents, by sparse suffixes over a whole corpus.
 
 Of all suffixes only those at minimisers are kept: in every run of `least` words the position of the smallest hash of
-`head` words, which the run's own words select, so equal passages keep the same suffixes. Sorting the kept suffixes by their
-heads brings equal ones side by side. Each kept suffix stands for the windows of `least` words that selected it; to the
-left and right of equal heads these windows are compared: all at once where the words around the heads are all alike,
-window by window where they part.
+`head` words, which the run's own words select, so equal passages keep the same suffixes. The kept suffixes are grouped by
+a hash of their heads; they are not sorted and not extended word by word. Each kept suffix stands for the windows of
+`least` words that selected it, and these are compared by hash: all at once where the words around the heads are all
+alike, window by window where they part.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from .ngram_join import maybe, sieve
 
 @dataclass(frozen=True)
 class Passage:
-    """Passages of `least` words or more; suffixes are sorted by `head` words."""
+    """Passages of `least` words or more; suffixes are grouped by `head` words."""
 
     least: int = 50
     head: int = 25
