@@ -23,6 +23,13 @@ SCHEMES = ("http://", "https://", "ftp://", "mailto:", "tel:")
 ACCOUNT_CUES = ("iban", "account no", "account number", "acct", "ssn", "passport no", "passport number")
 STREET_CUES = (" street", " avenue", " road", " boulevard", " lane")
 
+#: Signs of an IBAN by country.
+_IBAN = {c: int(n) for n, cs in (
+    (15, "NO"), (16, "BE"), (18, "DK FK FO FI GL NL SD"), (19, "MK SI"), (20, "AT BA EE KZ LT LU MN XK"), (21, "CH HR LI LV"),
+    (22, "BG BH CR DE GB GE IE ME RS VA"), (23, "AE GI IL IQ OM SO TL"), (24, "AD CZ ES MD PK RO SA SE SK TN VG"), (25, "LY PT ST"),
+    (26, "IS TR"), (27, "BI DJ FR GR IT MC MR SM"), (28, "AL AZ BY CY DO GT HU LB NI PL SV"), (29, "BR EG PS QA UA"),
+    (30, "JO KW MU YE"), (31, "MT SC"), (32, "LC"), (33, "RU")) for c in cs.split()}
+
 _DIGITS = frozenset("0123456789")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _LOCAL = _ALNUM | frozenset("._%+-")
@@ -125,38 +132,74 @@ def phone_at(text: str, plus: int) -> tuple[int, int] | None:
     return (plus, i) if i > plus + 3 and text[i - 1] in _DIGITS else None
 
 
+def _iban_at(text: str, start: int) -> int | None:
+    """End of an IBAN of its country's length, whose signs a single space or hyphen may part."""
+    size, n = _IBAN.get(text[start:start + 2].upper()), len(text)
+    if size is None or not (text[start + 2:start + 4].isdigit() and text[start + 2:start + 4].isascii()):
+        return None
+    i, seen = start, 0
+    while seen < size:
+        if i < n and text[i] in _ALNUM:
+            seen += 1
+        elif not (i + 1 < n and text[i] in " -" and text[i + 1] in _ALNUM):
+            return None
+        i += 1
+    return i if i == n or text[i] not in _ALNUM else None
+
+
 def account_at(text: str, end: int) -> tuple[int, int] | None:
-    """An identifier of six signs or more with four digits, right after a cue and a few parting signs."""
+    """An identifier right after a cue and a few parting signs: an IBAN, or six signs or more with four digits.
+
+    What is no IBAN goes on, by groups that a space or hyphen parts, to the last group with a digit; a group begins with
+    a digit or capital, has a digit or capitals alone, and no two in a row are without a digit.
+    """
     n, i = len(text), end
     while i < n and i < end + 4 and text[i] in " .:#=":
         i += 1
     start = i
-    while i < min(n, start + 40) and (text[i] in _ALNUM or (text[i] in " -" and i + 1 < n and (text[i + 1] in _DIGITS or text[i + 1].isupper()))):
-        i += 1
-    found = text[start:i]
-    if start > end and len(found) >= 6 and sum(c in _DIGITS for c in found) >= 4:
-        return start, i
-    return None
+    if start == end:
+        return None
+    if stop := _iban_at(text, start):
+        return start, stop
+    stop, bare, digits = start, 0, 0
+    while True:
+        j, own = i, 0
+        while j < n and text[j] in _ALNUM:
+            own += text[j] in _DIGITS
+            j += 1
+        if own:
+            stop, bare, digits = j, 0, digits + own
+        else:
+            bare += 1
+            if j == i or bare > 1 or i > start and not text[i:j].isupper():
+                break
+        if not (j + 1 < n and text[j] in " -" and (text[j + 1] in _DIGITS or text[j + 1].isupper())):
+            break
+        i = j + 1
+    return (start, stop) if stop - start >= 6 and digits >= 4 else None
 
 
-def address_at(text: str, cue: int, end: int) -> tuple[int, int] | None:
-    """A house number and one to three capitalised words before the word for a street."""
-    if end < len(text) and text[end] in _ALNUM:
-        return None
+def address_at(text: str, cue: int, end: int, before: tuple[int, int | None]) -> tuple[int | None, bool]:
+    """Where a house number and capitalised words before the word for a street begin, and whether that word ends there.
+
+    `before` is the place and result of the cue before, where a walk to the left may stop.
+    """
+    ends = not (end < len(text) and text[end] in _ALNUM)
     i = cue
-    for _ in range(3):
+    while True:
+        if i == before[0]:
+            return before[1], ends
         j = i
         while j > 0 and text[j - 1].isalpha():
             j -= 1
         if j == i or not text[j].isupper() or j == 0 or text[j - 1] != " ":
-            return None
+            return None, ends
         i = j - 1
         k = i
         while k > 0 and text[k - 1] in _DIGITS:
             k -= 1
         if k < i:
-            return (k, end) if i - k <= 5 and (k == 0 or text[k - 1] not in _ALNUM) else None
-    return None
+            return (k if k == 0 or text[k - 1] not in _ALNUM else None), ends
 
 
 def find(text: str) -> list[Span]:
@@ -166,7 +209,8 @@ def find(text: str) -> list[Span]:
     if len(folded) != len(text):
         folded = text.translate(_LOWER)
     spans: list[Span] = []
-    email_end = ip_end = card_end = phone_end = url_end = digits_end = 0
+    email_end = ip_end = card_end = phone_end = url_end = account_end = digits_end = 0
+    street: tuple[int, int | None] = -1, None
     n = len(text)
     for last, (kind, size) in _automaton().iter(folded):
         if kind == "digit":
@@ -207,10 +251,17 @@ def find(text: str) -> list[Span]:
                     spans.append(("url", start, j))
         elif kind == "account":
             start = last + 1 - size
-            if not (start and text[start - 1] in _ALNUM) and (got := account_at(text, last + 1)):
+            if start >= account_end and not (start and text[start - 1] in _ALNUM) and (got := account_at(text, last + 1)):
+                account_end = got[1]
                 spans.append(("account", *got))
-        elif got := address_at(text, last + 1 - size, last + 1):
-            spans.append(("address", *got))
+        else:
+            cue = last + 1 - size
+            start, ends = address_at(text, cue, last + 1, street)
+            street = cue, start
+            if ends and start is not None:
+                if spans and spans[-1][:2] == ("address", start):
+                    spans.pop()  # it goes on
+                spans.append(("address", start, last + 1))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(spans), key=lambda s: (s[1], order[s[0]], s[2]))
 

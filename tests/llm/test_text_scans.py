@@ -58,6 +58,16 @@ def test_cues_add_spans_and_redaction_covers_them():
     assert pii.find("a clean sentence on a street, in 12 words") == []
 
 
+def test_accounts_and_addresses_run_to_their_end():
+    russian = "RU03 0445 2522 5408 1781 0538 0913 1041 9"  # 33 signs in 41
+    for text, want in ((f"IBAN: {russian} and on", [russian]), ("iban DE44500105175407324931 Bank Of 3", ["DE44500105175407324931"]),
+                       (f"account no: {'1234 ' * 15}Then 5 more", [("1234 " * 15).strip()]), (f"acct #{'7' * 90}.", ["7" * 90]),
+                       ("passport no AB 123456 IN A HOUSE", ["AB 123456"]), ("iban GB29 NWBK 6016 1331 9268 19", ["GB29 NWBK 6016 1331 9268 19"]),
+                       ("at 123456 Old Upper Long Oak Street now", ["123456 Old Upper Long Oak Street"]),
+                       ("12 Oak Street Lane", ["12 Oak Street Lane"]), ("Oak" + " Street" * 20_000, [])):
+        assert [text[a:b] for k, a, b in pii.find(text) if k in ("account", "address")] == want
+
+
 def test_pii_query_on_a_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     rows = queries.QUERIES["op5_pii_anchors"](spark, SF).collect()
