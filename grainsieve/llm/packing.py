@@ -9,7 +9,9 @@ decreasing is rerun, until the bound of all pieces together is met or a round sa
 
 from __future__ import annotations
 
+import itertools
 import json
+import logging
 import math
 import zlib
 from collections.abc import Iterator
@@ -26,8 +28,7 @@ from . import bpe, common
 
 #: Pieces that one task packs, about; the number of partitions follows from it.
 PIECES_A_TASK = 1 << 16
-#: Most rounds of exchange. Each round also ends when it saves nothing or the bound is met.
-ROUNDS = 4
+_LOG = logging.getLogger(__name__)
 
 
 # ---- tokens -----------------------------------------------------------------------------------------------------
@@ -167,7 +168,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, text: str = "text")
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: the place of every piece.
 
     Empty table: no rows. Null or empty text: a piece of its end id alone. Repeated rows and equal doc_ids are packed
-    each for itself. Ties between bins go to the one opened last. Other columns are left behind.
+    each for itself. Ties between bins go to the one opened last. Other columns are left behind. The attribute `packing`
+    of the result, and the log, tell the bound, the sequences and the rounds.
     """
     scratch = common.Scratch(docs.sparkSession, "packing")
     # the row number is fixed by writing: later rounds must see the same one even if a task is run again
@@ -177,14 +179,15 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, text: str = "text")
     for c in counts:
         histogram[c.length] = c.n
     bound = lower_bound(histogram, size)
-    settled, used, best, path = None, 0, None, None
+    settled, used, best, path, rounds = None, 0, None, None, 0
 
-    for turn in range(ROUNDS):
+    for turn in itertools.count():  # every round but the last saves a sequence
         n = loose.count()
         if not n:
             break
         parts = max(1, math.ceil(n / PIECES_A_TASK))
         placed = scratch.save(_deal(loose, parts, turn, size))
+        rounds += 1
         full, opened = placed.where("not open"), placed.where("open")
         bins = placed.where("offset = 0").agg(F.count_if(~F.col("open")).alias("full"), F.count_if("open").alias("open")).first()
         total = used + bins.full + bins.open
@@ -198,15 +201,19 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, text: str = "text")
         loose = opened.select(*PIECE.names, "row")
     if path is None:
         path = docs.sparkSession.createDataFrame([], PLACED)
-    return path.select(*PIECE.names, "sequence_id", "offset")
+    _LOG.info("%d sequences after %d rounds; no packing has fewer than %d", best or 0, rounds, bound)
+    out = path.select(*PIECE.names, "sequence_id", "offset")
+    out.packing = {"bound": bound, "sequences": best or 0, "rounds": rounds}
+    return out
 
 
 def _deal(loose: DataFrame, parts: int, turn: int, size: int) -> DataFrame:
     """Pack each of `parts` partitions by itself; rows are dealt by a hash of the row that changes from turn to turn."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row", ignore_index=True)  # the same bins if the task is run again
+        # 16 bits for the round, 27 for the partition, 20 for the bin
         bins, offsets, fill = best_fit(pdf["length"].to_numpy(), size)
-        pdf["sequence_id"] = (np.int64(turn) << 56) + (np.int64(key[0]) << 28) + bins
+        pdf["sequence_id"] = (np.int64(turn) << 47) + (np.int64(key[0]) << 20) + bins
         pdf["offset"] = offsets
         free = size - fill
         if len(fill) == lower_bound(np.bincount(pdf["length"], minlength=size + 1), size):

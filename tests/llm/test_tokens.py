@@ -111,6 +111,19 @@ def test_packing_query_and_exchange(spark, monkeypatch):
     assert used <= least + 4
 
 
+def test_exchange_goes_on_while_it_saves(spark, monkeypatch):
+    rng = random.Random(620)
+    texts = {i: "a " * rng.randint(20, 40) for i in range(600)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(packing, "PIECES_A_TASK", 6)
+    saved, deal = [], packing._deal
+    monkeypatch.setattr(packing, "_deal", lambda *a: saved.append(a) or deal(*a))
+    out = packing.pack(df, JSON, 100)
+    used, least = check_packing(out.collect(), texts, 100)
+    assert len(saved) > 4  # the fifth round would save sequences too
+    assert out.packing["sequences"] == used >= out.packing["bound"] >= least and out.packing["rounds"] == len(saved)
+
+
 def test_bounds_never_exceed_packings():
     rng = random.Random(2)
     for _ in range(200):
