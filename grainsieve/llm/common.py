@@ -64,6 +64,23 @@ def folded(partial: DataFrame, fold: Callable[[bytes, bytes], bytes]) -> list:
     return partial.repartition("chunk").mapInArrow(run, "chunk int, counts binary").collect()
 
 
+#: Bytes of the keys and rows of a table that is broadcast, at most; the salts that spread the rows of a key beyond that.
+BROADCAST_BYTES, SALTS = 8 << 20, 64
+
+
+def attached(rows: DataFrame, table: DataFrame, on: list[str], spread: str, row_bytes: int = 100) -> DataFrame:
+    """Inner join with a table of one row a key, where one key may hold any share of the rows.
+
+    The table is broadcast if its measured size allows; else its rows are copied once for each salt, and the rows of a key
+    spread over the salts by the hash of the column `spread`.
+    """
+    size = table.agg(F.sum(sum((F.octet_length(F.col(c).cast("string")) for c in on), F.lit(row_bytes)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), on)
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"]).drop("__salt")
+
+
 # ---- text buffers -----------------------------------------------------------------------------------------------
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, ngram_join, packing, pii, secrets, suffix_dedup, toxicity, vector_dedup, vectors
+from . import (bpe, clusters, extract, mixing, ngram_join, packing, pii, secrets, suffix_dedup, toxicity, vector_codes,
+               vector_dedup, vectors)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +154,89 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+MIXING_SQL = r"""
+WITH words AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS h FROM documents
+), sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM words GROUP BY source),
+weighed AS (
+  SELECT source, n, 3 * n AS most, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM sources
+), levels AS (
+  SELECT *, CAST((SELECT sum(n) FROM sources) - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW o AS (ORDER BY most / w, source)
+), level AS (SELECT level FROM levels WHERE level * w <= most ORDER BY most / w, source LIMIT 1),
+targets AS (SELECT source, n, least(CAST(most AS DOUBLE), (SELECT level FROM level) * w) AS target FROM weighed),
+wanted AS (
+  SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS times,
+    greatest(target - CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END * n, 0) AS rest FROM targets
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM words
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target, CAST(size * (times
+  + CASE WHEN before + size <= rest OR (before <= rest AND 2 * (rest - before) >= size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM placed JOIN wanted ON placed.source IS NOT DISTINCT FROM wanted.source
+"""
+
+
+@query("op11_source_mixing", MIXING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def _lloyd_sql(books: str, rounds: int, entries: int) -> str:
+    """Rounds over `cells` (r, p, x) from the codebook `books` (p, e, c): a{i} is the assignment by b{i}."""
+    out = [f"b0 AS MATERIALIZED ({books})"]
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, p, min(CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT) * {entries} + e) AS m
+  FROM cells JOIN b{i} USING (p) GROUP BY r, p)""")
+        if i < rounds:
+            out.append(f"""b{i + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(any_value(n.c), any_value(b{i}.c)) AS c FROM b{i} LEFT JOIN (
+    SELECT p, e, list(c ORDER BY j) AS c FROM (
+      SELECT p, m % {entries} AS e, j, floor(sum(x[j]) / count(*)) AS c
+      FROM a{i} JOIN cells USING (r, p) CROSS JOIN (SELECT unnest(range(1, 65)) AS j) WHERE j <= len(x) GROUP BY ALL)
+    GROUP BY p, e) n USING (p, e) GROUP BY p, e)""")
+    return ",\n".join(out)
+
+
+CODES_SQL = f"""
+WITH valid AS MATERIALIZED (
+  SELECT vec_id, label, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), cells AS MATERIALIZED (
+  SELECT r, p, list_slice(v, p * len(v) // 4 + 1, (p + 1) * len(v) // 4) AS x FROM valid CROSS JOIN (SELECT unnest(range(4)) AS p)
+), {_lloyd_sql("SELECT p, r - 1 AS e, x AS c FROM cells WHERE r <= 256", 4, 256)},
+coded AS (
+  SELECT vec_id, label, string_agg(lower(right('0' || hex(m % 256), 2)), '' ORDER BY p) AS code, CAST(sum(m // 256) AS BIGINT) AS error
+  FROM a4 JOIN valid USING (r) GROUP BY r, vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string([CAST(x AS BIGINT) FOR x IN c], ','), ',' ORDER BY p, e)) FROM b4) AS codebooks_sha256
+FROM coded
+"""
+
+
+@query("op12_vector_codes", CODES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+CLUSTERS_SQL = f"""
+WITH cells AS MATERIALIZED (
+  SELECT vec_id, 0 AS p, [floor(256 * x::DOUBLE) FOR x IN embedding] AS x,
+    row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) AS r FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), {_lloyd_sql("SELECT p, r - 1 AS e, x AS c FROM cells WHERE r <= 40", 5, 40)}
+SELECT vec_id, CAST(m % 40 AS INTEGER) AS cluster, m // 40 AS distance, CAST(sum(m // 40) OVER (PARTITION BY m % 40) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m // 40) OVER () AS BIGINT) AS inertia, sha256(array_to_string([CAST(x AS BIGINT) FOR x IN c], ',')) AS centroid_sha256
+FROM a5 JOIN cells USING (r) JOIN b5 ON b5.e = m % 40
+"""
+
+
+@query("op13_centroid_clusters", CLUSTERS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.digests(table(spark, sf_dir, "embeddings"))
