@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import time
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -15,8 +16,8 @@ from pyspark.sql import types as T
 
 from . import common, pretokens
 
-#: Distinct pieces whose ids a task remembers, and the longest of them in bytes; the rest are merged anew.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
+#: Bytes of the pieces and ids that a worker remembers, and the longest such piece in bytes; the rest are merged anew.
+CACHE_BYTES, CACHE_CHARS = 32 << 20, 48
 
 
 @lru_cache(2)
@@ -127,18 +128,31 @@ class Merger:
 
 class PieceCache:
     """Ids of pieces. Pieces are found by a hash of their bytes and then compared with the bytes kept, so equal hashes
-    of different pieces do no harm; a piece gets a row number, and the ids and bytes of all rows lie in two arrays."""
+    of different pieces do no harm; a piece gets a row number, and the ids and bytes of all rows lie in two arrays.
 
-    def __init__(self, ids_of: Callable[[list[str]], list[list[int]]], most: int = CACHE_PIECES):
+    Hashes lie in rising order beside their rows. What it holds is counted in bytes; it starts anew beyond `most`.
+    """
+
+    def __init__(self, ids_of: Callable[[list[str]], list[list[int]]], most: int = CACHE_BYTES):
         self.ids_of, self.most = ids_of, most
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[int, int] = {}
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.n = 0
         self.ids, self.raw = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.uint8)
         self.id_at, self.raw_at = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def held(self) -> int:
+        return int(self.raw_at[self.n] + 4 * self.id_at[self.n]) + 28 * self.n
+
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows of the hashes, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.rows[at], -1).astype(np.int64)
+
     def _add(self, pieces: list[str]) -> int:
         """Rows for these pieces; the number of the first."""
         found, raw = self.ids_of(pieces), [p.encode("utf-8") for p in pieces]
@@ -153,20 +167,20 @@ class PieceCache:
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: Callable[[int], str]
                ) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces that lie at these bytes, one after the other, and how many each has."""
-        if self.n > self.most:
+        if self.held() > self.most or self.raw.nbytes + self.ids.nbytes > 4 * self.most:
             self.clear()
         size = ends - starts
         hashes, first, which = np.unique(common.run_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        rows = list(map(self.rows.get, keys))
-        if None in rows:
-            open_ = [i for i, r in enumerate(rows) if r is None]
-            at = self._add([piece(int(first[i])) for i in open_])
-            for k, i in enumerate(open_):
-                rows[i] = at + k
-                if size[first[i]] <= CACHE_CHARS:  # longer ones are not kept for later calls
-                    self.rows[keys[i]] = at + k
-        rows = np.array(rows, np.int64)[which]
+        rows = self._known(hashes)
+        new, short = rows < 0, size[first] <= CACHE_CHARS
+        keep, once = np.flatnonzero(new & short), np.flatnonzero(new & ~short)
+        rows[keep] = self._add([piece(int(i)) for i in first[keep]]) + np.arange(len(keep))
+        at = np.searchsorted(self.keys, hashes[keep])
+        self.keys, self.rows = np.insert(self.keys, at, hashes[keep]), np.insert(self.rows, at, rows[keep])
+        stay = self.n
+        # longer pieces, and those whose hash another one has, are given up again at the end
+        rows[once] = self._add([piece(int(i)) for i in first[once]]) + np.arange(len(once))
+        rows = rows[which]
         odd = self.raw_at[rows + 1] - self.raw_at[rows] != size
         same = np.where(odd, 0, size)
         ends_ = np.cumsum(same)
@@ -181,6 +195,7 @@ class PieceCache:
         start, count = self.id_at[rows], self.id_at[rows + 1] - self.id_at[rows]
         total = np.cumsum(count)
         at = np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + count, count)
+        self.n = stay
         return self.ids[at], count
 
 
@@ -195,7 +210,7 @@ def _appended(array: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
 @lru_cache(1)
 def rank_cache(path: str) -> PieceCache:
     """The cache of a Python worker, kept from task to task."""
-    return PieceCache(Merger(ranks(path)))
+    return common.remembered(PieceCache(Merger(ranks(path))))
 
 
 def encoded(batches: Iterator[pa.RecordBatch], text: str, cache: PieceCache, text_bytes: int = common.SLICE_BYTES
@@ -209,6 +224,7 @@ def encoded(batches: Iterator[pa.RecordBatch], text: str, cache: PieceCache, tex
         firsts = np.searchsorted(heads, offs)
         cut = pretokens.boundaries(joined, firsts[:-1])
         stops = np.append(cut[1:], len(joined))
+        cache.used = time.monotonic()
         ids, count = cache.encode(data, heads[cut], heads[stops], lambda i: joined[cut[i]:stops[i]])
         before = np.concatenate([[0], np.cumsum(count)])
         of_text = before[np.searchsorted(cut, firsts)]

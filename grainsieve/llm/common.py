@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of the vectorised scans takes at a time; bounds the memory of a task.
@@ -29,6 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_open: list[list[Scratch]] = []
+
+
 class Scratch:
     """Tables written once to the shared folder: they cut lineage and outlive lost executors."""
 
@@ -36,6 +42,8 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        if _open:
+            _open[-1].append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/t{self.n}"
@@ -47,10 +55,40 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Remove a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete(df._scratch_path)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def released():
+    """Removes, at the end, all scratch tables that operators wrote meanwhile: for a caller that has written their result."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for scratch in _open.pop():
+            scratch._delete(scratch.base)
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The table's columns, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of the table is called so, in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def folded(partial: DataFrame, fold: Callable[[bytes, bytes], bytes]) -> list:
     """Rows (chunk, counts) of a table of fixed size, cut into chunks: each task's part folded by chunk on the executors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +119,32 @@ def attached(rows: DataFrame, table: DataFrame, on: list[str], spread: str, row_
     return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"]).drop("__salt")
 
 
+# ---- memory of Python workers -----------------------------------------------------------------------------------
+
+#: Seconds after which a cache that no task has used is given up by the next task of its worker.
+IDLE_SECONDS = 10.0
+_caches: list = []
+
+
+def remembered(cache):
+    """A cache that a worker keeps from task to task, with `clear()` and the time of its last `used`."""
+    cache.used = time.monotonic()
+    _caches.append(cache)
+    return cache
+
+
+def trim() -> None:
+    """Give up idle caches, and return freed memory to the system: workers outlive their tasks."""
+    for cache in _caches:
+        if time.monotonic() - cache.used > IDLE_SECONDS:
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 # ---- text buffers -----------------------------------------------------------------------------------------------
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,47 +163,33 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in runs of about `most` bytes of the column, one row at least."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = buffers(batch.column(batch.schema.get_field_index(column)))[1][1:]
-        at = 0
-        while at < batch.num_rows:
-            base = ends[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
-            yield batch.slice(at, upto - at)
-            at = upto
+    """The rows of the batches in runs of about `most` bytes of the column, one row at least; frees memory at the end."""
+    trim()
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = buffers(batch.column(batch.schema.get_field_index(column)))[1][1:]
+            at = 0
+            while at < batch.num_rows:
+                base = ends[at - 1] if at else 0
+                upto = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+                yield batch.slice(at, upto - at)
+                at = upto
+    finally:
+        trim()
 
 
 # ---- words ------------------------------------------------------------------------------------------------------
 
-_R = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i modulo 2**64 for i < n."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        both = []
-        for r in (_R, pow(_R, -1, 1 << 64)):
-            step = np.full(size, r, np.uint64)
-            step[0] = 1
-            both.append(np.multiply.accumulate(step))
-        _powers[:] = both
-    return _powers[0][:n], _powers[1][:n]
-
-
 @lru_cache(1)
 def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Random value of each byte with A-Z taken as a-z; which bytes part words (space and 09-0D)."""
-    values = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    values[65:91] = values[97:123]
+    """Each byte with A-Z taken as a-z; which bytes part words (space and 09-0D)."""
+    low = np.arange(256, dtype=np.uint8)
+    low[65:91] = low[97:123]
     part = np.zeros(256, bool)
     part[[9, 10, 11, 12, 13, 32]] = True
-    return values, part
+    return low, part
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -157,7 +207,7 @@ class Words:
     __slots__ = ("hashes", "starts", "ends", "first")
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
-        values, part = _byte_tables()
+        small, part = _byte_tables()
         found = []
         lo, n = 0, len(data)
         while lo < n:
@@ -174,14 +224,14 @@ class Words:
                         more += 1
                     cut = more
                 hi = cut
-            found.append(self._scan(data[lo:hi], offs, lo, values, part))
+            found.append(self._scan(data[lo:hi], offs, lo, small, part))
             lo = hi
         empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.hashes, self.starts, self.ends = (np.concatenate(x) for x in zip(*found)) if found else empty
         self.first = np.searchsorted(self.starts, offs)
 
     @staticmethod
-    def _scan(b: np.ndarray, offs: np.ndarray, lo: int, values: np.ndarray, part: np.ndarray):
+    def _scan(b: np.ndarray, offs: np.ndarray, lo: int, small: np.ndarray, part: np.ndarray):
         n = len(b)
         if not n:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -195,33 +245,42 @@ class Words:
         end = ~apart
         end[:-1] &= apart[1:] | edge[1:-1]
         s, e = np.flatnonzero(begin), np.flatnonzero(end)
-        up, down = _power_tables(n)
-        run = values[b] * up
-        total = np.cumsum(run)
-        h = (total[e] - total[s] + run[s]) * down[s]
-        return mix(h ^ (e - s + 1).astype(np.uint64)), s + lo, e + 1 + lo
+        return run_hashes(small[b], s, e + 1), s + lo, e + 1 + lo
 
 
-@lru_cache(1)
-def _plain_values() -> np.ndarray:
-    return np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each run; runs rise and don't overlap."""
+    """Hash of the bytes of each run; runs rise, don't overlap and are not empty.
+
+    Eight bytes at a time, each eight mixed with its place before they are summed: no polynomial, for which there are
+    regular texts that collide whatever its base.
+    """
     out = np.empty(len(starts), np.uint64)
-    values = _plain_values()
     i = 0
     while i < len(starts):
         # as many runs as fit one pass, one at least
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + PASS_BYTES, side="right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
-        up, down = _power_tables(hi - lo)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data[lo:hi]] * up)])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+        near = np.zeros(hi - lo + 8, np.uint8)
+        near[:hi - lo] = data[lo:hi]
+        eights = np.ndarray((hi - lo,), "<u8", near.data, strides=(1,))  # the eight bytes from each byte on
+        size = ends[i:j] - starts[i:j]
+        x = eights[starts[i:j] - lo] & _MASKS[np.minimum(size, 8)]
+        total = mix(x + _PLACE)
+        more = np.flatnonzero(size > 8)
+        if len(more):
+            count = (size[more] - 1) >> 3
+            first = np.cumsum(count) - count
+            place = np.arange(first[-1] + count[-1]) - np.repeat(first, count) + 1
+            x = eights[np.repeat(starts[i:j][more] - lo, count) + 8 * place] & _MASKS[
+                np.minimum(np.repeat(size[more], count) - 8 * place, 8)]
+            total[more] += np.add.reduceat(mix(x + mix((place + 1).astype(np.uint64) * _PLACE)), first)
+        out[i:j] = mix(total ^ (size.astype(np.uint64) * _PLACE))
         i = j
-    return mix(out)
+    return out
 
 
 def shingles(words: Words, i: int, size: int) -> np.ndarray:
@@ -233,11 +292,18 @@ def shingles(words: Words, i: int, size: int) -> np.ndarray:
 
 
 def rolled(w: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of `size` words."""
-    up, down = _power_tables(len(w) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[:len(w)])])
+    """Hash of each run of `size` words: runs of 1, 2, 4, .. words are mixed together two by two."""
     n = len(w) - size + 1
-    return mix((total[size:] - total[:n]) * down[:n] + np.uint64(size))
+    out, at, length, runs = None, 0, 1, w
+    while True:
+        if size & length:
+            own = runs[at:at + n]
+            out = mix(own) if out is None else mix(out * _PLACE + own)
+            at += length
+        length *= 2
+        if length > size:
+            return mix(out + np.uint64(size))
+        runs = mix(runs[:-length // 2] * _PLACE + runs[length // 2:])
 
 
 def signed(h: np.ndarray) -> np.ndarray:
@@ -251,16 +317,18 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", r
 
     Alternating large-star and small-star steps: each step is a grouped minimum and a join, so no node's neighbours
     are ever gathered; hubs are split by the join. Each round is written to the shared folder. Stops when the edges
-    no longer change, after about log(longest path) rounds.
+    no longer change, after about log(longest path) rounds; raises if they still change after `rounds`.
     """
     spark = scratch.spark
     now = scratch.save(edges.where(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    for done in range(rounds + 1):
         sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if not sums.n or before == (sums.n, sums.h):
             break
+        if done == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
         before = (sums.n, sums.h)
         both = now.union(now.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -235,19 +235,19 @@ def representatives(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id") -
         "group", "id", "version").agg(F.count("*").alias("rows"))
     named = scratch.save(named)
     first = named.groupBy("group").agg(F.min(F.struct("id", "version")).alias("first"))
+    id_, version = on = common.fresh(docs, "__id", "__version")
     judged = scratch.save(named.join(first, "group").select(
-        F.col("id").alias("__id"), F.col("version").alias("__version"), "rows",
+        F.col("id").alias(id_), F.col("version").alias(version), F.col("rows").alias("many"),
         (F.struct("id", "version") == F.col("first")).alias("stays")))
-    marked = docs.withColumns({"__id": F.col(key).cast("long"), "__version": F.xxhash64("text")})
-    on = ["__id", "__version"]
-    gone = scratch.save(judged.where("not stays or rows > 1"))
-    asked = maybe(sieve(gone, "__version", gone.count()), "__version")
+    marked = docs.withColumns({id_: F.col(key).cast("long"), version: F.xxhash64("text")})
+    gone = scratch.save(judged.where("not stays or many > 1"))
+    asked = maybe(sieve(gone, version, gone.count()), version)
     # most texts stay where they are; only those that may have to go are joined
     out = marked.where(~asked).unionByName(marked.where(asked).join(gone.select(on), on, "left_anti"))
     again = gone.where("stays").select(on)
     if again.head(1):
         out = out.unionByName(marked.where(asked).join(again, on, "left_semi").dropDuplicates(on))
-    return out.select(*docs.columns)
+    return out.select(*common.columns(docs))
 
 
 def _grouped(docs: DataFrame, rule: Rule, key: str) -> tuple[DataFrame, DataFrame]:

@@ -55,7 +55,7 @@ def _vocabulary(path: str) -> tuple[dict[bytes, int], tuple[str, ...]]:
 
 @lru_cache(1)
 def _cache(path: str) -> bpe.PieceCache:
-    return bpe.PieceCache(bpe.Merger(_vocabulary(path)[0]))
+    return common.remembered(bpe.PieceCache(bpe.Merger(_vocabulary(path)[0])))
 
 
 @lru_cache(1)

@@ -47,11 +47,10 @@ def kept_suffixes(w: np.ndarray, rule: Passage) -> tuple[np.ndarray, ...]:
         at[i:i + len(part)] = part.argmin(1) + np.arange(i, i + len(part))
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     count = np.diff(np.append(first, n))
-    up, down = common._power_tables(len(w) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[:len(w)])])
-    words = (total[first + count + rule.least - 1] - total[first]) * down[first]
+    # all windows of a suffix, each mixed with its place among them
+    each = common.mix(common.rolled(w, rule.least) + common.mix((np.arange(n) - np.repeat(first, count)).astype(np.uint64)))
     off = at[first] - first
-    around = common.mix(words + common.mix((off * 4096 + count).astype(np.uint64)))
+    around = common.mix(np.add.reduceat(each, first) + common.mix((off * 4096 + count).astype(np.uint64)))
     return common.signed(heads[at[first]]), first, off, count, common.signed(around)
 
 
@@ -144,35 +143,31 @@ def repeats(docs: DataFrame, rule: Passage = Passage(), key: str = "doc_id", tex
 def without_repeats(docs: DataFrame, rule: Passage = Passage(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The same rows and columns, with the words of every repeated span, and the white space after them, cut from the text.
 
-    Rows without repeats stay as they are, null texts too.
+    Rows without repeats stay as they are, null texts and keys too; rows of equal key and text are cut alike; an empty table
+    stays empty; columns may have any names. Only texts with repeats go through Python.
     """
     scratch = common.Scratch(docs.sparkSession, "suffixdedup")
     found = _spans(_windows(scratch, _prepared(docs, key, text), rule), rule)
     cuts = scratch.save(found.groupBy("doc", "version").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts")))
-    names = docs.columns
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column = names.index(text)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                out = batch.column(column).to_pylist()
-                for i, spans in enumerate(batch.column(len(names)).to_pylist()):
-                    if spans:
-                        raw = out[i].encode("utf-8")
-                        words = common.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                        starts = np.append(words.starts, len(raw))
-                        parts, done = [], 0
-                        for s in spans:
-                            parts.append(raw[done:starts[s["start"]]])
-                            done = int(starts[s["stop"]])
-                        out[i] = b"".join([*parts, raw[done:]]).decode("utf-8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out, pa.string()) if c == text else batch.column(i) for i, c in enumerate(names)], names=names)
-
-    marked = docs.withColumns({"__doc": F.col(key).cast("long"), "__version": F.xxhash64(text)})
-    asked = maybe(sieve(cuts, "version", cuts.count()), "__version")
-    cuts = cuts.withColumnsRenamed({"doc": "__doc", "version": "__version", "cuts": "__cuts"})
-    some = marked.where(asked).join(cuts, ["__doc", "__version"], "left").select(*names, "__cuts")
+
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = texts.to_pylist()
+        for i, own in enumerate(spans.to_pylist()):
+            if own:
+                raw = out[i].encode("utf-8")
+                words = common.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                starts = np.append(words.starts, len(raw))
+                parts, done = [], 0
+                for s in own:
+                    parts.append(raw[done:starts[s["start"]]])
+                    done = int(starts[s["stop"]])
+                out[i] = b"".join([*parts, raw[done:]]).decode("utf-8")
+        return pa.array(out, pa.string())
+
+    *on, cuts_ = common.fresh(docs, "__doc", "__version", "__cuts")
+    marked = docs.withColumns({on[0]: F.col(key).cast("long"), on[1]: F.xxhash64(text)})
+    asked = maybe(sieve(cuts, "version", cuts.count()), on[1])
+    cuts = cuts.withColumnsRenamed({"doc": on[0], "version": on[1], "cuts": cuts_})
+    some = marked.where(asked).join(cuts, on, "left").withColumn(text, F.arrow_udf(cut, "string")(F.col(text), F.col(cuts_)))
     # texts that surely have no repeats stay where they are
-    return marked.where(~asked).select(*names).unionByName(some.mapInArrow(cut, docs.schema))
+    return marked.where(~asked).select(*common.columns(docs)).unionByName(some.select(*common.columns(docs)))

@@ -437,13 +437,30 @@ def restore_texts(docs: DataFrame, model: Model, text: str = "text", into: str =
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every text, by way of fit and score."""
+    """doc_id, held_out, score and predicted of every text, by way of fit and score.
+
+    Every row stands for itself, equal ones too; null ids are held out of nothing and learnt from nowhere; an empty table
+    gives no rows; other columns, whatever their names, stay behind.
+    """
     return score(docs, fit(docs, labels)).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that are not predicted toxic, with their columns."""
-    names = docs.columns
-    scored = score(docs, fit(docs, labels), keep=tuple(names))
-    return scored.where("score < 0.5").select(*names)
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of documents that are not predicted toxic, with their columns, whatever their names.
+
+    Only the texts go through Python, once; all other columns stay where they are. Without labels of both kinds all
+    rows get one score, the share of the label; null and empty texts get that of a text without features; an empty table
+    stays empty.
+    """
+    model = fit(docs, labels, key, text)
+
+    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        restore = Restorer(model.cost)
+        for part in parts:
+            whole = pa.RecordBatch.from_arrays([part], names=["text"])
+            scores = [model.scores(b.column(0).to_pylist(), restore) for b in common.slices(iter([whole]), "text")]
+            yield pa.array(np.concatenate([np.zeros(0), *scores]) < 0.5)
+        common.trim()
+
+    return docs.where(F.arrow_udf(clean, "boolean")(F.col(text)))

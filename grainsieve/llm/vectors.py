@@ -20,6 +20,8 @@ SAMPLE = 4096
 BLOCK_ROWS, BLOCKS = 8192, 16384
 #: Queries that meet a block in one task; more of them are dealt over copies of the block.
 QUERIES_A_TASK = 4096
+#: Queries whose distances to all block bounds are held at once.
+ROUTED = 256
 #: Rows of an annulus that are compared in one step of the expansion.
 STEP = 512
 
@@ -76,14 +78,15 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def quantised(df: DataFrame, key: str, vector: str, dims: int, scale: int) -> DataFrame:
-    """key and vec (bytes of floor(scale * x) as float64), norm2; rows without a usable vector are left out, as are
-    those whose square norm is over 2**62, whose scores no long could hold."""
+    """key and vec (bytes of floor(scale * x) as float64), norm2; rows without a usable vector are left out. A square norm
+    over 2**62 fails the task, as no long could hold the scores."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, good = matrix(batch.column(1), dims)
             rows = np.floor(scale * np.where(good[:, None], rows, 0))
             norm = (rows * rows).sum(1)
-            good &= norm <= 2.0 ** 62
+            if norm[good].max(initial=0) > 2.0 ** 62:
+                raise ValueError(f"a vector times {scale} has a square norm over 2**62: its scores would not fit a long")
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), packed(rows[good]), pa.array(norm[good])],
                                              names=["vec_id", "vec", "norm2"])
 
@@ -171,9 +174,8 @@ def top_k(df: DataFrame, queries, k: int = 5, key: str = "vec_id", vector: str =
     def route(first: bool):
         """Queries and the blocks they must meet: the nearest of their own pivot, or all the others within the bound."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            # a few queries at once, so that their distances to all block bounds stay small
+            for batch in (b.slice(i, ROUTED) for b in batches for i in range(0, b.num_rows, ROUTED)):
                 q = unpacked(batch.column(2).to_pylist(), dims)
                 d = distances(np.hstack([q, np.zeros((len(q), 1))]), pivots)
                 far = np.maximum(np.maximum(b_lo - d[:, b_pivot], d[:, b_pivot] - b_hi), 0)

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,32 @@ def test_nested_sets_are_linked(spark, size, percent, nested):
     assert sum(r[2] for r in want) == 12 * len(nested) and got == want
 
 
+def thue_morse(n, letters):
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_regular_words_are_told_apart(spark):
+    one, other = thue_morse(1024, "ab"), thue_morse(1024, "ba")
+    rows = [(1, f"x {one} y"), (2, f"x {other} y"), (3, " ".join(one)), (4, " ".join(other)), (5, f"X {one} y")]
+    assert [tuple(r) for r in ngram_join.join(frame(spark, rows), ngram_join.Rule(3, 100)).orderBy("doc_id").collect()] == [
+        tuple(r) for r in spark.createDataFrame(
+            [(k, n, links, c) for k, n, links, c in joined(rows, 3, 100)], "doc_id long, a long, b long, c long").orderBy("doc_id").collect()]
+    assert len({h for t in (one, other, one[:9], one[:8]) for h in common.Words(*common.buffers(pa.array([t]))).hashes}) == 4
+
+
+def test_rolled_hashes_depend_on_every_word_and_its_place():
+    w = common.mix(np.arange(1, 200, dtype=np.uint64))
+    for size in (1, 2, 3, 7, 25, 50, 199):
+        whole = common.rolled(w, size)
+        assert len(whole) == 200 - size and all(whole[i] == common.rolled(w[i:i + size], size)[0] for i in range(0, len(whole), 7))
+        for at in range(0, size, 5):
+            changed = w[:size].copy()
+            changed[at] += np.uint64(1)
+            assert common.rolled(changed, size)[0] != whole[0]
+        if size > 1:
+            assert common.rolled(w[:size][::-1], size)[0] != whole[0]
+
+
 def test_t_occurrence_equals_counting():
     rng = np.random.default_rng(1)
     rule = ngram_join.Rule(4, 70)
@@ -298,6 +325,28 @@ def test_toxicity_of_odd_rows(spark, insults, model):
     assert texts[2] == "clean" and texts[1] == ""
 
 
+NAMES = ("score", "__version", "__id", "__doc", "__cuts", "__text", "text_", "id", "version", "rows", "member", "group", "stays",
+         "doc", "start", "cuts", "n", "a.b")
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300")
+    wide = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in NAMES])
+    rows = stage(spark, wide, SF)
+    assert rows.columns == wide.columns
+    rows = rows.collect()
+    assert len(rows) > 100 and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in NAMES)
+    plain = {r.doc_id: tuple(r) for r in stage(spark, docs, SF).collect()}
+    assert {r.doc_id: tuple(r)[:len(docs.columns)] for r in rows} == plain
+
+
+def test_unfinished_components_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError, match="still change"):
+        common.components(common.Scratch(spark, "test"), chain, rounds=2)
+
+
 # ---- the pipeline -----------------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark):

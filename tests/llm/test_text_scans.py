@@ -90,6 +90,31 @@ def test_secret_query_on_a_table(spark):
         assert set(filter(None, joined(want).split(","))) <= set(r.spans.split(","))
 
 
+def test_planted_keys_without_cue_are_found_on_a_table(spark):
+    rng = random.Random(6)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    # what no pattern takes: capital hexadecimal digits, short runs of small ones, dotted ones; and what is no key
+    keys = ["".join(rng.choices(signs, k=n)) for signs, n in [("0123456789ABCDEF", 40), ("0123456789ABCDEF", 20), ("0123456789abcdef", 15)] * 20]
+    keys += [f"{a[:7]}.{a[7:14]}" for a in keys[:20]]
+    # numbers with dashes are left out: the labels hold bare runs of digits, so the network may take either view of them
+    plain = ["responsibilities", "mail7.example.com", "EXTRAORDINARY", "well-established", "www.example.org/about"]
+    extra = [(10 ** 9 + i, f"wir sahen {w} gestern im Haus") for i, w in enumerate(keys + plain)]
+    every = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    found = {r.doc_id: r.spans for r in secrets.scan(every, secrets.fit(docs.repartition(8, "doc_id"))).where(
+        "exists(spans, s -> s.kind = 'key')").collect()}
+    hit = [any(s.kind == "key" and (s.start, s.end) == (10, 10 + len(w)) for s in found.get(k, ())) for (k, _), w in zip(extra, keys)]
+    assert np.mean(hit) >= 0.6
+    assert not any(k >= 10 ** 9 + len(keys) for k in found)
+    assert sum(k < 10 ** 9 for k in found) <= 0.002 * docs.count()
+
+
+def test_candidates_are_no_narrower_than_the_patterns():
+    for text in ("key Zx9Qw7Lm2Pq8Rt", "a.b1.c2.d3.e4f5", "x=y/z+w-v_u.t9"):
+        own = text.split()[-1]
+        assert secrets.candidates(text, []) == [(len(text) - len(own), len(text), False, False)]
+    assert secrets.candidates("shortenough abcdefghijk.", []) == []
+
+
 def test_failed_secret_matches_are_not_retried():
     assert [s for s in secrets.base_spans("token: password: aaaaaaaaaaaaaaaz") if s[0] == "assign"] == []
     assert secrets.base_spans("API_KEY = 'abcd efghxxxxxxxx'") == []  # the value ends at the space

@@ -110,3 +110,9 @@ def test_near_duplicates_of_odd_rows(odd, chunk, monkeypatch):
     monkeypatch.setattr(blocks.meet, "__defaults__", (chunk, 16))
     assert sorted(map(tuple, vector_dedup.near_duplicates(df).collect())) == linked(rows)
     assert vector_dedup.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_scores_beyond_a_long_are_refused(spark):
+    df = spark.createDataFrame([(0, [1e18, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="would not fit a long"):
+        vectors.top_k(df, "vec_id % 50 = 0", 5).collect()
