@@ -101,7 +101,8 @@ def _windows(scratch: common.Scratch, docs: DataFrame, rule: Passage) -> DataFra
                  pa.array(np.concatenate(starts), pa.int32())], names=["doc", "version", "words", "start"])
 
     some = docs.where(maybe(spared, "version"))
-    each = scratch.save(some.join(parting, ["doc", "version"]).select("doc", "version", "text", "runs").mapInArrow(
+    # merged, so that a shuffle parts the two steps in Python: a task then has one worker
+    each = scratch.save(some.join(parting.hint("merge"), ["doc", "version"]).select("doc", "version", "text", "runs").mapInArrow(
         compare, "doc long, version long, words long, start int"))
     again = each.groupBy("words").agg(F.min(place).alias("origin"), F.max(place).alias("other")).where(
         "origin != other").select("words", "origin")
@@ -168,6 +169,6 @@ def without_repeats(docs: DataFrame, rule: Passage = Passage(), key: str = "doc_
     marked = docs.withColumns({on[0]: F.col(key).cast("long"), on[1]: F.xxhash64(text)})
     asked = maybe(sieve(cuts, "version", cuts.count()), on[1])
     cuts = cuts.withColumnsRenamed({"doc": on[0], "version": on[1], "cuts": cuts_})
-    some = marked.where(asked).join(cuts, on, "left").withColumn(text, F.arrow_udf(cut, "string")(F.col(text), F.col(cuts_)))
+    some = marked.where(asked).join(cuts.hint("merge"), on, "left").withColumn(text, F.arrow_udf(cut, "string")(F.col(text), F.col(cuts_)))
     # texts that surely have no repeats stay where they are
     return marked.where(~asked).select(*common.columns(docs)).unionByName(some.select(*common.columns(docs)))
