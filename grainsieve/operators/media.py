@@ -10,11 +10,11 @@ import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as ty
+from pyspark.sql import functions as F, types as ty
 
 from ..registry import ML8, Verdict, rule
 from ..schema import strings
-from .scores import cosine
+from .duplicates import near_duplicates  # noqa: F401
 
 IMG = "QUALITY_BAD_IMG_"
 
@@ -127,45 +127,7 @@ def audio_length(f, cfg):
                    applies=f.field("audio").isNotNull(), measure=seconds)
 
 
-# --- near duplicates -----------------------------------------------------------------------
-
-BANDS, WIDTH, RADIUS = 4, 16, 2
-
-
-def _flips() -> list[int]:
-    """Every 16-bit mask of at most two set bits."""
-    one = [1 << i for i in range(WIDTH)]
-    return [0, *one, *[a | b for i, a in enumerate(one) for b in one[i + 1:]]]
-
-
-def near_duplicates(df: DataFrame, key: str, code: str, vec: str, distance: int = 10,
-                    likeness: float = 0.97) -> DataFrame:
-    """Records with a partner whose 64-bit hash differs in at most ten bits and whose vector is
-    nearly parallel; gives the key and the lowest key of the record's identical copies.
-
-    Identical records are folded first, so a crowd of copies is one row.  Of two hashes at most
-    ten bits apart one of the four 16-bit bands differs in at most two bits: one side is looked
-    up under all such neighbours, and no pair is missed.
-    """
-    if distance >= BANDS * (RADIUS + 1):
-        raise ValueError(f"distance must stay below {BANDS * (RADIUS + 1)}")
-    once = df.groupBy(code, vec).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(
-        b.alias("band"), F.call_function("shiftright", F.col(code), b * WIDTH).bitwiseAND(F.lit(0xFFFF)).alias("bits")))
-    # codes alone are looked up; the vectors follow for the few pairs whose codes are close
-    keyed = once.select("rep", code, F.inline(bands))
-    probes = keyed.withColumn("flip", F.explode(F.array(*[F.lit(m) for m in _flips()]))).select(
-        F.col("rep").alias("a"), F.col(code).alias("code_a"), "band", F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"))
-    close = probes.join(keyed, ["band", "bits"]).where(
-        (F.col("a") < F.col("rep")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col(code))) <= distance)
-    ).select("a", "rep").distinct()
-    left, right = once.select(F.col("rep").alias("a"), F.col(vec).alias("vec_a")), once.select("rep", F.col(vec).alias("vec_b"))
-    near = close.join(left, "a").join(right, "rep").where(cosine(F.col("vec_a"), F.col("vec_b")) >= likeness)
-    paired = near.select(F.explode(F.array("a", "rep")).alias("rep"))
-    crowd = once.where("copies > 1").select("rep").union(paired).distinct()
-    hit = once.join(crowd, "rep").select(code, vec, "rep")
-    return df.join(hit, [code, vec]).select(key, "rep")
-
+# --- differences of texts -------------------------------------------------------------------
 
 @F.pandas_udf(ty.StructType([ty.StructField(n, ty.StringType()) for n in ("unique_a", "unique_b", "common")]))
 def text_difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:

@@ -48,7 +48,7 @@ def cosine(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, t: s + t)
 
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))  # null for a vector of zeros
 
 
 def answer_relevancy(pairs: DataFrame, key: str, question: str, generated: str, noncommittal: Column,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainsieve.functions import fixed as X
-from grainsieve.operators import media, scores as R, security
+from grainsieve.operators import duplicates, media, scores as R, security
 from grainsieve.plans.evaluate import Check, verdicts_of
 from grainsieve.registry import RULES
 
@@ -332,6 +332,48 @@ def near_duplicates_wide(spark, sf):
     return media.near_duplicates(e, "vec_id", "code", "embedding", distance=11, likeness=0.3).select("vec_id")
 
 
+def _wide_codes(spark, sf):
+    return table(spark, sf, "embeddings").withColumn("e", F.col("embedding").cast("array<double>")).selectExpr(
+        "vec_id", "embedding", "label", f"{_code('e', 0, 16)} AS code")
+
+
+PARTNERS_SQL = f"""
+WITH e AS (SELECT vec_id, label, embedding, CAST(embedding AS DOUBLE[]) AS v, {_code('CAST(embedding AS DOUBLE[])', 1, 16)} AS code FROM embeddings),
+once AS (SELECT code, v, min(vec_id) AS rep, count(*) AS copies FROM e GROUP BY code, v),
+found AS (SELECT a.rep, min(b.rep) AS partner, count(*) AS partners FROM once a JOIN once b ON a.rep <> b.rep
+  AND bit_count(xor(a.code, b.code)) <= 8 AND list_cosine_similarity(a.v, b.v) >= 0.3 GROUP BY a.rep),
+told AS (SELECT vec_id, label, copies, partner, coalesce(partners, 0) AS partners, once.rep
+  FROM e JOIN once USING (code, v) LEFT JOIN found ON found.rep = once.rep)
+"""
+
+
+@query("image_partners", PARTNERS_SQL + "SELECT vec_id, copies, partner, partners, rep FROM told")
+def image_partners(spark, sf):
+    return duplicates.partners(_wide_codes(spark, sf), "vec_id", "code", "embedding", 8, 0.3)
+
+
+@query("image_duplicate_ratio", PARTNERS_SQL + """
+SELECT label, count(*) AS images, count(*) FILTER (copies > 1 OR partners > 0) AS duplicates,
+  count(*) FILTER (copies > 1 OR partners > 0) / count(*) AS duplicate_ratio FROM told GROUP BY label""")
+def image_duplicate_ratio(spark, sf):
+    e = _wide_codes(spark, sf)
+    found = duplicates.partners(e, "vec_id", "code", "embedding", 8, 0.3)
+    return duplicates.duplicate_ratio(found.join(e.select("vec_id", "label"), "vec_id"), "label")
+
+
+@query("rule_image_repeat", PARTNERS_SQL + """
+SELECT vec_id, copies > 1 OR partners > 0 AS bad, CAST(copies - 1 + partners AS DOUBLE) AS score,
+  CASE WHEN copies > 1 OR partners > 0 THEN 'QUALITY_BAD_IMG_SIMILARITY.RuleImageRepeat' ELSE 'QUALITY_GOOD' END AS label,
+  CASE WHEN copies > 1 AND partners > 0 THEN 'identical images: ' || (copies - 1) || '; similar images: ' || partners || ', first ' || partner
+    WHEN partners > 0 THEN 'similar images: ' || partners || ', first ' || partner
+    WHEN copies > 1 THEN 'identical images: ' || (copies - 1) END AS reason FROM told""")
+def rule_image_repeat(spark, sf):
+    found = duplicates.partners(_wide_codes(spark, sf), "vec_id", "code", "embedding", 8, 0.3)
+    check = Check.of({c: c for c in ("copies", "partner", "partners")}, ["RuleImageRepeat"])
+    return verdicts_of(found, check, ["vec_id"]).select(
+        "vec_id", F.col("status").alias("bad"), F.col("measure").alias("score"), "label", F.when(F.col("status"), F.col("reason")[0]).alias("reason"))
+
+
 @query("text_difference")
 def text_difference(spark, sf):
     c = table(spark, sf, "conversations")

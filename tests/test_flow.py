@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainsieve import Check, JobSpec, Retention, catalog, evaluate, group, label_ratios, run_job, totals
-from grainsieve.operators import media, scores as R
+from grainsieve.operators import duplicates, media, scores as R
 from grainsieve.sources import dialogs, readers, writers
 from grainsieve.streaming import running
 
@@ -114,6 +114,75 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r.id for r in media.near_duplicates(df, "id", "code", "vec").collect()} == want and len(want) == 23
 
 
+def test_masks_leave_out_every_set_of_differing_bits():
+    rng = np.random.default_rng(1)
+    for distance, n in ((0, 10), (3, 500), (10, 500), (10, 10 ** 6), (11, 2000), (20, 1000)):
+        masks = duplicates.masks_for(distance, n)
+        assert len(masks) <= duplicates.MASKS and len(set(masks)) == len(masks)
+        for _ in range(100):
+            differ = sum(1 << int(i) for i in rng.choice(64, distance, replace=False))
+            assert any(not m & differ for m in masks)
+    with pytest.raises(ValueError):
+        duplicates.masks_for(64, 1000)
+
+
+def test_close_codes_are_all_found_and_candidates_stay_in_step(spark):
+    rng = np.random.default_rng(2)
+    codes = [int(x) for x in rng.integers(-2 ** 63, 2 ** 63, 150)]
+    codes += [c ^ sum(1 << int(i) for i in rng.choice(63, int(rng.integers(1, 13)), replace=False)) for c in codes]
+    df = spark.createDataFrame([(c,) for c in codes + codes[:5] + [None, None]], "code long")
+    for distance in (4, 10):
+        want = {(a, b) for a in codes for b in codes if a < b and ((a ^ b) & (2 ** 64 - 1)).bit_count() <= distance}
+        assert sorted(map(tuple, duplicates.close_codes(df, distance).collect())) == sorted(want)
+    assert duplicates.close_codes(df.limit(0), 10).collect() == []
+    counts = [duplicates.candidates(spark.createDataFrame([(int(x),) for x in rng.integers(-2 ** 63, 2 ** 63, n)], "code long"), 10).count()
+              for n in (500, 2000)]
+    assert counts[1] <= 5 * counts[0] < 500 * 500
+
+
+def test_partners_of_crowds_and_odd_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 8))
+    rows = [(i, int(i % 6), [float(x) for x in base[i % 6] + rng.normal(size=8) * 0.3]) for i in range(120)]  # few codes, many vectors
+    rows += [(200 + i, 3, [1.0] * 8) for i in range(20)] + [(300, None, [1.0] * 8), (301, None, [1.0] * 8), (302, 1, None), (303, 1, None),
+                                                          (304, 2, [0.0] * 8), (305, 2, [0.0] * 8), (306, 40, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "id long, code long, vec array<double>").selectExpr("*", "1 as rep", "2 as a", "3 as key", "4 as n")
+    groups = {}
+    for i, c, v in rows:
+        groups.setdefault((c, None if v is None else tuple(v)), []).append(i)
+    want = set()
+    for (c, v), own in groups.items():
+        near = [min(o) for (d, w), o in groups.items() if (c, v) != (d, w) and None not in (c, v, d, w) and (c ^ d).bit_count() <= 2
+                and any(v) and any(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.9]
+        want |= {(i, len(own), min(near, default=None), len(near), min(own)) for i in own}
+    for crowd, block in ((64, 512), (3, 7)):
+        monkeypatch.setattr(duplicates, "CROWD", crowd)
+        monkeypatch.setattr(duplicates, "BLOCK", block)
+        assert set(map(tuple, duplicates.partners(df, "id", "code", "vec", 2, 0.9).collect())) == want
+    ratio, = duplicates.duplicate_ratio(duplicates.partners(df, "id", "code", "vec", 2, 0.9)).collect()
+    assert ratio.images == len(rows) and ratio.duplicates == sum(w[1] > 1 or w[3] > 0 for w in want)
+
+
+def test_pixel_hashes_stand_small_changes(spark):
+    rng = np.random.default_rng(4)
+    small = rng.integers(0, 256, (8, 8))
+    image = np.repeat(np.kron(small, np.ones((20, 25)))[:, :, None], 3, 2).astype(np.uint8)
+    noisy = np.clip(image.astype(int) + rng.integers(-6, 7, image.shape), 0, 255).astype(np.uint8)
+    half = image[::2, ::2]
+    other = np.repeat(np.kron(rng.integers(0, 256, (8, 8)), np.ones((20, 25)))[:, :, None], 3, 2).astype(np.uint8)
+    alpha = np.dstack([image, np.full(image.shape[:2], 255, np.uint8)])
+    made = [image, noisy, half, other, alpha, image[:, :, :1]]
+    schema = "id long, image struct<height: int, width: int, nChannels: int, data: binary>"
+    rows = [(i, (x.shape[0], x.shape[1], x.shape[2], bytearray(x.tobytes()))) for i, x in enumerate(made)]
+    df = spark.createDataFrame(rows + [(6, None), (7, (0, 0, 3, bytearray()))], schema)
+    code = {r.id: r.code for r in df.select("id", duplicates.image_code("image").alias("code")).collect()}
+    far = lambda a, b: ((code[a] ^ code[b]) & (2 ** 64 - 1)).bit_count()
+    assert far(0, 1) <= 4 and far(0, 2) <= 10 and far(0, 3) > 10 and code[4] == code[0] and far(0, 5) == 0
+    assert code[6] is None and code[7] is None
+    same = df.where("id < 6").select("id", duplicates.image_code("image").alias("code"), F.array(F.lit(1.0)).alias("vec"))
+    assert {r.id for r in duplicates.near_duplicates(same, "id", "code", "vec").collect()} == {0, 1, 2, 4, 5}
+
+
 def png(path, width, height, value):
     raw = b"".join(b"\0" + bytes([value]) * 3 * width for _ in range(height))
 
