@@ -57,6 +57,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read by the next."""
     scratch = common.Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+        with common.released():  # what a stage wrote for itself
+            docs = scratch.save(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
