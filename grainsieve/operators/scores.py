@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed as X
@@ -147,32 +146,6 @@ def claim_types(claims: DataFrame) -> DataFrame:
         F.count_if(F.coalesce(F.col("verifiable"), F.lit(True))).alias("verifiable"))
 
 
-def distinct_claims(claims: DataFrame, key: str, order: str, claim: str) -> DataFrame:
-    """First of the claims of an article that say nearly the same.
-
-    Equal claims are folded by a grouped minimum first, so that what meets in one task are the
-    different sentences of one article, however often each was extracted.
-    """
-    low = F.lower(T.strip(T.as_text(F.col(claim))))
-    once = (claims.select(key, F.col(order).alias("pos"), F.col(claim).alias("claim"), low.alias("low"))
-            .where("low <> ''").groupBy(key, "low").agg(F.min_by(F.struct("pos", "claim"), "pos").alias("first"))
-            .select(key, "low", "first.pos", "first.claim"))
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        seen: list[str] = []
-        keep = []
-        for text in pdf["low"]:
-            near = any((text in s or s in text) and abs(len(text) - len(s)) < 0.2 * max(len(text), len(s)) for s in seen)
-            keep.append(not near)
-            if not near:
-                seen.append(text)
-        return pdf.loc[keep, [key, "pos", "claim"]]
-
-    kind = dict(claims.dtypes)
-    return once.groupBy(key).applyInPandas(pick, f"{key} {kind[key]}, pos {kind[order]}, claim string")
-
-
 def text_chunks(text: Column, size: int) -> Column:
     """array<struct<chunk_no, chunk, start_pos, end_pos>>: pieces of at most ``size`` characters, broken behind a
     sentence or paragraph if one ends in the last fifth. The end of a later last piece is counted on to its full size."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainsieve.functions import fixed as X
-from grainsieve.operators import duplicates, media, scores as R, security
+from grainsieve.operators import claims as claim_table, duplicates, media, scores as R, security
 from grainsieve.plans.evaluate import Check, verdicts_of
 from grainsieve.registry import RULES
 
@@ -134,10 +134,24 @@ def claim_types(spark, sf):
     return R.claim_types(table(spark, sf, "events").select(F.col("event_type").alias("claim_type"), (F.col("value") > 5).alias("verifiable")))
 
 
-@query("claim_distinct")
+@query("claim_distinct", r"""
+WITH RECURSIVE s AS (
+  SELECT doc_id, i - 1 AS pos, xs[i] AS claim FROM (SELECT doc_id, string_split_regex(text, '[.!?\n]+') AS xs FROM documents), unnest(range(1, len(xs) + 1)) AS t(i)),
+low AS (SELECT doc_id, pos, claim, lower(trim(claim, E' \t\n\r\f\v')) AS low FROM s),
+once AS (SELECT doc_id, low, min(pos) AS pos, arg_min(claim, pos) AS claim FROM low WHERE low <> '' GROUP BY doc_id, low),
+links AS (SELECT a.doc_id, a.pos AS lo, b.pos AS hi FROM once a JOIN once b ON a.doc_id = b.doc_id AND a.pos < b.pos
+  AND abs(length(a.low) - length(b.low)) < 0.2::DOUBLE * greatest(length(a.low), length(b.low)) AND (contains(a.low, b.low) OR contains(b.low, a.low))),
+nodes AS (SELECT doc_id, list(struct_pack(hi := hi, los := los) ORDER BY hi) AS xs FROM (SELECT doc_id, hi, list(lo) AS los FROM links GROUP BY ALL) GROUP BY doc_id),
+walk AS (
+  SELECT doc_id, 0 AS i, []::BIGINT[] AS gone FROM nodes
+  UNION ALL
+  SELECT w.doc_id, i + 1, CASE WHEN len(list_filter(xs[i + 1].los, lambda l: NOT list_contains(gone, l))) > 0 THEN list_append(gone, xs[i + 1].hi) ELSE gone END
+  FROM walk w JOIN nodes n ON n.doc_id = w.doc_id WHERE i < len(xs)),
+dropped AS (SELECT doc_id, unnest(gone) AS pos FROM (SELECT doc_id, arg_max(gone, i) AS gone FROM walk GROUP BY doc_id))
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, claim FROM once ANTI JOIN dropped USING (doc_id, pos)""")
 def claim_distinct(spark, sf):
     s = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("pos", "claim"))
-    return R.distinct_claims(s, "doc_id", "pos", "claim")
+    return claim_table.distinct_claims(s, "doc_id", "pos", "claim")
 
 
 @query("claim_text_chunks", r"""

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import struct
 import wave
 import zlib
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainsieve import Check, JobSpec, Retention, catalog, evaluate, group, label_ratios, run_job, totals
-from grainsieve.operators import duplicates, media, scores as R
+from grainsieve.operators import claims as C, duplicates, media, scores as R
 from grainsieve.sources import dialogs, readers, writers
 from grainsieve.streaming import running
 
@@ -92,7 +93,62 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_claims(spark):
     c = spark.createDataFrame([(1, 0, "Water boils."), (1, 1, "water boils"), (1, 2, ""), (1, 3, "The sea is deep"), (1, 4, "Water boils.")],
                               "a long, n int, claim string")
-    assert [r.claim for r in R.distinct_claims(c, "a", "n", "claim").orderBy("pos").collect()] == ["Water boils.", "The sea is deep"]
+    assert [r.claim for r in C.distinct_claims(c, "a", "n", "claim").orderBy("pos").collect()] == ["Water boils.", "The sea is deep"]
+
+
+def first_claims(rows):
+    """Claims kept when each article's are taken one by one."""
+    out, seen = [], {}
+    for article, pos, claim in sorted(rows, key=lambda r: (r[1], (r[2] or "").strip().lower())):
+        low, kept = (claim or "").strip().lower(), seen.setdefault(article, [])
+        if low and not any((low in s or s in low) and (low == s or abs(len(low) - len(s)) < 0.2 * max(len(low), len(s))) for s in kept):
+            kept.append(low)
+            out.append((article, pos, claim))
+    return sorted(out, key=repr)
+
+
+def test_claims_equal_taking_them_one_by_one(spark):
+    rng = random.Random(7)
+    rows = []
+    for article in [1, 2, 3, None]:
+        texts = []
+        for pos in range(150):
+            base = rng.choice(texts) if texts and rng.random() < 0.7 else "".join(rng.choices("ab cé中", k=rng.randint(0, 90)))
+            cut = rng.randint(0, max(1, len(base) // 6))
+            base = rng.choice([base[cut:], base[:len(base) - cut], base + base[:cut], "".join(rng.choices("ab", k=cut)) + base, base.upper()])
+            texts.append(base)
+            rows.append((article, pos, base))
+        rows.append((article, 200, None))
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "a long, n int, claim string, id int, low int")
+    got = sorted(((r.a, r.pos, r.claim) for r in C.distinct_claims(df, "a", "n", "claim").collect()), key=repr)
+    assert got == first_claims(rows) and len(got) < 550
+    assert C.distinct_claims(df.limit(0), "a", "n", "claim").collect() == []
+
+
+def test_pieces_of_claims_meet():
+    rng = random.Random(8)
+    for _ in range(4000):
+        whole = "".join(rng.choices("abc", k=rng.randint(6, 130)))
+        gap = rng.randint(0, max(0, C.inner(len(whole))[0]))
+        start = rng.randint(0, gap)
+        part = whole[start:len(whole) - gap + start]
+        if gap:
+            assert gap < 0.2 * len(whole) and C.pieces(whole)[0] in C.pieces(part)[1]
+            assert len(C.pieces(part)[1]) <= 40
+
+
+def test_a_long_chain_of_claims_is_decided(spark):
+    links = [(1, i, i + 1) for i in range(24)] + [(1, i, i + 2) for i in range(0, 20, 3)]
+    gone, linked = set(), {}
+    for _, a, b in links:
+        linked.setdefault(b, []).append(a)
+    for b in sorted(linked):
+        if any(a not in gone for a in linked[b]):
+            gone.add(b)
+    df = spark.createDataFrame(links, "art long, id long, other long")
+    assert {r.id for r in C.first_of_alike(df).collect()} == gone
+    with pytest.raises(RuntimeError, match="undecided"):
+        C.first_of_alike(df, rounds=3)
 
 
 def test_chunks(spark):
