@@ -30,8 +30,8 @@ def label_counts(verdicts: DataFrame, *by: str) -> DataFrame:
             .groupBy(*by, "field_key", "label").agg(F.count(F.lit(1)).alias("n")))
 
 
-def tally(verdicts: DataFrame) -> DataFrame:
-    """All counts and score moments of a summary in one grouped pass over the verdicts.
+def tally(verdicts: DataFrame, *by: str) -> DataFrame:
+    """All counts and score moments of a summary in one grouped pass over the verdicts, by the columns ``by``.
 
     Rows (kind, field_key, name): kind ``record`` (name good or bad), ``label`` and ``score`` (name: the metric), with
     the number of records n and, of scores, their moments. As many rows as there are labels and metrics.
@@ -45,9 +45,9 @@ def tally(verdicts: DataFrame) -> DataFrame:
                     lambda name: entry("label", e["key"], name, none)),
         F.transform(F.filter(e["value"], lambda d: d["score"].isNotNull() & (d["metric"] != "")),
                     lambda d: entry("score", e["key"], d["metric"], d["score"].cast("double")))))
-    rows = verdicts.select(F.inline(F.concat(record, F.coalesce(F.flatten(per_field), F.array().cast(
+    rows = verdicts.select(*by, F.inline(F.concat(record, F.coalesce(F.flatten(per_field), F.array().cast(
         "array<struct<kind: string, field_key: string, name: string, score: double>>")))))
-    return rows.groupBy("kind", "field_key", "name").agg(F.count(F.lit(1)).alias("n"), *score_aggregates(F.col("score")))
+    return rows.groupBy(*by, "kind", "field_key", "name").agg(F.count(F.lit(1)).alias("n"), *score_aggregates(F.col("score")))
 
 
 def label_ratios(verdicts: DataFrame) -> DataFrame:
@@ -101,11 +101,16 @@ def confusion(verdicts: DataFrame, labels: DataFrame, on: str, good_label: Colum
 
 def summary_row(verdicts: DataFrame, task_name: str = "", input_path: str = "", output_path: str = "") -> DataFrame:
     """The whole summary as one row: totals plus nested label ratios and score statistics, out of one pass."""
+    return summary_of(tally(verdicts), task_name, input_path, output_path)
+
+
+def summary_of(counted: DataFrame, task_name: str = "", input_path: str = "", output_path: str = "") -> DataFrame:
+    """The summary row of a tally, of a table of verdicts or of a stream so far."""
     is_kind = lambda k: F.col("kind") == k
     stats = F.struct(F.round("mean", 2).alias("score_average"), "score_count", F.round("low", 2).alias("score_min"),
                      F.round("high", 2).alias("score_max"),
                      F.when(F.col("score_count") > 1, F.round("dev", 2)).alias("score_std_dev"))
-    fields = tally(verdicts).groupBy("field_key").agg(
+    fields = counted.groupBy("field_key").agg(
         F.sum(F.when(is_kind("record"), F.col("n"))).alias("total"),
         F.sum(F.when(is_kind("record") & (F.col("name") == "bad"), F.col("n"))).alias("num_bad"),
         F.collect_list(F.when(is_kind("label"), F.struct("name", "n"))).alias("labels"),

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from grainsieve.operators import text_rules  # noqa: F401
 from grainsieve.plans import summary as SM
-from grainsieve.plans.evaluate import Check, Retention, bad_rows, evaluate, flags, good_rows, merge_partials
+from grainsieve.plans.evaluate import (DETAILS, STATUS, Check, Retention, bad_rows, evaluate, flags, good_rows,
+                                       merge_partials)
 from grainsieve.registry import Verdict, rule
 from grainsieve.schema import strings
-from grainsieve.sources import dialogs, readers
-from grainsieve.streaming import running
+from grainsieve.sources import dialogs, readers, shared
+from grainsieve.streaming import running, state
 
 from . import query, spread, table
 from .rules import DOCUMENTS, rule_sql, text_group, text_members
@@ -110,12 +111,18 @@ def summary_overall(spark, sf):
     return SM.overall(SM.score_stats(_scored(spark, sf)))
 
 
-@query("summary_row", _ALL + """, t AS (SELECT count(*) AS total, count(*) FILTER (WHERE NOT bad) AS num_good, count(*) FILTER (WHERE bad) AS num_bad FROM r),
+SUMMARY_ROW_SQL = _ALL + """, t AS (SELECT count(*) AS total, count(*) FILTER (WHERE NOT bad) AS num_good, count(*) FILTER (WHERE bad) AS num_bad FROM r),
 l AS (SELECT label, round(count(DISTINCT doc_id) / (SELECT total FROM t)::DOUBLE, 6) AS ratio FROM a WHERE status GROUP BY label)
 SELECT 'small' AS task_name, round(num_good / total::DOUBLE * 100, 2) AS score, num_good, num_bad, total,
- (SELECT string_agg(label || '=' || printf('%.6f', ratio), ',' ORDER BY label) FROM l) AS type_ratio FROM t""")
+ (SELECT string_agg(label || '=' || printf('%.6f', ratio), ',' ORDER BY label) FROM l) AS type_ratio FROM t"""
+
+
+@query("summary_row", SUMMARY_ROW_SQL)
 def summary_row(spark, sf):
-    row = SM.summary_row(checked(spark, sf), "small")
+    return _flat(SM.summary_row(checked(spark, sf), "small"))
+
+
+def _flat(row):
     # maps as text, which SQL can write too
     labels = F.array_sort(F.map_entries(F.col("type_ratio")["text"]))
     return row.select("task_name", "score", "num_good", "num_bad", "total", F.array_join(F.transform(
@@ -238,12 +245,33 @@ def windowed_quality(spark, sf):
 @query("running_label_counts", f"WITH a AS ({union_sql(SMALL[:2])}) SELECT 'text' AS field_key, label, count(DISTINCT doc_id) AS n FROM a "
        "WHERE status GROUP BY label")
 def running_label_counts(spark, sf):
+    return _running(spark, sf, "running_label_counts", SMALL[:2]).where("kind = 'label'").select("field_key", F.col("name").alias("label"), "n")
+
+
+def _running(spark, sf, name, rules):
+    """The state of a summary after a stream over the documents."""
     stream = spark.readStream.schema("doc_id long, text string").parquet(f"{sf}/documents.parquet*")
-    counts = running.running_label_counts(stream, [Check.of({"content": "text"}, SMALL[:2])])
-    name = "running_label_counts"
-    writer = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        writer = writer.option("checkpointLocation", f"{shared}/{name}-{uuid.uuid4().hex}")
+    home = f"{shared.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    handle = state.running_summary([Check.of({"content": "text"}, rules)], f"{home}/state")
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True)
     writer.start().awaitTermination()
-    return spark.table(name)
+    return state.current_tally(spark, f"{home}/state")
+
+
+@query("running_summary", SUMMARY_ROW_SQL)
+def running_summary(spark, sf):
+    return _flat(SM.summary_of(_running(spark, sf, "running_summary", SMALL), "small"))
+
+
+@query("running_score_moments", """
+SELECT 'score' AS kind, event_type, 'text' AS field_key, 'RuleCharNumber' AS name, count(*) AS n, round(avg(m), 6) AS mean, min(m) AS low, max(m) AS high,
+  round(stddev_pop(m), 6) AS dev FROM (SELECT event_type, length(props)::DOUBLE AS m FROM events) GROUP BY event_type""")
+def running_score_moments(spark, sf):
+    """Scores merged over batches of a stream, by the type of the event: two streams over halves of the table, one after the other."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", F.length("props").cast("double").alias("m"))
+    scored = lambda rows: state.moments(SM.tally(rows.select("event_type", F.lit(False).alias(STATUS), F.create_map(F.lit("text"), F.array(F.struct(
+        F.lit("RuleCharNumber").alias("metric"), F.lit(False).alias("status"), F.col("m").alias("score"), F.lit(None).cast("array<string>").alias("label"),
+        F.lit(None).cast("array<string>").alias("reason")))).alias(DETAILS)), "event_type"), "event_type")
+    both = state.merged(scored(e.where("event_id % 3 = 0")), scored(e.where("event_id % 3 <> 0")), "event_type")
+    return both.where("kind = 'score'").select("kind", "event_type", "field_key", "name", "n", F.round("mean", 6).alias("mean"), "low", "high",
+                                              F.round(F.sqrt(F.col("squares") / F.col("score_count")), 6).alias("dev"))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from grainsieve import Check, JobSpec, Retention, catalog, evaluate, group, label_ratios, run_job, totals
 from grainsieve.operators import claims as C, duplicates, media, scores as R
+from grainsieve.plans import summary
 from grainsieve.sources import dialogs, readers, writers
-from grainsieve.streaming import running
+from grainsieve.streaming import running, state
 
 
 def test_groups_and_catalog(spark):
@@ -90,6 +91,44 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {(r.label, r.n) for r in label_ratios(evaluate(docs, check)).collect()} and got
 
 
+def test_running_summary_equals_the_batch_after_a_restart(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        "doc_id", "text", (F.col("doc_id") * 7 % 5).alias("hour"), F.struct(F.col("text").alias("standard"), F.when(
+            F.col("doc_id") % 3 > 0, F.upper("text")).otherwise("").alias("produced")).alias("meta"))
+    checks = [Check.of({"content": "text"}, ["RuleCharNumber", "RuleNoPunc", "RuleDocRepeat"]), Check.of({"metadata": "meta"}, ["RuleMetadataSimilarity"])]
+    source, path, by = tmp_path / "in", str(tmp_path / "state"), ("hour",)
+    parts = docs.randomSplit([1.0] * 6, 3)
+    handle = state.running_summary(checks, path, by)
+
+    def stream(done):
+        s = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        s.writeStream.foreachBatch(done).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    def broken(batch, number):
+        handle(batch, number)
+        if number == 4:  # the state is written, the batch is not committed: it runs again
+            raise ValueError("stop")
+
+    for p in parts[:4]:
+        p.coalesce(1).write.mode("append").parquet(str(source))
+    stream(handle)
+    for p in parts[4:]:  # hours of earlier batches come again
+        p.coalesce(1).write.mode("append").parquet(str(source))
+    with pytest.raises(Exception, match="stop"):
+        stream(broken)
+    stream(handle)
+    now, batch = state.current_tally(spark, path, by), summary.tally(evaluate(docs, checks), *by)
+    rounded = lambda df: {tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(batch.columns).collect()}
+    assert rounded(now) == rounded(batch) and now.where("kind = 'score'").count() == 5
+    assert len(list((tmp_path / "state").glob("batch-*"))) == 2
+    whole = now.groupBy(*state.KEYS).agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("mean", "score_count", "low", "high", "dev")])
+    assert summary.summary_of(whole).first().total == docs.count()
+    handle(docs, 0)  # anew
+    assert rounded(state.current_tally(spark, path, by)) == rounded(batch)
+    with pytest.raises(FileNotFoundError):
+        state.current_tally(spark, str(tmp_path / "none"))
+
+
 def test_claims(spark):
     c = spark.createDataFrame([(1, 0, "Water boils."), (1, 1, "water boils"), (1, 2, ""), (1, 3, "The sea is deep"), (1, 4, "Water boils.")],
                               "a long, n int, claim string")
