@@ -8,6 +8,7 @@ from ..functions import fixed as X
 from ..functions import text as T
 from ..registry import ML8, MULTI_LANGUAGES, RuleConfig, Verdict, rule
 from ..schema import strings
+from .sentences import treebank_words
 
 EFFECTIVENESS = "QUALITY_BAD_EFFECTIVENESS"
 FLUENCY = "QUALITY_BAD_FLUENCY"
@@ -237,11 +238,13 @@ for _lang in MULTI_LANGUAGES:
 
 @rule("RuleAlphaWords", EFFECTIVENESS, ("pretrain",), threshold=0.6)
 def alpha_words(f, cfg):
-    n = F.size(F.filter(f.treebank, lambda t: F.rlike(t, F.lit(r"\p{L}"))))
-    r = f.column("alpha_share", 3, lambda f_: share(n, F.size(f_.treebank)))
+    """``key_list`` takes abbreviations, as `sentences.learn_abbreviations` finds them, whose stops end no sentence."""
+    words = treebank_words(f, cfg.key_list) if cfg.key_list else f.treebank
+    n = F.size(F.filter(words, lambda t: F.rlike(t, F.lit(r"\p{L}"))))
+    r = share(n, F.size(words)) if cfg.key_list else f.column("alpha_share", 3, lambda f_: share(n, F.size(f_.treebank)))
     return Verdict(~(r > cfg.threshold),
                    say("The ratio of words that contain at least one alphabetic character is: ", r),
-                   applies=F.size(f.treebank) > 0, measure=r)
+                   applies=F.size(words) > 0, measure=r)
 
 
 @rule("RuleCapitalWords", UNDERSTANDABILITY, ("pretrain",), threshold=0.2)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from grainsieve.operators import text_rules  # noqa: F401
+from grainsieve.operators import sentences, text_rules  # noqa: F401
 from grainsieve.plans import summary as SM
 from grainsieve.plans.evaluate import (DETAILS, STATUS, Check, Retention, bad_rows, evaluate, flags, good_rows,
                                        merge_partials)
@@ -275,3 +275,27 @@ def running_score_moments(spark, sf):
     both = state.merged(scored(e.where("event_id % 3 = 0")), scored(e.where("event_id % 3 <> 0")), "event_type")
     return both.where("kind = 'score'").select("kind", "event_type", "field_key", "name", "n", F.round("mean", 6).alias("mean"), "low", "high",
                                               F.round(F.sqrt(F.col("squares") / F.col("score_count")), 6).alias("dev"))
+
+
+# --- sentences -----------------------------------------------------------------------------
+
+@query("learned_abbreviations", r"""
+WITH w AS (SELECT lower(regexp_extract(p, '^[^\p{L}\p{N}]*(\p{L}+(?:\.\p{L}+)*)(\.?)[^\p{L}\p{N}.]*$', 1)) AS word,
+  regexp_extract(p, '^[^\p{L}\p{N}]*(\p{L}+(?:\.\p{L}+)*)(\.?)[^\p{L}\p{N}.]*$', 2) = '.' AS stop FROM (SELECT unnest(string_split_regex(text, '\s+')) AS p FROM documents)),
+c AS (SELECT word, count(*) FILTER (stop) AS k, count(*) AS n, length(replace(word, '.', '')) AS l FROM w WHERE word <> '' GROUP BY word),
+p AS (SELECT sum(k) / sum(n) AS base FROM c),
+s AS (SELECT word, k AS with_stop, n - k AS without, -2 * (k * ln(base) + (n - k) * ln(1 - base) - k * ln(0.99::DOUBLE) - (n - k) * ln(1 - 0.99::DOUBLE))
+  * exp(-l) * (length(word) - l + 1) * pow(l::DOUBLE, -(n - k)) AS score FROM c, p WHERE k > 0)
+SELECT word, with_stop, without, round(score, 6) AS score FROM s WHERE score >= 0.000001""")
+def learned_abbreviations(spark, sf):
+    return sentences.learn_abbreviations(docs(spark, sf), least=1e-6, most=1_000_000).withColumn("score", F.round("score", 6))
+
+
+@query("sentence_counts", r"""
+-- each twice, as a match takes the sign behind it
+WITH h AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(^|[^\p{L}\p{N}.])(the|and|de|der|la)\.(\s+\S)', '\1\2@@\3', 'gi'), '(^|[^\p{L}\p{N}.])(the|and|de|der|la)\.(\s+\S)', '\1\2@@\3', 'gi') AS t FROM documents),
+m AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '([.!?…。！？]+["''”’)\]]*)\s+([^\p{Ll}\s])', E'\\1\n\n\\2', 'g'), '([.!?…。！？]+["''”’)\]]*)\s+([^\p{Ll}\s])', E'\\1\n\n\\2', 'g'), E'\n\n') AS xs FROM h)
+SELECT doc_id, len(list_filter(xs, lambda x: trim(x, E' \t\n\r\f\v') <> '')) AS sentences FROM m""")
+def sentence_counts(spark, sf):
+    known = ("the", "and", "de", "der", "la")
+    return docs(spark, sf).select("doc_id", F.size(sentences.sentences_of(F.col("text"), known)).cast("long").alias("sentences"))

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainsieve import Check, evaluate, label_ratios, score_stats, summary_row, totals
-from grainsieve.operators import media, scores, security
-from grainsieve.plans.evaluate import merge_partials
+from grainsieve.operators import media, scores, security, sentences
+from grainsieve.plans.evaluate import merge_partials, verdicts_of
 from grainsieve.sources import readers
 
 SF = "/root/testdata/sf0.001"
@@ -133,3 +133,23 @@ def test_no_job_starts_while_a_job_is_planned(spark, docs):
     before = len(tracker.getJobIdsForGroup(None))
     evaluate(docs.orderBy("doc_id"), [Check.of({"content": "text"}, RULES)])
     assert len(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_abbreviations_are_learnt_and_end_no_sentence(spark):
+    text = ("Dr. Smith met Mr. Jones at the house. The house was old. They saw e.g. a cat. It rained. "
+            "Later Dr. Brown came. Mr. Green left the house. We ate. You won. "
+            "A cat came here, as old as it is; it ate and won. Who rained, who left, who ended, who saw Smith and Jones? ")
+    docs = spark.createDataFrame([(i, text + f"Word{chr(97 + i % 26)} ended here.") for i in range(30)] + [(99, None)], "id long, text string")
+    learnt = sentences.learn_abbreviations(docs)
+    words = [r.word for r in learnt.collect()]
+    assert {"dr", "mr", "e.g"} <= set(words) and not {"house", "old", "cat", "here"} & set(words)
+    assert {r.word: (r.with_stop, r.without) for r in learnt.collect()}["dr"] == (60, 0)
+    known = ("Dr.", "mr", "e.g")
+    one = spark.createDataFrame([("Dr. Smith is in. (See e.g. Mr. X.) He left! \u201cWhy?\u201d Nobody knows etc. and so on... Really.",), ("",), (None,)], "t string")
+    assert [r[0] for r in one.select(sentences.sentences_of(F.col("t"), known)).collect()] == [
+        ["Dr. Smith is in.", "(See e.g. Mr. X.)", "He left!", "\u201cWhy?\u201d", "Nobody knows etc. and so on...", "Really."], [], []]
+    rows = spark.createDataFrame([(1, "Dr. Smith 1 2 3."), (2, "Dr. 1.")], "id long, content string")
+    share = lambda keys: {r.id: round(r.measure, 4) for r in verdicts_of(rows, Check.of(
+        {"content": "content"}, [{"name": "RuleAlphaWords", "config": {"key_list": keys} if keys else {}}]), ["id"]).collect()}
+    assert share(None) == {1: round(2 / 7, 4), 2: 0.25}  # Dr . Smith 1 2 3 .
+    assert share(["dr"]) == {1: round(2 / 6, 4), 2: round(1 / 3, 4)}  # Dr. Smith 1 2 3 .
