@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
+from .ranges import read_csv_ranges, read_json_records
 
 SUFFIXES = {
     "jsonl": (".jsonl", ".json", ".jsonl.gz", ".json.gz"),
@@ -31,15 +34,13 @@ def read_jsonl(spark, path, schema=None, recursive=False) -> DataFrame:
 
 
 def read_listjson(spark, path, schema=None, recursive=False) -> DataFrame:
-    r = _reader(spark, recursive).option("multiLine", "true")
-    return (r.schema(schema) if schema else r).json(path)
+    """A list of objects a file, read by ranges of the file; without a schema it is inferred."""
+    return read_json_records(spark, path, schema, recursive)
 
 
-def read_json_map(spark, path, record_schema: str, recursive=False) -> DataFrame:
-    """One JSON object per file whose values are the records."""
-    whole = _reader(spark, recursive).option("wholetext", "true").text(path)
-    parsed = F.from_json("value", f"map<string, struct<{record_schema}>>")
-    return whole.select(F.explode(parsed).alias("key", "r")).select("r.*")
+def read_json_map(spark, path, record_schema: str | None = None, recursive=False) -> DataFrame:
+    """One JSON object per file whose values are the records, read by ranges; without a schema it is inferred."""
+    return read_json_records(spark, path, record_schema, recursive)
 
 
 def read_plaintext(spark, path, recursive=False) -> DataFrame:
@@ -47,18 +48,26 @@ def read_plaintext(spark, path, recursive=False) -> DataFrame:
 
 
 def read_csv(spark, path, has_header=True, encoding="utf-8", delimiter=None, quotechar='"',
-             dialect="excel", columns: list[str] | None = None, recursive=False, multiline=True) -> DataFrame:
+             dialect="excel", columns: list[str] | None = None, recursive=False, multiline: bool | None = None) -> DataFrame:
     """All cells are stripped strings, missing ones empty; rows without any content are dropped.
 
-    Quoted line breaks make each file one task; files without any can be split with ``multiline=False``.
+    Files are read by ranges, quoted line breaks included, but for those in UTF-16 or 32, which are one task each;
+    ``multiline`` leaves the splitting to Spark's own reader: a task for each file if true, lines as records if false.
     """
     sep = delimiter or ("\t" if dialect == "excel-tab" else ",")
+    if multiline is None and not codecs.lookup(encoding).name.startswith(("utf-16", "utf-32")):
+        return _cells(read_csv_ranges(spark, path, has_header, sep, quotechar, columns, recursive, encoding))
+    multiline = multiline is not False
     r = (_reader(spark, recursive).option("header", str(has_header).lower()).option("encoding", encoding)
          .option("sep", sep).option("quote", quotechar).option("escape", quotechar).option("multiLine", str(multiline).lower())
          .option("mode", "PERMISSIVE"))
     df = r.csv(path)
     if not has_header:
         df = df.toDF(*(columns or [f"column_{i}" for i in range(len(df.columns))]))
+    return _cells(df)
+
+
+def _cells(df: DataFrame) -> DataFrame:
     df = df.select(*[T.strip(T.as_text(F.col(f"`{c}`"))).alias(c.strip()) for c in df.columns])
     filled = F.lit(False)
     for c in df.columns:

@@ -1,5 +1,6 @@
 """Sources, sinks, summaries, judges, streams, media and grouped operators."""
 
+import csv
 import io
 import json
 import random
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from grainsieve import Check, JobSpec, Retention, catalog, evaluate, group, label_ratios, run_job, totals
 from grainsieve.operators import claims as C, duplicates, media, scores as R
 from grainsieve.plans import summary
-from grainsieve.sources import dialogs, readers, writers
+from grainsieve.sources import dialogs, ranges, readers, writers
 from grainsieve.streaming import running, state
 
 
@@ -278,6 +279,72 @@ def test_pixel_hashes_stand_small_changes(spark):
     assert {r.id for r in duplicates.near_duplicates(same, "id", "code", "vec").collect()} == {0, 1, 2, 4, 5}
 
 
+def test_csv_over_ranges_equals_whole_files(spark, tmp_path):
+    rng = random.Random(9)
+    cell = lambda: "".join(rng.choices(["a", "b c", ",", '"', "\n", "\r\n", "é中", "", "x" * 30], k=rng.randint(0, 6)))
+    want = []
+    for name in ("a.csv", "b.csv"):
+        rows = [[str(i), cell(), cell()] for i in range(1500)]
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator="\r\n" if name == "a.csv" else "\n")
+            w.writerow(["id", "x,y", "z"])
+            w.writerows(rows)
+            f.write("\n\n")
+        want += rows
+    want = sorted(tuple(c.strip() for c in r) for r in want)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        df = readers.read_csv(spark, str(tmp_path))
+        lines = ranges._lines(spark, str(tmp_path), '"', False)
+        assert lines.select("file", "block").distinct().count() > 20 and lines.where("odd").count() > 100
+        assert df.columns == ["id", "x,y", "z"]
+        assert sorted(map(tuple, df.collect())) == want
+        bare = readers.read_csv(spark, str(tmp_path / "b.csv"), has_header=False, columns=["a", "b", "c"])
+        assert bare.columns == ["a", "b", "c"] and bare.count() == 1501
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "t.csv").write_text("a\tb\n'1\n2'\t3\n\t\n'open\tx\ny", encoding="utf-8")
+    assert sorted(map(tuple, readers.read_csv(spark, str(tmp_path / "t.csv"), dialect="excel-tab", quotechar="'").collect())) == [
+        ("1\n2", "3"), ("open\tx\ny", "")]
+    (tmp_path / "none.csv").write_text("")
+    assert readers.read_csv(spark, str(tmp_path / "none.csv")).collect() == []
+    with open(tmp_path / "g.csv", "w", encoding="gbk") as f:
+        f.write('a,b\n中,"1\n2"\n')
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "g.csv"), encoding="gbk").collect()] == [("中", "1\n2")]
+
+
+def test_json_documents_over_ranges_equal_whole_files(spark, tmp_path):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices(["a", '"', "\\", "{", "}", "[", "]", ",", ":", "é中", "\n", " "], k=rng.randint(0, 9)))
+
+    def record(i):
+        out = {"id": i, "t": word()}
+        if i % 3 == 0:
+            out["in"] = {"x": word(), "l": [{"y": word()} for _ in range(rng.randint(0, 3))]}
+        return out
+
+    rows = [record(i) for i in range(900)]
+    (tmp_path / "l.json").write_text(json.dumps(rows, indent=1, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "m.json").write_text(json.dumps({word() + str(r["id"]): r for r in rows}), encoding="utf-8")
+    schema = "id long, t string, in struct<x: string, l: array<struct<y: string>>>"
+    want = sorted((r["id"], r["t"], json.dumps(r.get("in"))) for r in rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2048)
+    try:
+        for name, fmt, given in (("l.json", "listjson", {}), ("m.json", "json", {}), ("m.json", "json", {"record_schema": schema}),
+                                 ("l.json", "listjson", {"schema": schema})):
+            df = readers.read(spark, str(tmp_path / name), fmt, **given)
+            assert sorted((r.id, r.t, json.dumps(r["in"].asDict(True) if r["in"] else None)) for r in df.select("id", "t", F.struct(
+                F.col("in.x").alias("x"), F.transform("in.l", lambda y: F.struct(y["y"].alias("y"))).alias("l")).alias("s"), "in").select(
+                "id", "t", F.when(F.col("in").isNotNull(), F.col("s")).alias("in")).collect()) == want
+        assert ranges._json_pieces(spark, str(tmp_path / "m.json"), False).select("block").distinct().count() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "e.json").write_text(' [ 1, "{}", {"a": {}}, null, {"b": 1}]')
+    assert sorted(r.text for r in ranges.json_records(spark, str(tmp_path / "e.json")).collect()) == ['{"a": {}}', '{"b": 1}']
+
+
 def png(path, width, height, value):
     raw = b"".join(b"\0" + bytes([value]) * 3 * width for _ in range(height))
 
