@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,9 +56,11 @@ class Page:
         return len(self.tag) - 1
 
     def _parse(self, s: str) -> None:
+        """Linear in the page: every step of it moves on in the text, closes an element, or looks at a few stacks."""
         at, now, tag, parent = 0, 0, self.tag, self.parent
-        count: dict[str, int] = {}  # open elements by name, so that stray end tags cost nothing
-        while m := _TAG.search(s, at):
+        stacks: dict[str, list[int]] = {"html": [0]}  # open elements by name, from the outermost in
+        tags_end = s.rfind(">") + 1  # nothing behind can be a tag
+        while m := _TAG.search(s, at, tags_end):
             if m.start() > at:
                 self.runs.append((now, s[at:m.start()]))
             at = m.end()
@@ -69,23 +72,19 @@ class Page:
                 continue
             name = name.lower()
             if m[1] or m[4]:
-                if name == "p" and not count.get("p"):
+                if name == "p" and not stacks.get("p"):
                     self._open("p", now, False)
                 elif name == "br":
                     self.runs.append((self._open("br", now, False), " "))
-                elif count.get(name):
-                    while tag[now] != name:
-                        count[tag[now]] -= 1
-                        now = parent[now]
-                    count[name] -= 1
-                    now = parent[now]
+                elif name != "html" and stacks.get(name):
+                    now = self._leave(stacks[name][-1], now, stacks)
                 continue
-            if name in ("html", "body") and count.get(name, name == "html"):
+            if name == "html" or name == "body" and stacks.get(name):
                 continue
-            if name in BLOCKS and count.get("p"):
-                now = self._close({"p"}, now, count)
+            if name in BLOCKS and stacks.get("p"):
+                now = self._close({"p"}, now, stacks)
             if name in CLOSES:
-                now = self._close(CLOSES[name], now, count)
+                now = self._close(CLOSES[name], now, stacks)
             node = self._open(name, now, _unwanted(m[3] or m[6] or ""))
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(s, at)
@@ -96,26 +95,27 @@ class Page:
             elif name in VOID:
                 self.runs.append((node, " " if name in ("br", "hr") else ""))
             else:
-                count[name] = count.get(name, 0) + 1
+                stacks.setdefault(name, []).append(node)
                 now = node
+        rest = s.find("<!--", at)  # a comment without an end
         if at < len(s):
-            self.runs.append((now, s[at:]))
+            self.runs.append((now, s[at:] if rest < 0 else s[at:rest]))
 
-    def _close(self, names: set[str], now: int, count: dict[str, int]) -> int:
-        """Close the outermost of these elements that is open within the nearest container."""
-        found, node = -1, now
-        while node > 0 and (self.tag[node] not in _SCOPE or self.tag[node] in names):
-            if self.tag[node] in names:
-                found = node
-            node = self.parent[node]
-        if found < 0:
-            return now
+    def _leave(self, node: int, now: int, stacks: dict[str, list[int]]) -> int:
+        """Close all from the innermost open element to this one."""
         while True:
-            count[self.tag[now]] -= 1
-            if now == found:
+            stacks[self.tag[now]].pop()
+            if now == node:
                 return self.parent[now]
             now = self.parent[now]
 
+    def _close(self, names: set[str], now: int, stacks: dict[str, list[int]]) -> int:
+        """Close the outermost of these elements that is open within the nearest container."""
+        container = max((stacks[t][-1] for t in _SCOPE - names if stacks.get(t)), default=0)
+        inner = (bisect_right(stacks.get(t, ()), container) for t in names)
+        found = min((stacks[t][i] for t, i in zip(names, inner) if i < len(stacks.get(t, ()))), default=0)
+        return self._leave(found, now, stacks) if found else now
+
 
 def _unwanted(attributes: str) -> bool:
     if not attributes or "=" not in attributes and "hidden" not in attributes:

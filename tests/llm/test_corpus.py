@@ -1,5 +1,7 @@
 """Joins, passages, toxicity and the pipeline against brute force and held-out labels."""
 
+import itertools
+import math
 import random
 import re
 import zlib
@@ -268,6 +270,32 @@ def test_disguises_are_undone(model):
     assert [text[a:b] for a, b in toxicity.disguised(data)] == ["m0ron,", "i d i o t", "1diot"]
 
 
+def least_costs(restore, word):
+    """The readings of least cost, by trying all."""
+    best, cost = {}, restore.cost
+    for path in itertools.product(*[restore._choices(word, i) for i in range(len(word))]):
+        total, a, b, out = 0.0, 0, 0, []
+        for symbol, written, own in path:
+            total += own
+            if symbol >= 0:
+                out.append(written)
+                if symbol or b:
+                    total += cost[a][b][symbol]
+                    a, b = b, symbol
+        total += cost[a][b][0] if b else 0.0
+        word_ = "".join(out)
+        best[word_] = min(total, best.get(word_, math.inf))
+    low = min(best.values())
+    return {w for w, c in best.items() if c <= low + 1e-6}
+
+
+def test_decoder_equals_trying_all_readings(model):
+    restore, rng = toxicity.Restorer(model.cost), random.Random(3)
+    for _ in range(300):
+        word = "".join(rng.choices("idotmrn1034@$!*- .", k=rng.randint(1, 7)))
+        assert restore.decode(word) in least_costs(restore, word), word
+
+
 def test_all_that_may_be_disguised_is_decoded(model):
     found = lambda text: [text.encode()[a:b].decode() for a, b in toxicity.suspects(np.frombuffer(text.encode(), np.uint8))]
     assert found("the f***k, f***ing @$$hole a$$ is ok 12 3+4\n1 2 3 4\tx, (y) end.") == ["f***k,", "f***ing", "@$$hole", "a$$", "(y)"]

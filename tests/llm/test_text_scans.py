@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 
 import numpy as np
@@ -214,6 +215,21 @@ def test_odd_pages(source, text):
     assert extract.main_text(source) == text
 
 
+@pytest.mark.parametrize("parts", [("<a",), ("<b>", "<td>"), ("<p>", "<div>"), ("<td>", "<p>"), ('<a "',), ("<!--",), ("<li>",), ("<table>", "<tr>")])
+def test_malformed_pages_take_linear_time(parts):
+    n = 1_000_000 // sum(map(len, parts))
+    began = time.process_time()
+    extract.main_text("".join(p * n for p in parts))
+    assert time.process_time() - began < 10
+
+
+def test_pages_without_article_tags_give_the_same_text(spark):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    bare = [re.sub(r"<(/?)(?:article|main)(?=[\s>])", r"<\1div", p) for p in pages]
+    assert any(a != b for a, b in zip(pages, bare))
+    assert [extract.main_text(p) for p in pages] == [extract.main_text(p) for p in bare]
+
+
 def test_page_query_on_a_table(spark):
     rows = {r.page_id: r for r in queries.QUERIES["op8_html_main_text"](spark, SF).collect()}
     import html

@@ -116,3 +116,21 @@ def test_scores_beyond_a_long_are_refused(spark):
     df = spark.createDataFrame([(0, [1e18, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="would not fit a long"):
         vectors.top_k(df, "vec_id % 50 = 0", 5).collect()
+
+
+def test_recall_of_planted_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 4000, 2):  # pairs of a cosine from 0.95 to 0.99
+        away = rng.normal(size=64)
+        away -= (away @ x[i]) * x[i]
+        c = 0.95 + 0.04 * i / 4000 + 1e-4
+        x[i + 1] = c * x[i] + np.sqrt(1 - c * c) * away / np.linalg.norm(away)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(df).collect()}
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = near.sum(1)
+    assert want.sum() >= 4000 and all(n <= want[i] for i, (n, _) in found.items())
+    assert sum(n for n, _ in found.values()) >= 0.99 * want.sum()
