@@ -2,4 +2,4 @@
 
 
 def load_all() -> None:
-    from . import duplicates, judges, media, records, resume, scores, security, table_judges, text_rules  # noqa: F401
+    from . import boxes, duplicates, judges, media, records, resume, scores, security, table_judges, text_rules  # noqa: F401

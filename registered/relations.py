@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainsieve.functions import fixed as X
-from grainsieve.operators import claims as claim_table, duplicates, media, scores as R, security
+from grainsieve.operators import boxes as box_table, claims as claim_table, duplicates, media, scores as R, security
 from grainsieve.plans.evaluate import Check, verdicts_of
 from grainsieve.registry import RULES
 
@@ -244,6 +244,30 @@ def box_overlap_images(spark, sf):
     return R.box_verdicts(R.box_overlaps(boxes(spark, sf), "image", "box"), "image")
 
 
+BOX_COUNTS = f"""WITH b AS (SELECT *, row_number() OVER () AS id FROM (SELECT DISTINCT {BOX} FROM lineitem)),
+i AS (SELECT l.id AS a, r.id AS b, l.width * l.height + r.width * r.height AS area,
+ greatest(0.0, least(l.x + l.width, r.x + r.width) - greatest(l.x, r.x)) * greatest(0.0, least(l.y + l.height, r.y + r.height) - greatest(l.y, r.y)) AS s
+ FROM b l JOIN b r ON l.image = r.image AND l.id <> r.id),
+c AS (SELECT any_value(image) AS image, any_value(box) AS box, count(*) FILTER (WHERE s / (area - s) >= 0.9) AS "full",
+ count(*) FILTER (WHERE s / (area - s) >= 0.1 AND s / (area - s) < 0.9) AS partial FROM b LEFT JOIN i ON i.a = b.id GROUP BY b.id) """
+
+
+@query("box_overlap_counts", BOX_COUNTS + "SELECT image, box, \"full\", partial, CASE WHEN \"full\" > 0 THEN 'full_overlap' "
+       "WHEN partial > 0 THEN 'partial_overlap' END AS attribute FROM c")
+def box_overlap_counts(spark, sf):
+    return box_table.overlap_counts(boxes(spark, sf), "image", "box").withColumn("attribute", box_table.attribute())
+
+
+@query("rule_image_label_overlap", BOX_COUNTS + """SELECT image, f + q > 0 AS status, CAST(f + q AS DOUBLE) AS measure,
+ CASE WHEN f + q > 0 THEN 'LabelOverlap_Fail.RuleImageLabelOverlap' ELSE 'QUALITY_GOOD' END AS label,
+ CASE WHEN f + q > 0 THEN 'full overlaps: ' || f || ', partial overlaps: ' || q END AS reason FROM
+ (SELECT image, CAST(sum("full") / 2 AS BIGINT) AS f, CAST(sum(partial) / 2 AS BIGINT) AS q FROM c GROUP BY image)""")
+def rule_image_label_overlap(spark, sf):
+    counts = box_table.image_counts(box_table.overlap_counts(boxes(spark, sf), "image", "box"), "image")
+    v = verdicts_of(counts, Check.of({"full": "full", "partial": "partial"}, ["RuleImageLabelOverlap"]), ["image"])
+    return v.withColumn("reason", F.array_join("reason", "; "))
+
+
 # --- identifiers, personal data ------------------------------------------------------------
 
 def _bad_label(name):
