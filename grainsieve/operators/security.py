@@ -119,12 +119,24 @@ def pii_table(df: DataFrame, id_col: str, text_col: str, kinds: tuple[str, ...]
 
 # --- word lists ----------------------------------------------------------------------------
 
+#: Signs of a word list that every Python worker may hold; longer lists are joined.
+LIST_SIGNS = 16 << 20
+
+
+def word_table(spark, paths) -> DataFrame:
+    """Words of JSON-lines files with a ``word`` key."""
+    return spark.read.schema("word string").json(list(paths)).where("word is not null")
+
+
 def read_word_list(paths) -> tuple[str, ...]:
-    """Words of JSON-lines files with a ``word`` key, read by the Spark session in use."""
+    """Words of JSON-lines files, read by the Spark session in use, once their size is known."""
     from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    rows = spark.read.schema("word string").json(list(paths)).where("word is not null").collect()
-    return tuple(r.word for r in rows)
+    words = word_table(SparkSession.getActiveSession(), paths)
+    signs = words.agg(F.sum(F.length("word") + 1)).first()[0] or 0
+    if signs > LIST_SIGNS:
+        raise ValueError(f"{signs} signs of words are too many for every worker: add the words found by "
+                         "word_tables.with_table_words and set found on RuleUnsafeWords")
+    return tuple(r.word for r in words.collect())
 
 
 def automaton_matches(words: tuple[str, ...]):
@@ -157,6 +169,9 @@ def automaton_matches(words: tuple[str, ...]):
 
 @rule("RuleUnsafeWords", SECURITY)
 def unsafe_words(f, cfg):
+    """By a list of words, or, with the setting found, by the field found that `word_tables.with_table_words` adds."""
+    if cfg.option("found", False):
+        return Verdict(F.size(f.field("found")) > 0, f.field("found"))
     words = cfg.key_list or (read_word_list(cfg.refer_path) if cfg.refer_path else ())
     words = tuple(sorted({w for w in words if w}))
     if not words:

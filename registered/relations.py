@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainsieve.functions import fixed as X
-from grainsieve.operators import boxes as box_table, claims as claim_table, duplicates, media, scores as R, security
+from grainsieve.operators import boxes as box_table, claims as claim_table, duplicates, media, scores as R, security, word_tables
 from grainsieve.plans.evaluate import Check, verdicts_of
 from grainsieve.registry import RULES
 
@@ -343,6 +343,42 @@ def pii_findings_by_type(spark, sf):
     return security.pii_table(d, "doc_id", "text").groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- words of a table ----------------------------------------------------------------------
+
+LISTED = r"[\p{L}\p{N}]+(?: [\p{L}\p{N}]+)?\.?"
+LISTED_SQL = rf"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{LISTED}')) AS word FROM benchmark),
+p AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS p FROM documents),
+t AS (SELECT doc_id, p[i] AS a, coalesce(p[i + 1], '') AS gap, p[i + 2] AS b, coalesce(p[i + 3], '') AS next, p[i + 4] IS NULL AS done
+  FROM p, unnest(range(1, len(p) + 1)) AS x(i) WHERE regexp_matches(p[i], '^[\p{{L}}\p{{N}}]')),
+s AS (SELECT doc_id, a AS word FROM t
+  UNION SELECT doc_id, a || '.' FROM t WHERE gap[1] = '.' AND (length(gap) > 1 OR b IS NULL)
+  UNION SELECT doc_id, a || ' ' || b FROM t WHERE gap = ' ' AND b IS NOT NULL
+  UNION SELECT doc_id, a || ' ' || b || '.' FROM t WHERE gap = ' ' AND b IS NOT NULL AND next[1] = '.' AND (length(next) > 1 OR done)),
+f AS (SELECT doc_id, count(*) AS words, array_to_string(list_sort(list(word)), '|') AS found FROM s SEMI JOIN w USING (word) GROUP BY doc_id)
+"""
+
+
+def _listed(spark, sf):
+    return table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(LISTED), 0)).alias("word"))
+
+
+@query("unsafe_words_of_table", LISTED_SQL + "SELECT doc_id, words, found FROM f")
+def unsafe_words_of_table(spark, sf):
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    found = word_tables.table_words(d, "doc_id", "text", _listed(spark, sf))
+    return found.select("doc_id", F.size("found").cast("long").alias("words"), F.array_join("found", "|").alias("found"))
+
+
+@query("rule_unsafe_words_of_table", LISTED_SQL + """SELECT doc_id, words IS NOT NULL AS status,
+ CASE WHEN words IS NULL THEN 'QUALITY_GOOD' ELSE 'QUALITY_BAD_SECURITY.RuleUnsafeWords' END AS label FROM documents LEFT JOIN f USING (doc_id)""")
+def rule_unsafe_words_of_table(spark, sf):
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    wide = word_tables.with_table_words(d, "doc_id", "text", _listed(spark, sf))
+    check = Check.of({"content": "text", "found": "found"}, ["RuleUnsafeWords"], RuleUnsafeWords={"found": True})
+    return verdicts_of(wide, check, ["doc_id"]).select("doc_id", "status", "label")
+
+
 # --- near duplicates -----------------------------------------------------------------------
 
 def _code(e: str, base: int, span: int = 1) -> str:
