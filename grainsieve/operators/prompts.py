@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from ..functions.fixed import SKILL_SYNONYMS
+
 
 def ask(task: str, shape: str, *fields: tuple[str, str]) -> str:
     """A task, the shape of the answer, and the record's fields under their names."""
@@ -59,7 +61,8 @@ PROMPTS = {
     "VLMLayoutQuality": ask("Name the faults of this page layout.", json(FAULTS)),
     "LLMResumeQuality": ask("Judge this resume.", json("score (1 good, 0 bad), type, name and reason")),
     "LLMKeywordMatcher": ask("List the skills that the job asks for, how much each matters (Required, Nice-to-have or Excluded) and whether "
-                             "the resume has it (Matched, Partial or Missing).",
+                             "the resume has it (Matched, Partial or Missing). These names mean the same: "
+                             + "; ".join(f"{k} = {v}" for k, v in SKILL_SYNONYMS.items()) + ".",
                              json("keyword_analysis, a list of objects with keyword, importance and match_status"),
                              ("prompt", "Job description"), ("content", "Resume")),
     "LLMLongVideoQa": ask("Write questions on this video summary, with their answers.", json("question and answer lists")),

@@ -3,9 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from grainsieve import Check, Retention, evaluate, run_job
-from grainsieve.operators import judging, load_all
+from grainsieve.operators import answer_tables, judging, load_all
 from grainsieve.operators.prompts import PROMPTS
 from grainsieve.registry import JUDGES
 
@@ -91,3 +92,48 @@ def test_unmapped_judge_fields_fail_at_once(spark):
     df = spark.createDataFrame([(1, "c")], "id int, content string")
     with pytest.raises(ValueError, match="prompt"):
         run_job(spark, {"evaluator": [{"fields": {"content": "content"}, "evals": [{"name": "LLMScout"}]}]}, df, scorer=list)
+
+
+def test_company_lists(spark):
+    answer = {"strategy_context": {"target_companies": [
+        {"name": "a", "match_score": 0.6},
+        {"name": "b", "scoring_breakdown": {"skill_match": {"score": 0.9}, "location_match": {"score": 0.4}}},
+        {"name": "c", "financial_status": "contraction", "financial_evidence": {"confidence": 0.9, "source_quotes": ["q" * 60]}},
+        {"name": "d", "financial_evidence": {"confidence": 0.2}},
+        {"match_score": 0.95, "tier": "Tier 1", "financial_evidence": {"confidence": 0.8, "conflicting_signals": "layoffs"}},
+        {"name": "e", "match_score": 0.6}, {"name": "f", "scoring_breakdown": {"skill_match": {"score": 0.3}}}],
+        "insufficient_data": [{"name": "g"}], "not_recommended": [{"reason": "x"}]}}
+    rows = [(1, "```json\n" + json.dumps(answer) + "\n```", 5), (2, "no", 5), (3, None, 5), (4, "{}", 5)]
+    got = answer_tables.company_lists(spark.createDataFrame(rows, "id int, answer string, list int"), "id", "answer")
+    assert sorted(tuple(r) for r in got.collect() if r["list"] == "target") == [
+        (1, "target", 0, "Unknown", 0.95, "Tier 2", "layoffs"), (1, "target", 1, "b", 0.8, "Tier 1", None),
+        (1, "target", 2, "a", 0.6, "Tier 2", None), (1, "target", 3, "e", 0.6, "Tier 2", None),
+        (1, "target", 4, "f", 0.3, "Not Recommended", None)]
+    assert sorted((r["list"], r.place, r.name, r.note) for r in got.collect() if r["list"] != "target") == [
+        ("insufficient", 0, "d", None), ("insufficient", 1, "g", None),
+        ("not_recommended", 0, "c", "q" * 50), ("not_recommended", 1, "Unknown", None)]
+
+
+@pytest.mark.parametrize("answer, want", [
+    ("x\nSources:\n- https://a.b/c\n  • d \nhttp://e\nplain\n- \nEvidence: y\n- z", ["https://a.b/c", "d", "http://e"]),
+    ("SOURCES:", []), ("- https://a", []), ("", []), (None, []), ("sources: x\n- - q\nnote: r\n- s", ["q", "s"])])
+def test_cited_sources(spark, answer, want):
+    df = spark.createDataFrame([(answer,)], "a string")
+    assert df.select(answer_tables.cited_sources(F.col("a"))).first()[0] == want
+
+
+@pytest.mark.parametrize("answer, want", [
+    ('so {"verification_result": "TRUE", "sources": ["a, b", "c"]}', ["a, b", "c"]),
+    ('{"verification_result": "TRUE", "sources": ["a", "b', ["a", "b"]),
+    ('{"verification_result": "TRUE", "x": {}, "sources": [ "a" , "" ]', ["a"]), ('{"verification_result": "TRUE"}', None),
+    ("nothing", None), (None, None)])
+def test_claim_sources(spark, answer, want):
+    got = spark.createDataFrame([(answer,)], "a string").select(answer_tables.claim_sources(F.col("a"))).first()[0]
+    assert got == want
+
+
+def test_chinese_texts(spark):
+    texts = ["中文简历", "a resume", "", None, " \n", "abcdefghi 中", "abcdefgh 中", "仮名かな𠀀"]
+    want = [t is not None and bool(t.strip()) and sum("一" <= c <= "鿿" for c in t) / len("".join(t.split())) > 0.1 for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.c for r in df.select("i", answer_tables.is_chinese(F.col("t")).alias("c")).orderBy("i").collect()] == want
