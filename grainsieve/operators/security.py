@@ -187,6 +187,10 @@ STUCK_CUTS = [r"https?://[^\s]+|www.[a-z!$-_]+", r"\.pdf(?=\n?\z)", r"\w++\.bat"
 STUCK_SPLIT = r"[⁃>#%-.—,–!?;:\s|_/=\\@()\[\].*?]\s*"
 
 
+#: Letters that a piece must have more of, at least.
+STUCK_LENGTH = 45
+
+
 def stuck_candidates(content: Column) -> Column:
     """Mostly Latin pieces longer than 45 characters that are no SHA-256."""
     rest = content
@@ -195,7 +199,7 @@ def stuck_candidates(content: Column) -> Column:
     edge = T.char_class(X.ASCII_PUNCTUATION)
     pieces = F.transform(F.split(rest, T.java(STUCK_SPLIT), -1),
                          lambda x: F.regexp_replace(x, f"^{edge}+|{edge}+\\z", ""))
-    return F.filter(pieces, lambda x: (F.length(x) > 45)
+    return F.filter(pieces, lambda x: (F.length(x) > STUCK_LENGTH)
                     & ~F.rlike(x, F.lit(r"\A[A-Fa-f0-9]{64}\z"))
                     & (F.regexp_count(x, F.lit("[A-Za-z]")) / F.length(x) > 0.5))
 
@@ -231,10 +235,15 @@ def segmenter(words: tuple[str, ...]):
 @rule("RuleWordStuck", "QUALITY_BAD_FLUENCY", ("text_base_all", "llm_base", "multi_lan_ar", "multi_lan_ko",
       "multi_lan_ru", "multi_lan_th", "multi_lan_vi", "multi_lan_cs", "multi_lan_hu", "multi_lan_sr"))
 def word_stuck(f, cfg):
+    """The first long piece that words, most frequent first, cut in two or more.
+
+    A piece longer than every word of a list is always cut, so Python is asked only where the list has words as long as that. Without a list
+    no word is taken to be so long.
+    """
     words = tuple(cfg.option("words", ()))
-    if not words:
-        raise ValueError("RuleWordStuck needs a list of words, most frequent first, as its setting words")
     pieces = f.column("stuck_pieces", 2, lambda f_: stuck_candidates(f_.content))
-    hit = f.column("stuck_hit", 3, lambda f_: segmenter(words)(pieces))
+    if max(map(len, words), default=0) <= STUCK_LENGTH:
+        hit = f.column("stuck_hit", 3, lambda f_: F.get(pieces, F.lit(0)))
+    else:
+        hit = f.column("stuck_hit", 3, lambda f_: segmenter(words)(pieces))
     return Verdict(hit.isNotNull(), strings(hit))
-

@@ -1,5 +1,8 @@
 """Single rules on literal inputs, boundaries included."""
 
+import math
+import random
+
 import pytest
 
 from grainsieve import Check, Retention, evaluate
@@ -93,3 +96,27 @@ def test_two_groups_keep_their_own_settings(spark):
     v = evaluate(df, [Check.of({"content": "text"}, [{"name": "RuleCharNumber", "config": {"threshold": 10}}, "RuleCharNumber"])],
                  Retention(all_labels=True)).collect()[0]
     assert [d.status for d in v.eval_details["text"]] == [False, True]
+
+
+def cut(s, words):
+    """Fewest parts of the cheapest cut into listed words and unlisted signs, by trying every end in turn."""
+    cost = {w: math.log((i + 1) * math.log(max(len(words), 2))) for i, w in enumerate(words)}
+    best = [(0.0, 0)]
+    for i in range(1, len(s) + 1):
+        best.append(min((best[j][0] + cost.get(s[j:i], 9e9 * (i - j)), best[j][1] + 1) for j in range(max(0, i - max(map(len, words))), i)))
+    return best[-1][1]
+
+
+@pytest.mark.parametrize("longest", [1, 4, 45, 60])
+def test_stuck_words_are_those_that_a_list_cuts(spark, longest):
+    rng = random.Random(longest)
+    make = lambda n: "".join(rng.choice("agks") for _ in range(n))
+    words = list(dict.fromkeys([make(longest), *(make(rng.randint(1, longest)) for _ in range(30))]))
+    pieces = [make(rng.randint(40, 70)) for _ in range(60)] + [w for w in words if len(w) > 40] + [words[0] + make(3), "a" * 46, "0123456789" * 5, ""]
+    df = spark.createDataFrame(list(enumerate(pieces)) + [(len(pieces), None)], "i int, text string")
+    got = verdicts_of(df, Check.of({"content": "text"}, ["RuleWordStuck"], RuleWordStuck={"words": words}), ["i"])
+    want = {i: len(p) > 45 and p.isalpha() and cut(p, words) > 1 for i, p in enumerate(pieces)} | {len(pieces): False}
+    assert {r.i: r.status for r in got.collect()} == want and sum(want.values()) > 20
+    if longest <= 45:
+        none = verdicts_of(df, Check.of({"content": "text"}, ["RuleWordStuck"]), ["i"])
+        assert sorted(none.collect()) == sorted(got.collect()) and "Python" not in none._jdf.queryExecution().executedPlan().toString()
