@@ -57,4 +57,6 @@ def write_summary(verdicts: DataFrame, path: str, mode: str = "error", **names)
 def read_results(spark, path: str, bad: bool, raw: bool = False, fmt: str = "json") -> DataFrame:
     """Records written by label, bad or good ones."""
     status = "record.result.eval_status" if raw else f"record.{STATUS}"
-    return spark.read.format(fmt).load(f"{path}/by_label").where(F.col(status) == F.lit(bad))
+    found = spark.read.format(fmt).load(f"{path}/by_label").where(F.col(status) == F.lit(bad))
+    # a folder for an empty name reads as null
+    return found.withColumn("label_name", F.coalesce(F.col("label_name").cast("string"), F.lit("")))

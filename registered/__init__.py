@@ -35,4 +35,4 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def load() -> None:
-    from . import groups, judges, relations, rules, tables  # noqa: F401
+    from . import files, groups, judges, relations, rules, tables  # noqa: F401
