@@ -6,7 +6,7 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as ty
 
 from .. import schema
 from ..functions import fixed as X
@@ -87,6 +87,13 @@ def numbered_contexts(contexts: Column) -> Column:
         F.lit("Context "), (i + 1).cast("string"), F.lit(":\n"), c)), "\n\n")
 
 
+def _shown(df: DataFrame, name: str) -> Column:
+    """A mapped column as prompts show it; lists of texts are numbered."""
+    kind = df.select(F.col(name)).schema[0].dataType
+    texts = isinstance(kind, ty.ArrayType) and isinstance(kind.elementType, ty.StringType)
+    return numbered_contexts(F.col(name)) if texts else F.col(name)
+
+
 def ask(scorer, tries: int = 3, pause: float = 1.0):
     """Arrow function around a user's scorer: struct(answer, error).
 
@@ -129,7 +136,7 @@ def attach_responses(df: DataFrame, judged, *, id_col, responses, scorer) -> Dat
         answers = {}
         for n, (check, ev, j) in enumerate(judged):
             template = ev.config.option("prompt", PROMPTS.get(j.name, j.prompt))
-            fields = {k: F.col(v) for k, v in check.fields.items()}
+            fields = {k: _shown(df, v) for k, v in check.fields.items()}
             answers[f"__answer{n}"] = call(prompts(template, fields))
     else:
         raise ValueError("judges need stored responses or a scorer")

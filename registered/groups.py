@@ -34,6 +34,17 @@ def group_img(spark, sf):
     return _names(flags(images, [Check.group({"image": "image", "score": "score"}, "img")], ["p_partkey"]), "p_partkey")
 
 
+@query("rule_image_scores", """
+SELECT p_partkey, concat_ws('|', CASE WHEN p_size % 7 > 0 AND p_size / 10.0 < 5.5 THEN 'RuleImageQuality' END,
+  CASE WHEN p_size % 7 > 0 AND p_size / 10.0 < 0.17 THEN 'RuleImageTextSimilarity' END,
+  CASE WHEN p_size % 7 > 0 AND p_size / 10.0 < 4 THEN 'RuleImageArtimuse' END) AS failed, 3 AS members FROM part""")
+def rule_image_scores(spark, sf):
+    """Rules on the score of an outside model, one with a threshold of the user's; every seventh has no score."""
+    p = table(spark, sf, "part").selectExpr("p_partkey", "CASE WHEN p_size % 7 > 0 THEN p_size / 10D END AS score")
+    names = ["RuleImageQuality", "RuleImageTextSimilarity", "RuleImageArtimuse"]
+    return _names(flags(p, [Check.of({"score": "score"}, names, RuleImageArtimuse={"threshold": 4.0})], ["p_partkey"]), "p_partkey")
+
+
 _digit = lambda i: f"CAST(substr(n, {i}, 1) AS INT)"
 _thirteen = " + ".join(f"{_digit(i + 1)} * {1 if i % 2 == 0 else 3}" for i in range(13))
 _ten = " + ".join(f"{_digit(i + 1)} * {10 - i}" for i in range(10))

@@ -137,3 +137,11 @@ def test_chinese_texts(spark):
     want = [t is not None and bool(t.strip()) and sum("一" <= c <= "鿿" for c in t) / len("".join(t.split())) > 0.1 for t in texts]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [r.c for r in df.select("i", answer_tables.is_chinese(F.col("t")).alias("c")).orderBy("i").collect()] == want
+
+
+def test_lists_of_texts_are_numbered_in_prompts(spark):
+    df = spark.createDataFrame([(1, ["a", "b"], "q"), (2, [], None), (3, None, "q")], "id int, contexts array<string>, question string")
+    check = Check.of({"content": "contexts", "prompt": "question"}, [{"name": "LLMLongVideoQa", "config": {"prompt": "{prompt}: {content}"}}])
+    v = evaluate(df, [check], Retention(all_labels=True), id_col="id", scorer=lambda prompts: prompts)
+    got = {r.id: list(r.eval_details.values())[0][0].reason for r in v.collect()}
+    assert got == {1: ["q: Context 1:\na\n\nContext 2:\nb"], 2: [": "], 3: ["q: "]}
