@@ -12,6 +12,10 @@ from ..operators import load_all
 from .evaluate import Check, Retention, evaluate
 
 
+#: Files by a path of any file system that Spark reads, tables handed in, and queries.
+SOURCES = ("local", "s3", "spark", "sql")
+
+
 @dataclass(frozen=True)
 class JobSpec:
     """The job file's keys: task_name, input_path, output_path, dataset, executor, evaluator."""
@@ -33,7 +37,10 @@ class JobSpec:
     def of(spec: str | dict) -> "JobSpec":
         d = json.loads(spec) if isinstance(spec, str) else spec
         data, run = d.get("dataset", {}), d.get("executor", {})
-        fmt = data.get("format", "jsonl")
+        source = data.get("source", "local")
+        if source not in SOURCES:
+            raise ValueError(f"unsupported source: {source}")
+        fmt = "sql" if source == "sql" else data.get("format", "jsonl")
         options = dict(data.get(f"{fmt}_config", {}))
         options.pop("batch_size", None)
         return JobSpec(

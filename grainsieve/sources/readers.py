@@ -80,11 +80,46 @@ def read_parquet(spark, path, columns: list[str] | None = None, recursive=False)
     return df.select(*columns) if columns else df
 
 
+#: Addresses by dialect; databases named otherwise are addressed like the last ones.
+JDBC_URLS = {
+    "sqlite": "jdbc:sqlite:{database}", "oracle": "jdbc:oracle:thin:@//{at}/{database}",
+    "mssql": "jdbc:sqlserver://{at};databaseName={database}", "postgres": "jdbc:postgresql://{at}/{database}",
+}
+
+
+def jdbc_options(query: str, dialect: str = "", database: str = "", username: str = "", password: str = "", host: str = "", port="",
+                 driver: str = "", connect_args: str = "", partition_column: str | None = None, lower_bound=None, upper_bound=None,
+                 num_partitions: int | None = None) -> dict[str, str]:
+    """Options of Spark's JDBC reader for a job's sql_config.
+
+    With a partition column and its bounds, so many tasks read a range each (rows beyond the bounds fall to the first and last); without, one task reads
+    all. `driver` is passed on if it is the name of a class.
+    """
+    if not dialect or not database:
+        raise ValueError("a database needs dialect and database")
+    kind = dialect.lower()
+    if kind != "sqlite" and not (username and host):
+        raise ValueError(f"{dialect} needs username and host")
+    url = JDBC_URLS.get(kind, "jdbc:" + kind + "://{at}/{database}").format(at=f"{host}:{port}" if port else host, database=database)
+    if connect_args:
+        url += connect_args if connect_args[0] in "?;" else f"?{connect_args}"
+    ranges = {"partitionColumn": partition_column, "lowerBound": lower_bound, "upperBound": upper_bound, "numPartitions": num_partitions}
+    given = [k for k, v in ranges.items() if v is not None]
+    if given and len(given) < 4:
+        raise ValueError(f"reading by ranges needs {sorted(set(ranges) - set(given))} too")
+    # Spark takes ranges of tables only
+    what = {"dbtable": f"({query}) q", **{k: str(v) for k, v in ranges.items()}} if given else {"query": query}
+    known = {"user": username, "password": password, "driver": driver if "." in driver else ""}
+    return {"url": url, **what, **{k: v for k, v in known.items() if v}}
+
+
 def read_sql(spark, query: str, url: str | None = None, **options) -> DataFrame:
-    """A query against a database, or against registered views if no url is given."""
-    if url is None:
-        return spark.sql(query)
-    return spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
+    """A query against a database, by its address or by the keys of `jdbc_options`; against registered views if neither is given."""
+    if url is not None:
+        return spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
+    if options:
+        return spark.read.format("jdbc").options(**jdbc_options(query, **options)).load()
+    return spark.sql(query)
 
 
 def read_images(spark, path, recursive=True) -> DataFrame:
