@@ -5,6 +5,7 @@ import io
 import json
 import random
 import struct
+import time
 import wave
 import zlib
 
@@ -197,6 +198,18 @@ def test_chunks(spark):
     assert [r.chunk for r in rows] == ["aaaaaaaaa.", "bbbbbbbbbbb", "b"]
 
 
+def test_long_texts_are_cut_in_linear_time(spark):
+    text = "".join(f"word{i}" + ("." if i % 90 == 0 else " ") for i in range(400_000))  # 4 million characters, some 4000 pieces
+    df = spark.createDataFrame([(text,), (None,), ("",), ("é" * 9 + "。" + "\n\n" * 4,)], "t string")
+    begun = time.monotonic()
+    rows = df.select("t", F.inline(R.text_chunks(F.col("t"), 1000))).where("length(t) > 1000").select("chunk_no", "chunk", "start_pos", "end_pos").collect()
+    assert time.monotonic() - begun < 60
+    assert "".join(r.chunk for r in rows) == text and [r.chunk_no for r in rows] == list(range(len(rows)))
+    assert all(r.chunk == text[r.start_pos:r.end_pos] for r in rows) and all(r.chunk.endswith(".") for r in rows[:-1] if "." in r.chunk[800:])
+    small = df.where("t is null or length(t) < 1000").select(F.inline(R.text_chunks(F.col("t"), 10))).collect()
+    assert [tuple(r) for r in small] == [(0, "", 0, 0)] * 2 + [(0, "é" * 9 + "。", 0, 10), (1, "\n" * 8, 10, 20)]
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(30, 48))
