@@ -3,7 +3,8 @@
 Codes at most `distance` bits apart agree under one mask at least of a family that is made for that distance, so equal masked
 codes find all close pairs; codes farther apart agree under none most often. A family with longer masks has more of them and
 lets fewer far pairs through, and the number of codes decides which one is taken: candidates grow in step with the table,
-not with its square.
+not with its square. A code costs a row for each mask, though, and crowds of like codes meet under many of them: up to TILED
+records, `partners` compares all codes in tiles, which cost less and emit no pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from .scores import cosine
 BITS = 64
 #: Masks of a family, at most; far codes that a code may meet by chance, for each mask.
 MASKS, FAR = 4096, 0.25
+#: Records up to which all are compared, in tiles of two groups; rows of a group, from at least to at most; groups, at least, of
+#: tables of so many rows; rows of a step of one group and of the other.
+TILED, GROUP_LEAST, GROUP_MOST, GROUPS, STEP = 1 << 22, 1024, 32768, 16, (128, 4096)
 #: Different vectors of one code beyond which they are compared in blocks, and the rows of a block.
 CROWD, BLOCK = 64, 512
 
@@ -155,18 +159,98 @@ def _matched(met: DataFrame, likeness: float) -> DataFrame:
     return met.groupBy("a", "b", "i", "j").applyInPandas(block, f"rep {kind}, partner {kind}, partners long")
 
 
-def partners(df: DataFrame, key: str, code: str, vec: str, distance: int = 10, likeness: float = 0.97) -> DataFrame:
-    """key, copies, partner, partners, rep for every record: how many records are identical to it (itself included), the lowest
-    key of those that are close in code and alike in vector without being identical, how many different ones there are, and
-    the lowest key of the identical ones. partner is null and partners 0 where there is none.
-
-    Identical records are folded first. Records of one code are compared by expressions while it has few different
-    vectors, and in blocks of rows beyond, which emit no pairs. Null codes and vectors have no partners; identical ones are
-    copies all the same. Keys must be comparable; other columns stay behind.
+def _exact(a: np.ndarray, b: np.ndarray, likeness: float) -> np.ndarray:
+    """Whether rows are alike, with the sums in the order of `cosine`; as there, no number is above all numbers."""
+    def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        s = np.zeros(len(x))
+        for k in range(x.shape[1]):
+            s = s + x[:, k] * y[:, k]
+        return s
+
+    with np.errstate(all="ignore"):
+        under = np.sqrt(dot(a, a) * dot(b, b))
+        c = dot(a, b) / under
+    return (under != 0) & ((c >= likeness) | np.isnan(c))
+
+
+def _tile(l: dict, r: dict, distance: int, likeness: float, same: bool):  # noqa: E741
+    """(rows, lowest partner, partners) of `l` and of `r`, whose vectors are of one length; of `l` alone if they are the same."""
+    units = []
+    with np.errstate(all="ignore"):
+        for x in (l["vec"], r["vec"]):
+            norm = np.sqrt((x * x).sum(1))
+            plain = (norm > 1e-70) & (norm < 1e70)
+            units.append(np.where(plain, 1 / norm, np.nan)[:, None] * x)
+    found = []
+    for side in (l, r):
+        found.append((np.full(len(side["no"]), np.iinfo(np.int64).max), np.zeros(len(side["no"]), np.int64)))
+    for i in range(0, len(l["no"]), STEP[0]):
+        for j in range(0, len(r["no"]), STEP[1]):
+            rows, cols = slice(i, i + STEP[0]), slice(j, j + STEP[1])
+            at, to = np.nonzero(np.bitwise_count(l["code"][rows, None] ^ r["code"][None, cols]) <= distance)
+            at, to = at + i, to + j
+            differ = l["no"][at] != r["no"][to]
+            at, to = at[differ], to[differ]
+            if not len(at):
+                continue
+            if len(at) * 16 > STEP[0] * STEP[1]:
+                c = (units[0][rows] @ units[1][cols].T)[at - i, to - j]
+            else:
+                c = np.einsum("ij,ij->i", units[0][at], units[1][to])
+            alike = c >= likeness
+            unsure = np.flatnonzero(~(np.abs(c - likeness) > 1e-9))  # within rounding of the threshold, or no number
+            alike[unsure] = _exact(l["vec"][at[unsure]], r["vec"][to[unsure]], likeness)
+            at, to = at[alike], to[alike]
+            for k, own, other in ((0, at, r["no"][to]),) if same else ((0, at, r["no"][to]), (1, to, l["no"][at])):
+                np.minimum.at(found[k][0], own, other)
+                found[k][1][:] += np.bincount(own, minlength=len(found[k][1]))
+    return found
+
+
+def _tiled(usable: DataFrame, n: int, longest: int, distance: int, likeness: float) -> DataFrame:
+    """rep, partner, partners of the records that have any, by comparing each pair of groups of records in a task of its own.
+
+    Records are dealt into groups by a hash. Codes are compared first, vectors of close codes only. A task returns the lowest
+    partner and their number for each record, whatever the number of pairs. Keys are numbered in their order, so that tasks
+    compare numbers; records of one key are no partners of each other and are counted together.
+    """
+    reps = written(usable.select("rep").distinct().orderBy("rep").withColumn("no", F.monotonically_increasing_id()), "imagekeys")
+    most = max(GROUP_LEAST, GROUP_MOST * 64 // max(64, longest))  # long vectors fill a task with fewer rows
+    groups = max(1, -(-n // most), min(GROUPS, n // GROUP_LEAST))
+    dealt = usable.join(reps, "rep").select("no", "code", "vec", F.pmod(F.xxhash64("code", "vec"), F.lit(groups)).cast("int").alias("own"))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda other: F.struct(
+        F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))
+    met = dealt.select("*", F.inline(pairs))
+
+    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"no": [], "least": [], "partners": []}, dtype=np.int64)]
+        first, second = key
+        long = pdf["vec"].map(len).to_numpy()
+        for size in np.unique(long[long > 0]):  # vectors of different lengths are not alike, nor are empty ones
+            sides = []
+            for own in {first: 0, second: 0}:
+                p = pdf[(long == size) & (pdf["own"] == own).to_numpy()]
+                sides.append({"no": p["no"].to_numpy(), "code": p["code"].to_numpy().astype(np.int64).view(np.uint64),
+                              "vec": np.array(p["vec"].tolist(), float).reshape(len(p), size)})
+            found = _tile(sides[0], sides[-1], distance, likeness, len(sides) == 1)
+            for side, (low, many) in zip(sides, found):
+                some = many > 0
+                out.append(pd.DataFrame({"no": side["no"][some], "least": low[some], "partners": many[some]}))
+        return pd.concat(out)
+
+    # a partition for each tile or so: AQE would put small ones together, and it is their time that counts
+    told = met.repartition(groups * (groups + 1) // 2, "i", "j").groupBy("i", "j").applyInPandas(tile, "no long, least long, partners long")
+    least = written(told.groupBy("no").agg(F.min("least").alias("least"), F.sum("partners").alias("partners")), "imagepartners")
+    named = least.join(reps.select(F.col("no").alias("least"), F.col("rep").alias("partner")), "least")
+    return named.join(reps, "no").select("rep", "partner", "partners")
+
+
+def _joined(usable: DataFrame, distance: int, likeness: float) -> DataFrame:
+    """The same by a join of the codes under masks, for tables of more records than all can be compared of.
+
+    Records of one code are compared by expressions while it has few different vectors, and in blocks of rows beyond, which
+    emit no pairs.
     """
-    df = df.select(F.col(key).alias("key"), F.col(code).alias("code"), F.col(vec).alias("vec"))
-    once = written(df.groupBy("code", "vec").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")), "images")
-    usable = once.where("code is not null and vec is not null").select("code", "vec", "rep")
     sizes = usable.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     pairs = close_codes(usable, distance).unionByName(sizes.where("n > 1").select(F.col("code").alias("a"), F.col("code").alias("b")))
     pairs = written(pairs.join(sizes.select(F.col("code").alias("a"), F.col("n").alias("n_a")), "a").join(
@@ -181,6 +265,25 @@ def partners(df: DataFrame, key: str, code: str, vec: str, distance: int = 10, l
     if pairs.where(~few).head(1):
         found = found.unionByName(_crowds(pairs.where(~few), usable, likeness)).groupBy("rep").agg(
             F.min("partner").alias("partner"), F.sum("partners").alias("partners"))
+    return found
+
+
+def partners(df: DataFrame, key: str, code: str, vec: str, distance: int = 10, likeness: float = 0.97) -> DataFrame:
+    """key, copies, partner, partners, rep for every record: how many records are identical to it (itself included), the lowest
+    key of those that are close in code and alike in vector without being identical, how many different ones there are, and
+    the lowest key of the identical ones. partner is null and partners 0 where there is none.
+
+    Identical records are folded first. Up to TILED different ones are compared in tiles, more are joined by their codes. Null
+    codes and vectors, and vectors that hold null, have no partners; identical ones are copies all the same. Keys must be
+    comparable; other columns stay behind.
+    """
+    if not 0 <= distance < BITS:
+        raise ValueError(f"distance must be between 0 and {BITS - 1}")
+    df = df.select(F.col(key).alias("key"), F.col(code).alias("code"), F.col(vec).alias("vec"))
+    once = written(df.groupBy("code", "vec").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")), "images")
+    usable = once.where("code is not null and vec is not null and rep is not null").where(~F.exists("vec", F.isnull)).select("code", "vec", "rep")
+    n, longest = usable.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    found = _tiled(usable, n, longest, distance, likeness) if n <= TILED else _joined(usable, distance, likeness)
     told = once.join(found, "rep", "left").select(
         F.col("code").alias("c"), F.col("vec").alias("v"), "rep", "copies", "partner", F.coalesce("partners", F.lit(0)).alias("partners"))
     return df.join(told, df["code"].eqNullSafe(F.col("c")) & df["vec"].eqNullSafe(F.col("v"))).select(

@@ -272,6 +272,45 @@ def test_partners_of_crowds_and_odd_rows(spark, monkeypatch):
     assert ratio.images == len(rows) and ratio.duplicates == sum(w[1] > 1 or w[3] > 0 for w in want)
 
 
+@pytest.mark.parametrize("tiled", [0, 1 << 22])
+def test_partners_in_tiles_equal_those_of_the_join(spark, monkeypatch, tiled):
+    """Both ways, over several groups: keys that repeat, keys that are texts, null keys, vectors of other lengths and odd numbers."""
+    for name, value in (("TILED", tiled), ("GROUP_LEAST", 20), ("GROUP_MOST", 40), ("STEP", (8, 16))):
+        monkeypatch.setattr(duplicates, name, value)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(4, 6))
+    rows = [(None if i % 31 == 0 else f"k{i % 97}", int(rng.integers(0, 16)) * (-1) ** i, [float(x) for x in base[i % 4] + rng.normal(size=6) * 0.2]) for i in range(150)]
+    rows += [("a", 1, [1.0, 0.0]), ("b", 1, [2.0, 0.0]), ("c", 1, []), ("d", 1, [0.0] * 6), ("e", 1, [None] + [1.0] * 5), ("f", 3, [float("nan")] * 6)]
+    df = spark.createDataFrame(rows, "id string, code long, vec array<double>")
+    once = {}
+    for k, c, v in rows:
+        once.setdefault((c, str(v)), [[], c, v])[0].append(k)
+    recs = [(min((k for k in ks if k is not None), default=None), len(ks), c, v, ks) for ks, c, v in once.values()]
+
+    def alike(v, w):
+        if len(v) != len(w) or None in v or None in w:
+            return False
+        under = (sum(x * x for x in v) * sum(x * x for x in w)) ** 0.5
+        return under != 0 and not sum(x * y for x, y in zip(v, w)) / under < 0.95
+
+    near = {}
+    for rep, _, c, v, _ in recs:
+        near.setdefault(rep, []).extend(o[0] for o in recs if None not in (rep, o[0]) and rep != o[0]
+                                        and ((c ^ o[2]) & (2 ** 64 - 1)).bit_count() <= 2 and alike(v, o[3]))
+    want = sorted((str((k, n, min(near[rep], default=None), len(near[rep]), rep)) for rep, n, _, _, ks in recs for k in ks))
+    got = sorted(str(tuple(r)) for r in duplicates.partners(df, "id", "code", "vec", 2, 0.95).collect())
+    assert got == want and any(near.values())
+
+
+def test_many_images_meet_without_a_row_for_each_mask(spark):
+    """30,000 different codes in 100 crowds: under masks each record was a row for each of 2047 masks, and each crowd met under many."""
+    e = spark.range(30_000).selectExpr("id", "xxhash64(id % 100) ^ shiftleft(id div 100, 8) as code", "array(1D, id % 100) as vec")
+    begun = time.monotonic()
+    found = duplicates.partners(e, "id", "code", "vec", 10, 0.9).agg(F.min("partners"), F.max("partner")).first()
+    assert time.monotonic() - begun < 60
+    assert found[0] >= 299 and found[1] < 200  # nine bits differ at most within a crowd, of 300 each
+
+
 def test_pixel_hashes_stand_small_changes(spark):
     rng = np.random.default_rng(4)
     small = rng.integers(0, 256, (8, 8))
