@@ -2,11 +2,12 @@
 
 import hashlib
 import random
-import time
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grainsieve.llm import extract, pii, queries, secrets
 
@@ -241,3 +242,19 @@ def test_page_query_on_a_table(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (None, None, PAGE, "y")], "page_id long, url string, html string, text string")
     assert sorted(r.n_chars for r in extract.extract(df).collect())[0] == 0
     assert extract.extract(df.limit(0)).collect() == []
+
+
+def test_secrets_are_learnt_from_all_examples(spark):
+    rng = random.Random(12)
+    rows = [(i, f"note {i}: secret = " + "".join(rng.choices("abcdef0123456789ABCXYZ", k=24))) for i in range(60)]
+    rows += [(100 + i, f"line {i} " + "".join(rng.choices("etaoinshrdlu", k=14)) + " end") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = [(r[0], secrets.windows(r[1], *secrets.candidates(r[1], [])[-1][:2])[0], 14) for r in rows[60:]]
+    order = [r.id for r in spark.createDataFrame(made, "id long, window string, inside int").orderBy(F.xxhash64("window", "inside")).collect()]
+    every = secrets.fit(docs, most=20)
+    part = secrets.fit(docs.where(~F.col("doc_id").isin(order[120:])), most=20)  # none of these is among the first 20
+    again = secrets.fit(docs.repartition(5), most=20)
+    assert not np.allclose(every.conv, part.conv)
+    assert (every.conv == again.conv).all() and every.threshold == again.threshold <= 1
+    windows = [w for _, t in rows[:60] for a, b, known, _ in secrets.candidates(t, secrets.base_spans(t)) if known for w in secrets.windows(t, a, b)]
+    assert np.mean(every.probability(secrets.coded(windows)) >= every.threshold) > 0.9
