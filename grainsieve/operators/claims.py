@@ -16,26 +16,35 @@ from ..sources.shared import written
 
 #: Letters of a piece: of short claims, and of those whose inner part has LONG letters or more.
 SHORT_PIECE, PIECE, LONG = 4, 12, 24
+#: Letters of claims of one length looked at together.
+LETTERS = 1 << 18
 #: Two claims are alike if their lengths differ by less than this share of the longer one.
 SLACK = 0.2
 
 
 def _piece_hashes(points: np.ndarray, size: int) -> np.ndarray:
-    """A number for each run of `size` letters; equal runs have equal ones."""
-    h = np.zeros(max(0, len(points) - size + 1), np.uint64)
-    for i in range(size):
-        h = (h ^ points[i:i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h ^ np.uint64(size)
+    """A number for each run of `size` letters of each row, by doubling; equal runs have equal ones."""
+
+    def both(first, then):
+        h = (first * np.uint64(0x9E3779B97F4A7C15) + then) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+    n, step, out = max(0, points.shape[1] - size + 1), 1, points
+    if not n:
+        return np.zeros((len(points), 0), np.uint64)
+    while 2 * step <= size:
+        out = both(out[:, :-step], out[:, step:])
+        step *= 2
+    return both(out[:, :n], out[:, size - step:size - step + n]) ^ np.uint64(size)
 
 
 def _lowest(h: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` numbers in a row, by doubling."""
-    n, step, out = len(h) - width + 1, 1, h
+    n, step, out = h.shape[1] - width + 1, 1, h
     while 2 * step <= width:
-        out = np.minimum(out[:-step], out[step:])
+        out = np.minimum(out[:, :-step], out[:, step:])
         step *= 2
-    return np.minimum(out[:n], out[width - step:width - step + n])
+    return np.minimum(out[:, :n], out[:, width - step:width - step + n])
 
 
 def inner(n: int) -> tuple[int, int]:
@@ -45,33 +54,65 @@ def inner(n: int) -> tuple[int, int]:
     return gone, n - gone
 
 
-def pieces(text: str) -> tuple[int, list[int]]:
-    """The piece by which a claim asks for those that it holds, and those by which a claim is found by the ones that hold it.
+def _row_pieces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The piece by which each claim asks for those that it holds, and those by which it is found by the ones that hold it, in order
+    and with repeats. A row holds the letters of a claim; all are of one length.
 
     The first is the least piece of the inner part. A claim that lies in a longer one holds that inner part, which is no
     shorter than three fifths of it, so the least piece of it is the least of some window of that length.
     """
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(points)
+    n = points.shape[1]
     start, stop = inner(n)
     size = PIECE if stop - start >= LONG else SHORT_PIECE
-    ask = _piece_hashes(points[start:stop], size).min(initial=np.uint64(0) if stop - start < size else ~np.uint64(0))
+    hashes = {k: _piece_hashes(points, k) for k in (SHORT_PIECE, PIECE) if k == size or n < 2 * LONG}
+    ask = hashes[size][:, start:max(start, stop - size + 1)].min(axis=1, initial=np.uint64(0) if stop - start < size else ~np.uint64(0))
     least = max(SHORT_PIECE, int(np.ceil(3 * n / 5)))  # letters of the inner part of a claim that holds this one, at least
     longest = int(n / (1 - SLACK)) + 2  # letters of such a claim, at most
-    found = []
+    found = [np.zeros((len(points), 0), np.uint64)]
     if least < LONG and n >= SHORT_PIECE:
-        found.append(_lowest(_piece_hashes(points, SHORT_PIECE), min(least, n) - SHORT_PIECE + 1))
+        found.append(_lowest(hashes[SHORT_PIECE], min(least, n) - SHORT_PIECE + 1))
     if longest >= LONG and n >= PIECE:
         width = max(least, LONG)
         if width <= n:
-            found.append(_lowest(_piece_hashes(points, PIECE), width - PIECE + 1))
-    return int(ask.view(np.int64)), np.unique(np.concatenate([np.zeros(0, np.uint64), *found])).view(np.int64).tolist()
+            found.append(_lowest(hashes[PIECE], width - PIECE + 1))
+    return ask, np.sort(np.concatenate(found, axis=1), axis=1)
+
+
+def pieces_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the piece it asks by, how many it is found by, and the latter one after another. Texts of one length go
+    together, up to LETTERS letters at a time."""
+    texts = [t or "" for t in texts]
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.cumsum(lengths) - lengths
+    ask, many = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
+    rows, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    order = np.argsort(lengths, kind="stable")
+    for same in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
+        n = int(lengths[same[0]])
+        for at in range(0, len(same), step := max(1, LETTERS // max(n, 1))):
+            part = same[at:at + step]
+            ask[part], found = _row_pieces(letters[starts[part][:, None] + np.arange(n)].astype(np.uint64))
+            new = np.ones(found.shape, bool)
+            new[:, 1:] = found[:, 1:] != found[:, :-1]
+            many[part] = new.sum(axis=1)
+            rows.append(np.repeat(part, many[part]))
+            values.append(found[new])
+    # groups are in order of length: back to the order of the texts, those of a text staying as they are
+    return ask, many, np.concatenate(values)[np.argsort(np.concatenate(rows), kind="stable")]
+
+
+def pieces(text: str) -> tuple[int, list[int]]:
+    """The piece by which a claim asks, and those by which it is found."""
+    ask, _, found = pieces_of([text])
+    return int(ask.view(np.int64)[0]), found.view(np.int64).tolist()
 
 
 @F.arrow_udf(ty.StructType([ty.StructField("ask", ty.LongType()), ty.StructField("found", ty.ArrayType(ty.LongType(), False))]))
 def claim_pieces(texts: pa.Array) -> pa.Array:
-    both = [pieces(t or "") for t in pc.cast(texts, pa.large_string()).to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([a for a, _ in both], pa.int64()), pa.array([f for _, f in both], pa.list_(pa.int64()))],
+    ask, many, found = pieces_of(pc.cast(texts, pa.large_string()).to_pylist())
+    ends = pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32())
+    return pa.StructArray.from_arrays([pa.array(ask.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(found.view(np.int64)))],
                                       names=["ask", "found"])
 
 
