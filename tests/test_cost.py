@@ -2,7 +2,9 @@
 
 import random
 
-from grainsieve.operators import claims as C
+from grainsieve.operators import claims as C, word_tables as W
+
+from tests.test_word_tables import brute, got
 
 
 def test_pieces_are_hashed_once_for_all_claims_of_a_length(monkeypatch):
@@ -15,3 +17,15 @@ def test_pieces_are_hashed_once_for_all_claims_of_a_length(monkeypatch):
     ends = many.cumsum()
     for i in rng.sample(range(len(texts)), 300):
         assert C.pieces(texts[i] or "") == (int(ask.view("int64")[i]), found.view("int64")[ends[i] - many[i]:ends[i]].tolist())
+
+
+def test_words_with_signs_at_their_ends_need_no_search_in_whole_texts(spark, monkeypatch):
+    def never(*args):
+        raise AssertionError("texts are searched")
+
+    words = ["est.", "(a b)", "--c", "é...", "d, e;", "f ", " g", "$h$"]
+    pool = ["est.", "est", "(a b)", "a b", "--c", "-c", "é...", "é....", "d, e;", "f ", " g", "g", "$h$", "h$", " ", ".", "x"]
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choices(pool, k=rng.randint(1, 5)))) for i in range(500)]
+    monkeypatch.setattr(W, "written", lambda df, name: df if name == "words" else never())
+    assert got(spark, texts, words) == brute(texts, words)
