@@ -1,14 +1,17 @@
 """Overlaps of label boxes, counted without a row for any pair.
 
-Equal boxes of an image are folded into one with a number. The different ones meet in cells of a grid, as in `scores.box_overlaps`;
+Images of up to IMAGE boxes are dealt whole, in order of their left borders, and swept a batch of images at a time. In larger ones equal boxes are folded into one with a number. The different ones meet in cells of a grid, as in `scores.box_overlaps`;
 cells with few of them are joined, crowded cells are dealt into blocks that meet two by two, each pair of blocks in a task of
 its own, which sweeps over the left borders and returns a count for each box.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..registry import Verdict, rule
@@ -18,6 +21,8 @@ from ..sources.shared import written
 PARTIAL, FULL = 0.1, 0.9
 #: Meetings in a cell beyond which it is dealt into blocks; different boxes of a block; boxes swept over at a time.
 MEETINGS, BLOCK, SLICE = 1 << 16, 2048, 128
+#: Boxes of an image that is swept whole.
+IMAGE = 1 << 13
 SIDES = ("x", "y", "width", "height")
 CELL = ("grid", "cx", "cy")
 
@@ -118,19 +123,58 @@ def _crowds(members: DataFrame, image: str, cell: float) -> DataFrame:
     return rows.groupBy(image, *CELL, "i", "j").applyInPandas(block, f"{kinds}, full long, partial long")
 
 
-def overlap_counts(boxes: DataFrame, image: str, box: str, cell: float = 256.0) -> DataFrame:
-    """image, box, full, partial for every row: how many other boxes of its image share 0.9 of the union and more with it, and how
-    many from 0.1 to 0.9.
+def _swept(images: np.ndarray, b: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(full, partial) of each box; boxes are in order of images, and in those of their left borders.
 
-    Rows of a false column `valid`, of no image, with a null or infinite side or without an area overlap nothing; their counts
-    are 0. Rows are boxes of their own even where keys or sides repeat. Other columns stay behind. An empty table gives none.
+    Each box meets the next one of its image, then the one after that, as long as they begin before its right border.
     """
-    ok = F.coalesce(F.col("valid"), F.lit(True)) if "valid" in boxes.columns else F.lit(True)
-    b = boxes.select(F.col(image).alias("image"), F.col(box).alias("box"), *(F.col(s).cast("double").alias(s) for s in SIDES), ok.alias("ok"))
-    finite = lambda s: F.abs(F.col(s)) < float("inf")
-    fit = F.col("ok") & F.col("image").isNotNull() & finite("x") & finite("y") & finite("width") & finite("height")
-    b = written(b.select("image", "box", *SIDES, F.coalesce(fit & (F.col("width") > 0) & (F.col("height") > 0), F.lit(False)).alias("fit")), "boxes")
-    rects = written(b.where("fit").groupBy("image", *SIDES).agg(F.count(F.lit(1)).alias("n")), "rects")
+    full, partial = np.zeros((2, len(images)), np.int64)
+    right = b["x"] + b["width"]
+    at, step = np.arange(len(images)), 1
+    while len(at):
+        at = at[:np.searchsorted(at, len(images) - step)]
+        at = at[(images[at] == images[at + step]) & (b["x"][at + step] < right[at])]
+        _, _, iou = _iou({s: v[at] for s, v in b.items()}, {s: v[at + step] for s, v in b.items()}, np.minimum, np.maximum)
+        for counts, hit in ((full, iou >= FULL), (partial, (iou >= PARTIAL) & (iou < FULL))):
+            # a box is met at most once a step on either side
+            counts[at[hit]] += 1
+            counts[at[hit] + step] += 1
+        step += 1
+    return full, partial
+
+
+def _small(boxes: DataFrame) -> DataFrame:
+    """Counts of the boxes of images that are swept whole; an image is never parted between batches."""
+    rows = boxes.withColumn("of", F.xxhash64("image")).repartition("of").sortWithinPartitions("of", "image", "x")
+    kinds = ", ".join(f"`{c}` {boxes.schema[c].dataType.simpleString()}" for c in ("image", "box"))
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        full, partial = _swept(batch["of"].to_numpy(), {s: batch[s].to_numpy() for s in SIDES})
+        return pa.RecordBatch.from_arrays([batch["image"], batch["box"], pa.array(full), pa.array(partial)], ["image", "box", "full", "partial"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            of = batch["of"].to_numpy()
+            if not len(of):
+                continue
+            if held and of[0] == of[-1] == held[-1]["of"][-1].as_py():
+                held.append(batch)
+                continue
+            # the last image may go on in the next batch
+            cut = int(np.searchsorted(of, of[-1]))
+            held.append(batch.slice(0, cut))
+            yield from map(counted, pa.Table.from_batches(held).combine_chunks().to_batches())
+            held = [batch.slice(cut)]
+        if held:
+            yield from map(counted, pa.Table.from_batches(held).combine_chunks().to_batches())
+
+    return rows.mapInArrow(run, f"{kinds}, full long, partial long")
+
+
+def _large(boxes: DataFrame, cell: float) -> DataFrame:
+    """Counts of the boxes of images of any size, by a grid."""
+    rects = written(boxes.groupBy("image", *SIDES).agg(F.count(F.lit(1)).alias("n")), "rects")
     cells = written(_cells(rects, "image", cell), "cells")
     sizes = cells.groupBy("image", *CELL).agg(F.count_if(F.expr("own = grid")).alias("n_own"), F.count(F.lit(1)).alias("n_all"))
     met = cells.join(sizes.where("n_own > 0 and n_all > 1"), ["image", *CELL])
@@ -145,10 +189,31 @@ def overlap_counts(boxes: DataFrame, image: str, box: str, cell: float = 256.0)
         F.when((F.col("alone") < FULL) & (F.col("alone") >= PARTIAL), F.col("n") - 1).otherwise(0).alias("partial"))
     total = counts.unionByName(copies).groupBy("image", *SIDES).agg(F.sum("full").alias("full"), F.sum("partial").alias("partial"))
     none = F.lit(0).cast("long")
-    told = b.where("fit").join(total, ["image", *SIDES], "left").select(
+    return boxes.join(total, ["image", *SIDES], "left").select(
         "image", "box", F.coalesce("full", none).alias("full"), F.coalesce("partial", none).alias("partial"))
-    return told.unionByName(b.where("not fit").select("image", "box", none.alias("full"), none.alias("partial"))).toDF(
-        image, box, "full", "partial")
+
+
+def overlap_counts(boxes: DataFrame, image: str, box: str, cell: float = 256.0) -> DataFrame:
+    """image, box, full, partial for every row: how many other boxes of its image share 0.9 of the union and more with it, and how
+    many from 0.1 to 0.9.
+
+    Rows of a false column `valid`, of no image, with a null or infinite side or without an area overlap nothing; their counts
+    are 0. Rows are boxes of their own even where keys or sides repeat. Other columns stay behind. An empty table gives none.
+    """
+    ok = F.coalesce(F.col("valid"), F.lit(True)) if "valid" in boxes.columns else F.lit(True)
+    b = boxes.select(F.col(image).alias("image"), F.col(box).alias("box"), *(F.col(s).cast("double").alias(s) for s in SIDES), ok.alias("ok"))
+    finite = lambda s: F.abs(F.col(s)) < float("inf")
+    fit = F.col("ok") & F.col("image").isNotNull() & finite("x") & finite("y") & finite("width") & finite("height")
+    b = written(b.select("image", "box", *SIDES, F.coalesce(fit & (F.col("width") > 0) & (F.col("height") > 0), F.lit(False)).alias("fit")), "boxes")
+    none = F.lit(0).cast("long")
+    rest = b.where("not fit").select("image", "box", none.alias("full"), none.alias("partial"))
+    fitting = b.where("fit").drop("fit")
+    crowded = written(fitting.groupBy("image").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > IMAGE).select("image"), "crowded")
+    if crowded.head(1):
+        told = _small(fitting.join(crowded, "image", "left_anti")).unionByName(_large(fitting.join(crowded, "image", "left_semi"), cell))
+    else:
+        told = _small(fitting)
+    return told.unionByName(rest).toDF(image, box, "full", "partial")
 
 
 def attribute() -> Column:

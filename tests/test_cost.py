@@ -2,8 +2,11 @@
 
 import random
 
-from grainsieve.operators import claims as C, word_tables as W
+import pytest
 
+from grainsieve.operators import boxes as B, claims as C, word_tables as W
+
+from tests.test_boxes import brute as brute_boxes, counted, stack
 from tests.test_word_tables import brute, got
 
 
@@ -29,3 +32,27 @@ def test_words_with_signs_at_their_ends_need_no_search_in_whole_texts(spark, mon
     texts = [(i, "".join(rng.choices(pool, k=rng.randint(1, 5)))) for i in range(500)]
     monkeypatch.setattr(W, "written", lambda df, name: df if name == "words" else never())
     assert got(spark, texts, words) == brute(texts, words)
+
+
+@pytest.mark.parametrize("most", [0, 120, B.IMAGE])
+def test_boxes_of_whole_images_and_of_a_grid(spark, monkeypatch, most):
+    monkeypatch.setattr(B, "IMAGE", most)
+    monkeypatch.setattr(B, "BLOCK", 50)
+    rng = random.Random(9)
+    rows = stack(rng, 330)
+    rows += [(1 + i % 30, 1000 + i, rng.uniform(0, 900), rng.uniform(0, 900), *(10 ** rng.uniform(0.5, 3.4) for _ in range(2)), None)
+             for i in range(400)]
+    rows += rows[:5] + [rows[-1]] * 3
+    assert counted(spark, rows) == brute_boxes(rows)
+
+
+def test_an_image_may_lie_in_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(B, "_large", None)
+    rng = random.Random(2)
+    rows = [(i % 7 // 3, i, rng.uniform(0, 90), rng.uniform(0, 90), 9.0, 8.0, True) for i in range(200)]
+    want = brute_boxes(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert counted(spark, rows) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
