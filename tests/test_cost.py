@@ -2,9 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
+from grainsieve.functions import repeats
 from grainsieve.operators import boxes as B, claims as C, word_tables as W
+from grainsieve.plans.evaluate import Check, flags
 
 from tests.test_boxes import brute as brute_boxes, counted, stack
 from tests.test_word_tables import brute, got
@@ -56,3 +59,27 @@ def test_an_image_may_lie_in_many_batches(spark, monkeypatch):
         assert counted(spark, rows) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_runs_that_repeat_are_found_in_all_texts_of_a_batch(monkeypatch):
+    def brute_covered(words):
+        places = {}
+        for i in range(len(words) - 5):
+            places.setdefault(tuple(words[i:i + 6]), []).append(i)
+        spots = sorted(i for found in places.values() if len(found) > 1 for i in found)
+        return sum(sum(map(len, words[p:min([p + 6, *spots[k + 1:k + 2]])])) for k, p in enumerate(spots))
+
+    rng = random.Random(1)
+    texts = [[rng.choice(["a", "bé", "𝔸c"]) for _ in range(rng.choice([0, 3, 5, 6, 7, 30, 60]))] for _ in range(500)]
+    texts += [None, [], ["x", "y"] * 100, [str(i) for i in range(99)] * 2]
+    want = [brute_covered(t or []) for t in texts]
+    for size in (1, 50, repeats.WORDS):
+        monkeypatch.setattr(repeats, "WORDS", size)
+        words = pa.array(texts, pa.list_(pa.string()))
+        assert repeats.covered(words).tolist() == want and repeats.covered(words.slice(7, 100)).tolist() == want[7:107]
+
+
+def test_words_are_not_sliced_in_the_plan(spark):
+    d = spark.createDataFrame([(1, "a b c d e f a b c d e f")], "id int, text string")
+    plan = flags(d, [Check.of({"content": "text"}, ["RuleDocRepeat"])], ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and plan.count("translate(") == 1
