@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..plans.evaluate import DETAILS, STATUS, Retention, with_result
 from ..plans.summary import summary_row
@@ -54,9 +55,17 @@ def write_summary(verdicts: DataFrame, path: str, mode: str = "error", **names)
     summary_row(verdicts, output_path=path, **names).coalesce(1).write.mode(mode).json(f"{path}/summary")
 
 
-def read_results(spark, path: str, bad: bool, raw: bool = False, fmt: str = "json") -> DataFrame:
-    """Records written by label, bad or good ones."""
+def record_type(verdicts: DataFrame, kept: Retention) -> DataType:
+    """The type of the records that `write_results` writes by label."""
+    return result_rows(verdicts, kept.raw).schema["record"].dataType
+
+
+def read_results(spark, path: str, bad: bool, raw: bool = False, fmt: str = "json", record: DataType | None = None) -> DataFrame:
+    """Records written by label, bad or good ones. Without the type of a record all files are read once more to infer it."""
     status = "record.result.eval_status" if raw else f"record.{STATUS}"
-    found = spark.read.format(fmt).load(f"{path}/by_label").where(F.col(status) == F.lit(bad))
+    reader = spark.read.format(fmt)
+    if record is not None:
+        reader = reader.schema(StructType([StructField("record", record)]))
+    found = reader.load(f"{path}/by_label").where(F.col(status) == F.lit(bad))
     # a folder for an empty name reads as null
     return found.withColumn("label_name", F.coalesce(F.col("label_name").cast("string"), F.lit("")))

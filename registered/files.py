@@ -112,17 +112,18 @@ _BY_LABEL = _ALL + """SELECT doc_id, 'text' AS field, split_part(label, '.', 1)
 
 @query("results_by_label", _BY_LABEL + "bad AND status)")
 def results_by_label(spark, sf):
-    path = _path(spark, "results")
-    writers.write_results(checked(spark, sf), path, Retention())
-    return writers.read_results(spark, path, bad=True).select("record.raw_data.doc_id", "field", "label_type", "label_name")
+    path, kept, v = _path(spark, "results"), Retention(), checked(spark, sf)
+    writers.write_results(v, path, kept)
+    return writers.read_results(spark, path, bad=True, record=writers.record_type(v, kept)).select("record.raw_data.doc_id", "field", "label_type", "label_name")
 
 
 @query("results_by_label_raw", _BY_LABEL + "bad)")
 def results_by_label_raw(spark, sf):
     """All labels, records as they came with their result."""
     path, kept = _path(spark, "resultsraw"), Retention(all_labels=True, raw=True)
-    writers.write_results(checked(spark, sf, kept=kept), path, kept)
-    return writers.read_results(spark, path, bad=True, raw=True).select("record.doc_id", "field", "label_type", "label_name")
+    v = checked(spark, sf, kept=kept)
+    writers.write_results(v, path, kept)
+    return writers.read_results(spark, path, bad=True, raw=True, record=writers.record_type(v, kept)).select("record.doc_id", "field", "label_type", "label_name")
 
 
 @query("results_merged", _ALL + "SELECT doc_id, any_value(bad) AS bad, count(*) AS verdicts FROM a JOIN r USING (doc_id) GROUP BY doc_id")

@@ -7,7 +7,8 @@ import pytest
 
 from grainsieve.functions import repeats
 from grainsieve.operators import boxes as B, claims as C, word_tables as W
-from grainsieve.plans.evaluate import Check, flags
+from grainsieve.plans.evaluate import Check, Retention, evaluate, flags
+from grainsieve.sources import writers
 
 from tests.test_boxes import brute as brute_boxes, counted, stack
 from tests.test_word_tables import brute, got
@@ -83,3 +84,16 @@ def test_words_are_not_sliced_in_the_plan(spark):
     d = spark.createDataFrame([(1, "a b c d e f a b c d e f")], "id int, text string")
     plan = flags(d, [Check.of({"content": "text"}, ["RuleDocRepeat"])], ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(" not in plan and plan.count("translate(") == 1
+
+
+@pytest.mark.parametrize("raw", [False, True])
+def test_results_are_read_without_inferring_their_type(spark, tmp_path, raw):
+    d = spark.createDataFrame([(1, "a:", None), (2, "", 5), (None, "fine text", 6)], "id long, text string, n int")
+    kept = Retention(all_labels=True, raw=raw)
+    v = evaluate(d, [Check.of({"content": "text"}, ["RuleColonEnd", "RuleContentNull"])], kept)
+    writers.write_results(v, str(tmp_path / "r"), kept)
+    one = "record" if raw else "record.raw_data"
+    told = lambda t: sorted(map(tuple, t.select(f"{one}.id", f"{one}.text", "field", "label_type", "label_name").collect()), key=repr)
+    known = writers.read_results(spark, str(tmp_path / "r"), True, raw, record=writers.record_type(v, kept))
+    assert told(known) == told(writers.read_results(spark, str(tmp_path / "r"), True, raw)) != []
+    assert dict(known.dtypes)["record"] == writers.record_type(v, kept).simpleString()
