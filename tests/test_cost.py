@@ -1,12 +1,13 @@
 """What steps cost, told from calls and plans, and that cheaper forms give the same."""
 
 import random
+import re
 
 import pyarrow as pa
 import pytest
 
-from grainsieve.functions import repeats
-from grainsieve.operators import boxes as B, claims as C, word_tables as W
+from grainsieve.functions import fixed as X, marks, repeats
+from grainsieve.operators import boxes as B, claims as C, security as S, word_tables as W
 from grainsieve.plans.evaluate import Check, Retention, evaluate, flags
 from grainsieve.sources import writers
 
@@ -97,3 +98,74 @@ def test_results_are_read_without_inferring_their_type(spark, tmp_path, raw):
     known = writers.read_results(spark, str(tmp_path / "r"), True, raw, record=writers.record_type(v, kept))
     assert told(known) == told(writers.read_results(spark, str(tmp_path / "r"), True, raw)) != []
     assert dict(known.dtypes)["record"] == writers.record_type(v, kept).simpleString()
+
+
+def _texts(rng, pool, n, most):
+    return ["".join(rng.choices(pool, k=rng.randint(0, most))) for _ in range(n)] + [None, "", "x" * 3000]
+
+
+def test_words_and_stretches_are_found_in_the_bytes_of_a_batch(monkeypatch):
+    rng = random.Random(4)
+    pool = ["a", "bé", "𝔸c", " ", "  ", "　", " ", "\t", "\r\n", "\n", "中", "文字", "…", "•", "–", ".", "/", "\xa0", "\x85", "́", "÷", "�"]
+    texts = _texts(rng, pool, 600, 40)
+    cjk, blank = X.CJK, X.SPACE
+    mixed = f"[{cjk}]|[^{cjk}{blank}]+(?=[{cjk}])|(?<![^{blank}])[^{cjk}{blank}]+(?![^{blank}])"
+    words = [re.findall(mixed, t or "") for t in texts]
+    counts = [max(len(s.split()) for s in re.split("[\n" + X.SENTENCE_BREAKS + "]", t or "")) for t in texts]
+    given = pa.array(texts)
+    for size in (1, 70, marks.BYTES):
+        monkeypatch.setattr(marks, "BYTES", size)
+        assert [w for _, e, d in marks.parts(given) for w in marks.mixed_words(e, d).to_pylist()] == words
+        assert marks.most_words(given).tolist() == counts
+        assert marks.most_words(given.cast(pa.large_string()).slice(9, 50)).tolist() == counts[9:59]
+    # bytes that are no UTF-8, and blanks written too long, are no blanks
+    odd = [b"a \xff b", b"\xc0\xa0 c\xe2\x80", b"\xed\xa0\x80", b"\xf8 \xe2 a"]
+    assert marks.most_words(pa.array(odd).cast(pa.binary()).view(pa.string())).tolist() == [3, 2, 1, 3]
+
+
+def test_shares_of_repeated_runs_equal_a_count_by_places():
+    rng = random.Random(6)
+    texts = _texts(rng, ["a ", "b ", "cé ", "中", "文", "x", " "], 400, 60)
+    words = [re.findall("[一-鿿]|[^一-鿿 ]+(?=[一-鿿])|(?<![^ ])[^一-鿿 ]+(?![^ ])", t or "") for t in texts]
+    want = []
+    for w in words:
+        runs = [tuple(w[i:i + 6]) for i in range(len(w) - 5)]
+        hit = {i + k for i, r in enumerate(runs) if runs.count(r) > 1 for k in range(6)}
+        want.append(sum(len(w[i]) for i in hit) / sum(map(len, w)) * 100 if len(w) > 5 else 0.0)
+    assert repeats.shares(pa.array(texts)).tolist() == want and max(want) > 30
+
+
+def test_short_stuck_and_odd_texts_are_told_as_by_a_search_of_the_whole(spark):
+    rng = random.Random(8)
+    pool = ["ab", "Zé", "7", "9", " ", "\n", ".", "-", "/", "www", ".xy", "http://", ".pdf", "x.bat", "_", "q" * 20, "8" * 9, "a" * 46, "–", "　",
+            "<p>", "</p>", "<o", "&lt", "&amp;", "＆gt；", "u200e", "? :", "�", "{/U}", "U+260A", "<|x|>", "​", "\xa0", "§"]
+    texts = _texts(rng, pool, 1500, 14) + ["ab " * 19 + "c1 " * 9, "ab " * 19 + "c1, d_ é", "7 " * 200000 + "x" * 46, "x" * 46 + " b" * 200000, ".".join(["a"] * 99999)]
+    ids = [*enumerate(texts)]
+    names = ["RuleContentShortMultiLan", "RuleWordStuck", "RuleSpecialCharacter", "RuleInvisibleChar", "RuleHtmlEntity", "RuleHtmlTag", "RuleNoPunc"]
+    got_ = {r[0]: r[1:] for r in flags(spark.createDataFrame(ids, "id int, text string"), [Check.of({"content": "text"}, names)], ["id"]).collect()}
+
+    def brute_stuck(t):
+        for p in (r"https?://[^\s]+|www.[a-z!$-_]+", r"\.pdf(?=\n?\Z)", r"\w+\.bat", r"/.*/.*", "[0-7]+"):
+            t = re.sub(p, "", t)
+        pieces = (p.strip(X.ASCII_PUNCTUATION) for p in re.split(S.STUCK_SPLIT, t) if len(p) > 45)
+        return any(len(p) > 45 and not re.fullmatch("[A-Fa-f0-9]{64}", p) and len(re.findall("[A-Za-z]", p)) / len(p) > 0.5 for p in pieces)
+
+    head = f"[&＆](?:{'|'.join(X.HTML_ENTITIES)})"
+    for i, t in ids:
+        t = t or ""
+        n = lambda *ps: sum(len(re.findall(p, t)) for p in ps) >= 0.01 * len(t) and t != ""
+        alpha = sum(w.isalpha() for w in re.findall(r"\w+", t))
+        longest = max(len(s.split()) for s in re.split("[\n" + X.SENTENCE_BREAKS + "]", t))
+        assert got_[i] == (alpha < 20, brute_stuck(t), n(*X.SPECIAL_PATTERNS), n(f"[{X.INVISIBLE}]"), n(head, head + "[;；]"), n("|".join(X.HTML_TAGS)),
+                           longest > 112), t[:200]
+
+
+def test_texts_are_not_searched_for_signs_they_lack(spark):
+    """Patterns stand behind a look for their signs, and a stretch is split for the reason of a bad text only."""
+    d = spark.createDataFrame([(1, "a b")], "id int, text string")
+    plan = lambda n: flags(d, [Check.of({"content": "text"}, [n])], ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    for name, searches in (("RuleSpecialCharacter", 5), ("RuleHtmlTag", 1), ("RuleHtmlEntity", 2)):
+        text = plan(name)
+        assert text.lower().count("contains(") >= searches and "CASE WHEN" in text
+    assert "split(" not in plan("RuleNoPunc") and "regexp_extract_all(" not in plan("RuleContentShortMultiLan")
+    assert plan("RuleWordStuck").count("Generate") <= 4
