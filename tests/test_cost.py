@@ -5,6 +5,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from grainsieve.functions import fixed as X, marks, repeats
 from grainsieve.operators import boxes as B, claims as C, security as S, word_tables as W
@@ -169,3 +170,55 @@ def test_texts_are_not_searched_for_signs_they_lack(spark):
         assert text.lower().count("contains(") >= searches and "CASE WHEN" in text
     assert "split(" not in plan("RuleNoPunc") and "regexp_extract_all(" not in plan("RuleContentShortMultiLan")
     assert plan("RuleWordStuck").count("Generate") <= 4
+
+
+def test_patterns_stand_behind_the_signs_of_a_text(spark):
+    d = spark.createDataFrame([(1, "a b")], "id int, text string")
+    for name in ("RuleEnterMore", "RuleEnterRatioMore", "RuleSpaceMore", "RuleOnlyUrl", "RuleSpecialCharacter", "RuleInvisibleChar", "RuleHtmlEntity",
+                 "RuleHtmlTag", "RuleWordStuck", "RuleDocRepeat"):
+        plan = flags(d, [Check.of({"content": "text"}, [name])], ["id"])._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("text_signs(") == 1 and "CASE WHEN" in plan, name
+
+
+def test_texts_without_a_sign_are_told_as_by_a_search(spark, monkeypatch):
+    """The rules judge alike whatever the signs of a text say, as long as they say no less than the text holds."""
+    rng = random.Random(12)
+    pool = ["ab", "Zé", "7", " ", "\n", "\n" * 5, "\r\n", ".", "/", "www", "www.ab", "http://", "https://a", ":", "x.bat", "q" * 20, "a" * 46, "·" * 46, "-",
+            " " * 250, " " * 499, " " * 500, "<p", ">", "<", "&lt", "&", "＆gt；", "u200e", "? :", "&#247;", "�", "□", "{/U}", "U+260A", "<|x|>", "​", "\xa0"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 6))) for _ in range(3000)] + ["", None, "\n" * 8, " " * 500, "http://a", "b" * 46, "x" * 9 + "a.pdf"]
+    rows = [(i, t.encode() if t is not None else None) for i, t in enumerate(texts)]
+    rows += [(len(rows) + i, b) for i, b in enumerate([b"\xff", b"a\xe2\x80", b"\xef\xbf", b"\xc0\xa0" * 9, b"&lt\xff&lt;", b"\xff" * 46, b"A,\xff" * 9])]
+    d = spark.createDataFrame(rows, "id int, b binary").selectExpr("id", "cast(b as string) AS text")
+    names = ["RuleEnterMore", "RuleEnterRatioMore", "RuleSpaceMore", "RuleOnlyUrl", "RuleSpecialCharacter", "RuleInvisibleChar", "RuleHtmlEntity", "RuleHtmlTag",
+             "RuleWordStuck", "RuleNoPunc", "RuleDocRepeat"]
+    told = lambda: sorted(map(tuple, flags(d, [Check.of({"content": "text"}, names)], ["id"]).collect()))
+    with_signs = told()
+    from grainsieve.plans import features
+    monkeypatch.setitem(features.FEATURES, "signs", (1, lambda f: F.lit(511)))
+    assert with_signs == told() and all(any(r[k] for r in with_signs) for k in range(1, 10))
+    # a text is held to hold what it does, wherever the parts of a batch end
+    given = pa.array([t or "" for t in texts])
+    for size in (1, 300, marks.BYTES):
+        monkeypatch.setattr(marks, "BYTES", size)
+        for t, bits in zip(given.to_pylist(), marks.signs_of(given).tolist(), strict=True):
+            assert bits & marks.WIDE or t.isascii()
+            for bit, p in ((marks.ENTITY, "[&＆]"), (marks.TAG, "<"), (marks.SPECIAL, "|".join(X.SPECIAL_PATTERNS)), (marks.BREAKS, "\n{8}"), (marks.SPACES, " {500}"),
+                           (marks.URL, "https?://"), (marks.STUCK, r"/|www|\.pdf|\.bat|[^\n !(),./:;?|-]{46}")):
+                assert bits & bit or not re.search(p, t), (bit, t)
+            assert bits & marks.LINES or t.count("\n") * 4 <= len(t)
+    assert not any(marks.signs_of(pa.array(["Plain words, and no more of them. Yes?\n", "", "two 2 of them"])))
+
+
+def test_ascii_texts_are_folded_in_their_bytes(spark):
+    rng = random.Random(15)
+    pool = ["Ab", "ab", "c", ",", " ", ". ", "É", "é", "é", ";", "≠", "中", "\n", "'", "…", "X"]
+    texts = ["".join(rng.choices(pool[:i % 2 * 9 + 7], k=rng.randint(0, 60))) for i in range(800)] + [None, "", "...", "A.B " * 12, "Ʞ " * 20]
+    d = spark.createDataFrame([*enumerate(texts)], "id int, text string")
+    from grainsieve.plans.evaluate import verdicts_of
+    from grainsieve.plans.features import bind
+    from grainsieve.functions import text as T
+    measured = {r.id: r.measure for r in verdicts_of(d, Check.of({"content": "text"}, ["RuleDocRepeat"]), ["id"]).collect()}
+    bare = bind(d, {"bare": T.without_punctuation(F.coalesce("text", F.lit("")))})
+    folded = {r.id: r.folded for r in bare.select("id", T.fold(F.col("bare")).alias("folded")).collect()}
+    want = repeats.shares(pa.array([folded[i] for i in range(len(texts))])).tolist()
+    assert [measured[i] for i in range(len(texts))] == want and sum(0 < w < 100 for w in want) > 50
