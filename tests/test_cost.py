@@ -175,7 +175,7 @@ def test_texts_are_not_searched_for_signs_they_lack(spark):
 def test_patterns_stand_behind_the_signs_of_a_text(spark):
     d = spark.createDataFrame([(1, "a b")], "id int, text string")
     for name in ("RuleEnterMore", "RuleEnterRatioMore", "RuleSpaceMore", "RuleOnlyUrl", "RuleSpecialCharacter", "RuleInvisibleChar", "RuleHtmlEntity",
-                 "RuleHtmlTag", "RuleWordStuck", "RuleDocRepeat"):
+                 "RuleHtmlTag", "RuleDocRepeat"):
         plan = flags(d, [Check.of({"content": "text"}, [name])], ["id"])._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("text_signs(") == 1 and "CASE WHEN" in plan, name
 
@@ -212,7 +212,8 @@ def test_texts_without_a_sign_are_told_as_by_a_search(spark, monkeypatch):
 def test_ascii_texts_are_folded_in_their_bytes(spark):
     rng = random.Random(15)
     pool = ["Ab", "ab", "c", ",", " ", ". ", "É", "é", "é", ";", "≠", "中", "\n", "'", "…", "X"]
-    texts = ["".join(rng.choices(pool[:i % 2 * 9 + 7], k=rng.randint(0, 60))) for i in range(800)] + [None, "", "...", "A.B " * 12, "Ʞ " * 20]
+    texts = ["".join(rng.choices(pool[:i % 2 * 9 + 7], k=rng.randint(0, 60))) for i in range(800)]
+    texts += [f"{t} {rng.choice(pool)} {t.upper()}" for t in texts] + [None, "", "...", "A.B " * 12, "Ʞ " * 20]
     d = spark.createDataFrame([*enumerate(texts)], "id int, text string")
     from grainsieve.plans.evaluate import verdicts_of
     from grainsieve.plans.features import bind
