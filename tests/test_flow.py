@@ -178,6 +178,29 @@ def test_pieces_of_claims_meet():
             assert len(C.pieces(part)[1]) <= 40
 
 
+def test_signs_of_alike_claims_let_them_meet(spark):
+    rng = random.Random(9)
+    pairs = [(whole[:-1], whole[1:]) for n in (4, 5, 40, 66_000) for whole in ["=" * (n + 2), "ab" * (n // 2 + 2)]]
+    pairs = [(w + "c" * (len(w) // 9), w) for w, _ in pairs if len(w) > 30]
+    pairs += [("a" * n, "a" * (n - gap)) for n in range(6, 60) for gap in range(1, C.inner(n)[0] + 1)]
+    for n in [rng.randint(6, 130) for _ in range(1500)] + [1500, 65_535, 65_536, 65_600, 80_000] * 2 + [(1 << C.LENGTH) + 9]:
+        whole = "".join(rng.choices(rng.choice(["ab", "abcdefgh é中𝒳"]), k=n))
+        gap = rng.randint(min(1, C.inner(n)[0]), C.inner(n)[0])
+        start = rng.randint(0, gap)
+        pairs.append((whole, whole[start:n - gap + start]))
+    pairs = [(i, w, p) for i, (w, p) in enumerate(pairs) if 0 < len(w) - len(p) < 0.2 * len(w)]
+    df = spark.createDataFrame(pairs, "i int, whole string, part string").repartition(8)
+    asks = df.select("i", F.inline(C.claim_signs("whole"))).withColumnRenamed("sign", "a")
+    met = asks.join(df.select("i", F.inline(C.claim_signs("part"))), ["i", "piece"]).where(C.may_hold(F.col("a"), F.col("sign")))
+    assert {r.i for r in met.select("i").distinct().collect()} == {i for i, _, _ in pairs}
+    # and others do not: too short, too far to the right, other letters that follow
+    one, two = "0123456789" * 3 + "abcdefghijkl" + "9876543210" * 3, "xyzw" * 6 + "abcdefghijkl" + "wzyx" * 6
+    df = spark.createDataFrame([(i, one, p) for i, p in enumerate([one, one[:50], "-" * 14 + one[:50], two])], "i int, whole string, part string")
+    asks = df.select("i", F.inline(C.claim_signs("whole"))).withColumnRenamed("sign", "a")
+    met = asks.join(df.select("i", F.inline(C.claim_signs("part"))), ["i", "piece"]).where(C.may_hold(F.col("a"), F.col("sign")))
+    assert met.count() == 0
+
+
 def test_a_long_chain_of_claims_is_decided(spark):
     links = [(1, i, i + 1) for i in range(24)] + [(1, i, i + 2) for i in range(0, 20, 3)]
     gone, linked = set(), {}
